@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eventcal.schema import REGIONS
 from eventcal.sources.driver_tables import RAW_SELECT
 
 
@@ -144,6 +145,13 @@ rms AS (SELECT sqrt(avg((m - fit.k * v) ** 2)) AS rmse FROM pr, fit),
 cmp AS (SELECT pd.*, greatest(coalesce(m, 0), coalesce(v, 0) * round(fit.k, 3)) AS comparable FROM pd, fit)"""
 
 
+CELL = ("CAST(least(greatest(floor(({lat} + 90) / 2), 0), 89) * 180"
+        " + least(greatest(floor(({lon} + 180) / 2), 0), 179) AS BIGINT)")
+CELL_OF = CELL.format(lat="lat", lon="lon")
+REGION_VALUES = ", ".join(f"('{row[0]}', {', '.join(f'{float(v)}e0' for v in row[3])})" for row in REGIONS)
+REG = f"reg AS (SELECT * FROM (VALUES {REGION_VALUES}) v(region, a, b, c, d))"
+
+
 def oracle_sql() -> dict:
     q: dict[str, str] = {}
     record_cols = ("src_file, {lat} AS lat, {lon} AS lon, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, "
@@ -269,4 +277,126 @@ SELECT o_orderpriority, {bandcols.format("")} FROM sb"""
  o_totalprice / 1000 AS frp FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
  JOIN region ON n_regionkey = r_regionkey),""" + daily_ctes("det", ("r_name",)) + f"""
 SELECT r_name, CAST(date AS VARCHAR) AS date, {r("count", 4)} AS count, raw, {r("frp", 4)} AS frp FROM ser"""
+    key = f"{r('lat')} AS lat, {r('lon')} AS lon, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, sensor"
+    dcols = f"CAST(date AS VARCHAR) AS date, {r('count')} AS count, raw, {r('frp')} AS frp"
+    q["calendar_for_box"] = BASE + """,
+box AS (SELECT * FROM det WHERE lat BETWEEN -20 AND 45 AND lon BETWEEN -130 AND 60
+  AND date BETWEEN DATE '1997-03-01' AND DATE '2000-10-31'),""" + daily_ctes("box") + f" SELECT {dcols} FROM ser"
+    q["points_sample"] = BASE + f"""
+SELECT {r("lat", 4)} AS lat, {r("lon", 4)} AS lon, {r("frp", 4)} AS frp, sensor FROM det
+WHERE lat BETWEEN -20 AND 45 AND lon BETWEEN -130 AND 60
+ORDER BY md5(concat_ws('|', '0', CAST(CAST(round(det.lat * 100000) AS BIGINT) AS VARCHAR),
+ CAST(CAST(round(det.lon * 100000) AS BIGINT) AS VARCHAR), strftime(det.time, '%Y-%m-%d %H:%M:%S'), det.sensor)) LIMIT 2000"""
+    q["stride_sample"] = BASE + f"""
+SELECT {key} FROM (SELECT *, row_number() OVER (ORDER BY time, lat, lon, sensor) AS i FROM det) WHERE (i - 1) % 5 = 0"""
+    q["newest_rows"] = BASE + f"""
+SELECT {key} FROM (SELECT *, row_number() OVER (ORDER BY time DESC, lat DESC, lon DESC, sensor DESC) AS i FROM det) WHERE i <= 1500"""
+    q["head_slice"] = BASE + f"""
+SELECT {key}, (SELECT count(*) FROM det) > 1500 AS capped
+FROM (SELECT *, row_number() OVER (ORDER BY time, lat, lon, sensor) AS i FROM det) WHERE i <= 1500"""
+    q["cell_density"] = BASE + f"""
+SELECT cell, n, {r("frp", 4)} AS frp, (cell // 180 + 0.5) * 2 - 90 AS cell_lat, (cell % 180 + 0.5) * 2 - 180 AS cell_lon
+FROM (SELECT {CELL_OF} AS cell, count(*) AS n, sum(frp) AS frp FROM det GROUP BY 1)"""
+    q["calendar_by_region"] = BASE + f""",
+{REG}, rdet AS (SELECT region, det.* FROM det JOIN reg ON lat BETWEEN a AND c AND lon BETWEEN b AND d),""" + daily_ctes(
+        "rdet", ("region",)) + f" SELECT region, {dcols} FROM ser"
+    q["region_of_cell_box"] = BASE + f""",
+{REG}, cb AS (SELECT {CELL_OF} AS cell, min(lat) AS minlat, min(lon) AS minlon, max(lat) AS maxlat, max(lon) AS maxlon
+  FROM det GROUP BY 1)
+SELECT cell, {r("minlat")} AS minlat, {r("minlon")} AS minlon, {r("maxlat")} AS maxlat, {r("maxlon")} AS maxlon,
+ (SELECT region FROM reg WHERE cb.minlat >= a - 1e-6 AND cb.minlon >= b - 1e-6 AND cb.maxlat <= c + 1e-6
+   AND cb.maxlon <= d + 1e-6 ORDER BY (c - a) * (d - b), region LIMIT 1) AS region FROM cb"""
+    q["region_cells"] = BASE + f""",
+{REG}, cc AS (SELECT {CELL_OF} AS cell, count(*) AS n FROM det GROUP BY 1)
+SELECT region, cell, n, (cell // 180 + 0.5) * 2 - 90 BETWEEN a AND c AND (cell % 180 + 0.5) * 2 - 180 BETWEEN b AND d AS centred
+FROM cc JOIN reg ON cell // 180 BETWEEN floor((a + 90) / 2) AND floor((c + 90) / 2)
+ AND cell % 180 BETWEEN floor((b + 180) / 2) AND floor((d + 180) / 2)"""
+    FILES = BASE + f""",
+rw AS ({RAW}), fl AS (SELECT src_file, CAST(sum(length(acq_date) + length(acq_time) + length(confidence) + length(satellite)) AS BIGINT) AS bytes,
+  count(*) AS rows FROM rw GROUP BY 1),
+bud AS (SELECT *, CAST(greatest(1, floor(4000 * bytes / sum(bytes) OVER ())) AS BIGINT) AS budget,
+  bytes / sum(bytes) OVER () AS share FROM fl)"""
+    q["file_names_decoded"] = FILES + """,
+p AS (SELECT src_file, split_part(src_file, '_', 2) AS k, split_part(src_file, '_', 3) AS c,
+  split_part(replace(src_file, '.csv', ''), '_', 4) AS download FROM fl),
+n AS (SELECT src_file, download, CASE k WHEN 'nrt' THEN 'near-real-time' ELSE k END AS kind,
+  CASE c WHEN 'M-C61' THEN 'MODIS C6.1' WHEN 'SV-C2' THEN 'VIIRS S-NPP' ELSE c END AS file_sensor FROM p)
+SELECT *, file_sensor || ' · ' || kind || ' · ' || download AS label FROM n"""
+    q["budget_allocation"] = FILES + f" SELECT src_file, bytes, rows, budget, {r('share')} AS share FROM bud"
+    cov = lambda src: f""",
+cv AS (SELECT src_file, year(date) AS year, count(*) AS rows, min(lat) AS minlat, max(lat) AS maxlat, min(lon) AS minlon,
+  max(lon) AS maxlon, count(DISTINCT {CELL_OF}) AS cells FROM {src} GROUP BY 1, 2),
+un AS (SELECT greatest(max(maxlat) - min(minlat), 2) * greatest(max(maxlon) - min(minlon), 2) AS total FROM cv),
+jc AS (SELECT cv.*, greatest(maxlat - minlat, 2) * greatest(maxlon - minlon, 2) / total AS area_fraction FROM cv, un)"""
+    q["coverage_by_year"] = BASE + cov("det") + f"""
+SELECT src_file, year, rows, {r("minlat", 4)} AS minlat, {r("maxlat", 4)} AS maxlat, {r("minlon", 4)} AS minlon,
+ {r("maxlon", 4)} AS maxlon, cells, {r("area_fraction", 4)} AS area_fraction, area_fraction < 0.25 AS thin FROM jc"""
+    q["coverage_notes"] = BASE + """,
+st AS (SELECT * REPLACE ('site_' || CAST(CAST(floor(lat / 40) AS BIGINT) AS VARCHAR) AS src_file) FROM det)""" + cov("st") + """
+SELECT src_file, count(*) AS years, coalesce(string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FILTER (area_fraction < 0.25), '') AS thin_years,
+ 'regional window: ' || string_agg(printf('%d (%.0f° × %.0f°, %.1f %% of the inventory''s area)', year, maxlat - minlat,
+  maxlon - minlon, area_fraction * 100), ', ' ORDER BY year) FILTER (area_fraction < 0.25) AS note FROM jc GROUP BY 1"""
+    q["years_available"] = BASE + cov("det") + """
+SELECT year, count(*) AS files, bool_or(area_fraction >= 0.25) AS "global" FROM jc GROUP BY 1"""
+    q["open_year"] = BASE + cov("det") + f"""
+SELECT src_file, count(*) AS n, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS "end",
+ {r("min(lat)", 3)} AS minlat, {r("min(lon)", 3)} AS minlon, {r("max(lat)", 3)} AS maxlat, {r("max(lon)", 3)} AS maxlon,
+ {r("sum(frp * esfp)", 3)} AS hfi, {r("sum(esfp)", 3)} AS esfp FROM det WHERE year(date) = 1999
+ AND src_file IN (SELECT src_file FROM jc WHERE year = 1999 AND (area_fraction >= 0.25
+   OR NOT EXISTS (SELECT 1 FROM jc WHERE year = 1999 AND area_fraction >= 0.25))) GROUP BY src_file"""
+    q["spread_slice"] = BASE + f""",
+sp AS (SELECT min(epoch(time)) AS lo, max(epoch(time)) AS hi FROM det),
+bn AS (SELECT det.*, CAST(least(floor((epoch(time) - lo) * 24 / (hi - lo)), 23) AS BIGINT) AS step FROM det, sp),
+rk AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY time, lat, lon, sensor) AS k,
+  count(*) OVER () AS total FROM bn)
+SELECT step, {key} FROM rk WHERE k <= 200 OR total <= 4800"""
+    MERGED = FILES + """,
+mg AS (SELECT * FROM (SELECT det.*, budget, row_number() OVER (PARTITION BY det.src_file ORDER BY time, lat, lon, sensor) AS k
+  FROM det JOIN bud ON bud.src_file = det.src_file) WHERE k <= budget)"""
+    q["merge_budgeted"] = MERGED + f" SELECT src_file, {key} FROM mg"
+    q["merge_report"] = MERGED + """
+SELECT bud.src_file, bytes, budget, coalesce(t.n, 0) AS rows_read, t.n IS NULL AS skipped
+FROM bud LEFT JOIN (SELECT src_file, count(*) AS n FROM mg GROUP BY 1) t ON t.src_file = bud.src_file"""
+    q["archive_scan_cells"] = BASE + f"""
+SELECT {CELL_OF} AS cell, CAST(date AS VARCHAR) AS date, sensor, count(*) AS n FROM det GROUP BY ALL"""
+    q["export_resume"] = BASE + f" SELECT {key} FROM det WHERE NOT date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
+    q["export_manifest"] = BASE + """
+SELECT count(*) AS rows, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day,
+ string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, 'lat,lon,time,sensor' AS dedupe,
+ '1995-01-01' AS window_from, '2001-12-31' AS window_to FROM det"""
+    TILES = BASE + """,
+sn AS (SELECT sensor, min(date) AS s, max(date) AS e FROM det GROUP BY 1),
+tl AS (SELECT sensor, CAST(unnest(generate_series(s, e, INTERVAL 5 DAY)) AS DATE) AS w, e FROM sn)"""
+    q["window_tiling"] = TILES + """
+SELECT sensor, CAST(w AS VARCHAR) AS window_start, least(5, e - w + 1) AS span FROM tl"""
+    q["missing_windows"] = BASE + f""",
+dc AS (SELECT DISTINCT {CELL_OF} AS cell, date FROM det), sn AS (SELECT cell, min(date) AS s, max(date) AS e FROM dc GROUP BY 1),
+tl AS (SELECT cell, CAST(unnest(generate_series(s, e, INTERVAL 5 DAY)) AS DATE) AS w, e FROM sn)
+SELECT cell, CAST(w AS VARCHAR) AS window_start, least(5, e - w + 1) AS span FROM tl
+WHERE NOT EXISTS (SELECT 1 FROM dc WHERE dc.cell = tl.cell AND dc.date >= tl.w AND dc.date < tl.w + 5)"""
+    DBSCAN = ("WITH RECURSIVE" + BASE[len("WITH"):] + """,
+m0 AS (SELECT avg(lat) AS lat0 FROM det),
+pt AS (SELECT row_number() OVER (ORDER BY time, lat, lon, sensor) AS i, det.*, lon * 111320 * cos(radians(lat0)) AS x,
+  lat * 110540 AS y, epoch(time) / 3600 / 48 * 550 AS t FROM det, m0),
+gr AS (SELECT *, CAST(floor(x / 550) AS BIGINT) AS gx, CAST(floor(y / 550) AS BIGINT) AS gy,
+  CAST(floor(t / 550) AS BIGINT) AS gt FROM pt),
+o3 AS (SELECT CAST(unnest(range(-1, 2)) AS BIGINT) AS o),
+ex AS (SELECT i, x, y, t, gx + a.o AS gx, gy + b.o AS gy, gt + c.o AS gt FROM gr, o3 a, o3 b, o3 c),
+nbr AS (SELECT ex.i AS p, gr.i AS q FROM ex JOIN gr ON ex.gx = gr.gx AND ex.gy = gr.gy AND ex.gt = gr.gt
+  AND (ex.x - gr.x) ** 2 + (ex.y - gr.y) ** 2 + (ex.t - gr.t) ** 2 <= 550 ** 2),
+co AS (SELECT p AS i FROM nbr GROUP BY 1 HAVING count(*) >= 3),
+ce AS (SELECT p, q FROM nbr WHERE p IN (SELECT i FROM co) AND q IN (SELECT i FROM co)),
+reach AS (SELECT i AS p, i AS q FROM co UNION SELECT reach.p, ce.q FROM reach JOIN ce ON reach.q = ce.p),
+lab AS (SELECT p AS i, min(q) AS root FROM reach GROUP BY 1),
+fr AS (SELECT nbr.p AS i, min(lab.root) AS root FROM nbr JOIN lab ON lab.i = nbr.q
+  WHERE nbr.p NOT IN (SELECT i FROM co) GROUP BY 1),
+mem AS (SELECT i, root, true AS core FROM lab UNION ALL SELECT i, root, false FROM fr),
+cl AS (SELECT pt.*, core, strftime(rp.time, '%Y-%m-%d %H:%M:%S') || '|' || printf('%.4f|%.4f', rp.lat, rp.lon) AS cluster
+  FROM mem JOIN pt USING (i) JOIN pt rp ON rp.i = mem.root)""")
+    q["dbscan_members"] = DBSCAN + f" SELECT {key}, core, cluster FROM cl"
+    q["cluster_summary"] = DBSCAN + f"""
+SELECT cluster, count(*) AS n, {r("sum(frp)")} AS frp, {r("avg(lat)")} AS lat, {r("avg(lon)")} AS lon,
+ strftime(min(time), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(time), '%Y-%m-%d %H:%M:%S') AS "end",
+ string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, {r("(epoch(max(time)) - epoch(min(time))) / 3600")} AS duration_h
+FROM cl GROUP BY cluster"""
     return q

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from eventcal.functions import scalars as X
 from eventcal.operators import anomalies as A
+from eventcal.operators import clusters as C
 from eventcal.operators import diagnostic as D
 from eventcal.operators import ranking as K
 from eventcal.operators import record as R
 from eventcal.operators import series as Q
+from eventcal.operators import spatial as G
+from eventcal.sources import archive as V
 from eventcal.sources import driver_tables as T
+from eventcal.sources import export as E
+from eventcal.sources import windows as WN
 
 _REGISTRY: dict = {}
 
@@ -260,3 +265,241 @@ def orders_streaks(spark, sf_dir):
 @query
 def customer_region_daily(spark, sf_dir):
     return shown(Q.daily(T.customer_orders(spark, sf_dir), ["r_name"]).drop("present"), 4)
+
+
+# ------------------------------------------------------------------ areas and points
+SAMPLE_BOX = (-20.0, -130.0, 45.0, 60.0)
+
+
+@query
+def calendar_for_box(spark, sf_dir):
+    """A calendar of one area and date range, all ends inclusive."""
+    box = X.parse_box("45,60,-20,-130")
+    picked = R.subset(T.detections(spark, sf_dir), box, "1997-03-01", "2000-10-31")
+    return shown(Q.daily(picked).drop("present"))
+
+
+@query
+def points_sample(spark, sf_dir):
+    """Q3: a reproducible uniform sample of points, coordinates to four decimals."""
+    picked = K.sample(R.subset(T.detections(spark, sf_dir), SAMPLE_BOX), 2000)
+    return shown(picked.select("lat", "lon", "frp", "sensor"), 4)
+
+
+@query
+def stride_sample(spark, sf_dir):
+    """Every fifth detection of the time order."""
+    picked = K.stride(T.detections(spark, sf_dir), 5)
+    return shown(picked.select("lat", "lon", "time", "sensor"))
+
+
+@query
+def newest_rows(spark, sf_dir):
+    """T7."""
+    order = ["time", "lat", "lon", "sensor"]
+    return shown(K.newest(T.detections(spark, sf_dir), 1500, order).select("lat", "lon", "time", "sensor"))
+
+
+@query
+def head_slice(spark, sf_dir):
+    """S7."""
+    order = ["time", "lat", "lon", "sensor"]
+    return shown(K.head(T.detections(spark, sf_dir), 1500, order).select("lat", "lon", "time", "sensor", "capped"))
+
+
+@query
+def cell_density(spark, sf_dir):
+    """P19/P20/C4."""
+    return shown(G.cell_centres(G.cell_density(T.detections(spark, sf_dir))), 4)
+
+
+@query
+def calendar_by_region(spark, sf_dir):
+    """One calendar per region preset."""
+    return shown(Q.daily(G.in_regions(T.detections(spark, sf_dir)), ["region"]).drop("present"))
+
+
+@query
+def region_of_cell_box(spark, sf_dir):
+    """The preset that wholly contains the box of each cell's detections."""
+    cells = G.with_cell(T.detections(spark, sf_dir)).groupBy("cell").agg(
+        F.min("lat").alias("minlat"), F.min("lon").alias("minlon"),
+        F.max("lat").alias("maxlat"), F.max("lon").alias("maxlon"))
+    return shown(G.containing_region(cells))
+
+
+@query
+def region_cells(spark, sf_dir):
+    """Per preset, the record's cells it touches and those centred inside."""
+    cells = G.with_cell(T.detections(spark, sf_dir)).groupBy("cell").agg(F.count("*").alias("n"))
+    touched = G.cells_touched(G.region_boxes(spark)).select("region", "cell", "minlat", "minlon", "maxlat", "maxlon")
+    centred = (X.cell_lat().between(F.col("minlat"), F.col("maxlat"))
+               & X.cell_lon().between(F.col("minlon"), F.col("maxlon")))
+    return cells.join(touched, "cell").select("region", "cell", "n", centred.alias("centred"))
+
+
+# ------------------------------------------------------------------ archives
+def _files(spark, sf_dir):
+    """The stand-in exports as an inventory: their bytes are the lengths of their text columns."""
+    raw = T.raw_detections(spark, sf_dir)
+    size = sum((F.length(c) for c in ("acq_time", "confidence", "satellite")), F.length("acq_date"))
+    return raw.groupBy("src_file").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+
+
+@query
+def archive_inventory(spark, sf_dir):
+    """The files under the data folder. Sizes are the file system's, so there is no SQL twin."""
+    return shown(V.inventory(spark, sf_dir).drop("path", "modified", "folder"))
+
+
+@query
+def file_names_decoded(spark, sf_dir):
+    """S6."""
+    return V.decode_names(_files(spark, sf_dir)).drop("bytes", "rows")
+
+
+@query
+def budget_allocation(spark, sf_dir):
+    """S10/W14."""
+    files = V.allocate(_files(spark, sf_dir), 4000).withColumn("share", K.share("bytes"))
+    return shown(files)
+
+
+def _coverage(spark, sf_dir):
+    """Coverage per file; near-real-time files of source sites in the far north-west are regional."""
+    return V.judge_coverage(V.coverage(T.detections(spark, sf_dir)))
+
+
+@query
+def coverage_by_year(spark, sf_dir):
+    """S13/S14."""
+    return shown(_coverage(spark, sf_dir), 4)
+
+
+@query
+def coverage_notes(spark, sf_dir):
+    """Thin years and note, with sites as files so that some cover little ground."""
+    sites = T.detections(spark, sf_dir).withColumn("src_file", F.concat(F.lit("site_"), F.floor(F.col("lat") / 40)))
+    notes = V.coverage_notes(V.judge_coverage(V.coverage(sites)))
+    return notes.select("src_file", "years", F.array_join(F.col("thin_years").cast("array<string>"), ",").alias("thin_years"),
+                        "note")
+
+
+@query
+def years_available(spark, sf_dir):
+    """S16."""
+    return V.years_available(_coverage(spark, sf_dir)).withColumn("year", F.col("year").cast("bigint"))
+
+
+@query
+def open_year(spark, sf_dir):
+    """S12/J17."""
+    record = T.detections(spark, sf_dir)
+    return shown(R.summary(V.open_year(record, _coverage(spark, sf_dir), 1999), ["src_file"]), 3)
+
+
+@query
+def spread_slice(spark, sf_dir):
+    """S8/S9."""
+    picked = V.spread_slice(T.detections(spark, sf_dir), 4800, rows_per_step=200)
+    return shown(picked.select("step", "lat", "lon", "time", "sensor"))
+
+
+@query
+def merge_budgeted(spark, sf_dir):
+    """S11."""
+    picked = V.merge_budgeted(T.detections(spark, sf_dir), _files(spark, sf_dir), 4000)
+    return shown(picked.select("src_file", "lat", "lon", "time", "sensor"))
+
+
+@query
+def merge_report(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return V.merge_report(files, V.merge_budgeted(T.detections(spark, sf_dir), files, 4000), 4000)
+
+
+@query
+def archive_scan_cells(spark, sf_dir):
+    """S17/S18."""
+    return shown(V.archive_scan(T.detections(spark, sf_dir))["cell_days"])
+
+
+@query
+def export_resume(spark, sf_dir):
+    """What a second export run still has to write after one window is stored."""
+    record = T.detections(spark, sf_dir)
+    stored = R.subset(record, None, "1996-01-01", "1998-12-31")
+    return shown(E.not_exported(record, stored).select("lat", "lon", "time", "sensor"))
+
+
+@query
+def export_manifest(spark, sf_dir):
+    """S22."""
+    m = E.manifest(E.pinned(T.detections(spark, sf_dir)), "1995-01-01", "2001-12-31")
+    return shown(m.select("rows", "first_day", "last_day", F.array_join("sensors", ",").alias("sensors"),
+                          F.array_join("dedupe", ",").alias("dedupe"), "window_from", "window_to"))
+
+
+@query
+def missing_windows(spark, sf_dir):
+    """Per cell, five-day windows of its span in which nothing was recorded."""
+    days = G.with_cell(T.detections(spark, sf_dir)).groupBy("cell", "date").agg(F.count("*").alias("n"))
+    spans = days.groupBy("cell").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    windows = WN.tile(spans)
+    seen = days.join(spans, "cell").select(
+        "cell", F.date_add("start", (F.floor(F.date_diff("date", "start") / 5) * 5).cast("int")).alias("window_start"))
+    return shown(WN.missing(windows, seen.distinct(), ["cell"]).select("cell", "window_start", "span"))
+
+
+@query
+def window_tiling(spark, sf_dir):
+    """All windows of each source's span."""
+    spans = T.detections(spark, sf_dir).groupBy("sensor").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    return shown(WN.tile(spans).select("sensor", "window_start", "span"))
+
+
+@query
+def point_features(spark, sf_dir):
+    """Every detection as a GeoJSON feature."""
+    return E.point_features(T.detections(spark, sf_dir).select(
+        F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("frp", 4).alias("frp"), "sensor"))
+
+
+# ------------------------------------------------------------------ clusters
+def _cluster_text(c: str = "cluster"):
+    return F.concat_ws("|", F.date_format(f"{c}.time", "yyyy-MM-dd HH:mm:ss"),
+                       F.format_string("%.4f|%.4f", F.col(f"{c}.lat"), F.col(f"{c}.lon")))
+
+
+@query
+def dbscan_members(spark, sf_dir):
+    """Cluster and role of every clustered detection of the whole record."""
+    m = C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48)
+    return shown(m.select("lat", "lon", "time", "sensor", "core", _cluster_text().alias("cluster")))
+
+
+@query
+def cluster_summary(spark, sf_dir):
+    """A19."""
+    s = C.cluster_summary(C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48))
+    return shown(s.withColumn("cluster", _cluster_text()).withColumn("sensors", F.array_join("sensors", ",")))
+
+
+@query
+def clusters_with_hulls(spark, sf_dir):
+    """Rows only, since SQL has no convex hull."""
+    c = C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48)
+    return shown(c.withColumn("cluster", _cluster_text()).withColumn("sensors", F.array_join("sensors", ","))
+                 .withColumn("hull", F.to_json("hull")))
+
+
+@query
+def cluster_features(spark, sf_dir):
+    """Clusters as GeoJSON rings and lines."""
+    return E.cluster_features(C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48))
+
+
+@query
+def kmeans_strata(spark, sf_dir):
+    """Rows only, since the starting centres are random."""
+    return shown(C.kmeans_strata(T.detections(spark, sf_dir), restarts=3))

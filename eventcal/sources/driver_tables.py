@@ -25,9 +25,9 @@ SELECT
         CASE WHEN l_linestatus = 'F' THEN 'M-C61' ELSE 'SV-C2' END, '_',
         CAST(l_suppkey % 10 AS {text}), '.csv') AS src_file,
  CASE WHEN l_orderkey % 97 = 0 THEN 999e0
-      ELSE -38e0 + ((l_suppkey % 24) * 37 % 80) + ((l_orderkey * 7 + l_partkey * 13) % 21 - 10) / 2000e0
+      ELSE -38e0 + ((l_suppkey % 24) * 62 % 80) + ((l_orderkey * 7 + l_partkey * 13) % 21 - 10) / 2000e0
  END AS latitude,
- -124e0 + ((l_suppkey % 24) * 53 % 270) + ((l_orderkey * 11 + l_partkey * 5) % 21 - 10) / 2000e0 AS longitude,
+ -124e0 + ((l_suppkey % 24) * 202 % 270) + ((l_orderkey * 11 + l_partkey * 5) % 21 - 10) / 2000e0 AS longitude,
  CAST(CAST(l_shipdate AS DATE) AS {text}) AS acq_date,
  CAST((l_partkey % 24) * 100 + (l_orderkey % 60) AS {text}) AS acq_time,
  CASE WHEN l_linestatus = 'F' THEN CAST((l_partkey * 7 + l_orderkey) % 44 AS {text})
