@@ -399,4 +399,168 @@ SELECT cluster, count(*) AS n, {r("sum(frp)")} AS frp, {r("avg(lat)")} AS lat, {
  strftime(min(time), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(time), '%Y-%m-%d %H:%M:%S') AS "end",
  string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, {r("(epoch(max(time)) - epoch(min(time))) / 3600")} AS duration_h
 FROM cl GROUP BY cluster"""
+    q["cell_doy_grid"] = BASE + f" SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2"
+    SHAPES = DAILY + f""",
+cg AS (SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2),
+shp AS (SELECT cell, doy, n * 366e0 / total AS shape, total / 366e0 AS level FROM (SELECT *, sum(n) OVER (PARTITION BY cell) AS total,
+  count(*) OVER (PARTITION BY cell) AS active FROM cg) WHERE active >= 25),
+{REG}, bx AS (SELECT * FROM reg UNION ALL SELECT 'world', -90, -180, 90, 180),
+inb AS (SELECT region, shp.* FROM shp JOIN bx ON cell // 180 BETWEEN floor((a + 90) / 2) AND least(floor((c + 90) / 2), 89)
+  AND cell % 180 BETWEEN floor((b + 180) / 2) AND least(floor((d + 180) / 2), 179)),
+sz AS (SELECT region, count(*) AS cells, avg(level) AS level FROM (SELECT DISTINCT region, cell, level FROM inb) GROUP BY 1),
+pr AS (SELECT sz.region, g.doy, coalesce(sum(shape), 0) / any_value(cells) AS shape, any_value(cells) AS cells, any_value(sz.level) AS level
+  FROM sz CROSS JOIN (SELECT CAST(unnest(range(1, 367)) AS BIGINT) AS doy) g
+  LEFT JOIN inb ON inb.region = sz.region AND inb.doy = g.doy GROUP BY 1, 2)"""
+    q["prior_shapes"] = SHAPES + f" SELECT cell, doy, {r('shape')} AS shape, {r('level')} AS level FROM shp"
+    q["prior_for_boxes"] = SHAPES + f" SELECT region, doy, {r('shape')} AS shape, cells, {r('level')} AS level FROM pr"
+    PANEL = DAILY + f""",
+cc AS (SELECT {CELL_OF} AS cell, date, sensor, count(*) AS n FROM det GROUP BY ALL),
+cv AS (SELECT cell, date, sum(n * factor) AS v FROM cc JOIN fac USING (sensor) GROUP BY ALL),
+kc AS (SELECT cell FROM cv WHERE v > 0 GROUP BY 1 HAVING count(*) >= 5),
+cal AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM cv),
+pan AS (SELECT kc.cell, cal.date, coalesce(cv.v, 0) AS v FROM kc CROSS JOIN cal LEFT JOIN cv ON cv.cell = kc.cell AND cv.date = cal.date)"""
+    q["cell_panel"] = PANEL + f"""
+SELECT cell, year(date) AS year, month(date) AS month, {r("sum(v)")} AS total, count(*) AS days, count_if(v > 0) AS active
+FROM pan GROUP BY 1, 2, 3"""
+    q["serving_series"] = PANEL + f""",
+kn AS (SELECT cell FROM (SELECT DISTINCT cell, dayofyear(date) AS d FROM cc) GROUP BY 1 HAVING count(*) >= 25)
+SELECT cell, {r("sum(v)")} AS total, (SELECT count(*) FROM cal) AS days FROM cv WHERE cell IN (SELECT cell FROM kn)
+GROUP BY cell ORDER BY sum(v) DESC, cell LIMIT 20"""
+    q["cell_climatology"] = PANEL + f"""
+SELECT cell, dayofyear(date) AS doy, {r("ln(1 + avg(v))")} AS climo FROM pan WHERE year(date) < 2001 GROUP BY 1, 2"""
+    FEAT = PANEL + """,
+clm AS (SELECT cell, dayofyear(date) AS doy, ln(1 + avg(v)) AS climo FROM pan GROUP BY 1, 2),
+ctr AS (SELECT *, (cell // 180 + 0.5) * 2 - 90 AS lat, (cell % 180 + 0.5) * 2 - 180 AS lon FROM clm)"""
+    flist = ("doy_sin", "doy_cos", "lat", "lon", "lag_1", "lag_7", "lag_14", "lag_28", "roll_7", "roll_28", "climo")
+    q["panel_features"] = FEAT + f""",
+lg AS (SELECT cell, date, v, row_number() OVER w AS i, dayofyear(date) AS doy,
+  {", ".join(f"ln(1 + lag(v, {k}) OVER w) AS lag_{k}" for k in (1, 7, 14, 28))},
+  {", ".join(f"ln(1 + avg(v) OVER (PARTITION BY cell ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)) AS roll_{k}" for k in (7, 28))}
+  FROM pan WINDOW w AS (PARTITION BY cell ORDER BY date)),
+fx AS (SELECT lg.*, sin(2 * pi() * lg.doy / 365.25) AS doy_sin, cos(2 * pi() * lg.doy / 365.25) AS doy_cos, lat, lon, climo
+  FROM lg JOIN ctr ON ctr.cell = lg.cell AND ctr.doy = lg.doy WHERE i > 28)
+SELECT cell, year(date) AS year, count(*) AS rows, {", ".join(f"{r(f'avg({c})')} AS {c}" for c in ("v", *flist))} FROM fx GROUP BY 1, 2"""
+    q["path_features"] = FEAT + f""",
+ix AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY date DESC) AS b FROM pan),
+la AS (SELECT cell, max(date) AS origin, {", ".join(f"ln(1 + max(CASE WHEN b = {k} THEN v END)) AS lag_{k}" for k in (1, 7, 14, 28))},
+  {", ".join(f"ln(1 + avg(CASE WHEN b <= {k} THEN v END)) AS roll_{k}" for k in (7, 28))} FROM ix GROUP BY 1),
+px AS (SELECT la.*, h, CAST(origin + CAST(h AS INTEGER) AS DATE) AS target FROM la, (SELECT unnest([1, 7, 14, 30]) AS h)),
+fx AS (SELECT px.*, sin(2 * pi() * dayofyear(target) / 365.25) AS doy_sin, cos(2 * pi() * dayofyear(target) / 365.25) AS doy_cos,
+  lat, lon, climo FROM px JOIN ctr ON ctr.cell = px.cell AND ctr.doy = dayofyear(target))
+SELECT cell, CAST(origin AS VARCHAR) AS origin, CAST(h AS BIGINT) AS h, CAST(target AS VARCHAR) AS target,
+ {", ".join(f"{r(c)} AS {c}" for c in flist)} FROM fx"""
+    q["coverage_seam"] = PANEL + f""",
+wh AS (SELECT date, sum(v) AS v FROM pan GROUP BY 1), lt AS (SELECT max(date) AS last FROM wh),
+kd AS (SELECT 'whole' AS kind, date, v FROM wh UNION ALL
+  SELECT 'cliff', date, CASE WHEN date > last - 60 THEN v / 1000 ELSE v END FROM wh, lt),
+ld AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY date) AS i, count(*) OVER (PARTITION BY kind) AS n,
+  CASE WHEN count(*) OVER f = 30 THEN avg(v) OVER f END AS lead30 FROM kd
+  WINDOW f AS (PARTITION BY kind ORDER BY date ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+fi AS (SELECT *, last_value(lead30 IGNORE NULLS) OVER (PARTITION BY kind ORDER BY date) AS level FROM ld),
+bu AS (SELECT kind, quantile_cont(level, 0.9) AS busy FROM fi GROUP BY 1),
+kp AS (SELECT fi.kind, any_value(busy) AS busy, any_value(n) AS days, max(CASE WHEN level >= busy / 50 THEN i END) AS kept,
+  max(CASE WHEN level >= busy / 50 THEN date END) AS keep_to, max(CASE WHEN level < busy / 50 THEN i END) AS lowest
+  FROM fi JOIN bu ON bu.kind = fi.kind GROUP BY 1)
+SELECT kind, days, {r("busy")} AS busy, CASE WHEN lowest = days AND days - kept >= 30 AND kept >= 180 THEN CAST(keep_to AS VARCHAR) END AS keep_to,
+ CASE WHEN lowest = days AND days - kept >= 30 AND kept >= 180 THEN days - kept END AS dropped_days FROM kp"""
+    FORE = DAILY + "," + curve_ctes("ser") + """,
+lst AS (SELECT max(date) AS last FROM ser),
+lev AS (SELECT (avg(count) + 1) / (avg(crv.v) + 1) AS scale FROM ser JOIN crv ON crv.doy = dayofyear(date), lst WHERE date > last - 30),
+ah AS (SELECT CAST(unnest(range(1, 41)) AS BIGINT) AS h),
+fp AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, crv.v * scale AS count FROM ah, lst, lev
+  JOIN crv ON crv.doy = dayofyear(CAST(last + CAST(h AS INTEGER) AS DATE))),
+fn AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date,
+  coalesce((SELECT count FROM ser WHERE ser.date = last + CAST(h AS INTEGER) - 364), 0) AS count FROM ah, lst)"""
+    fcols = f"h, CAST(date AS VARCHAR) AS date, {r('count')} AS count"
+    q["forecast_prior"] = FORE + f" SELECT {fcols} FROM fp WHERE h <= 30"
+    q["forecast_naive"] = FORE + f" SELECT {fcols} FROM fn WHERE h <= 30"
+    q["observed_and_forecast"] = FORE + f"""
+SELECT CAST(date AS VARCHAR) AS date, {r("count")} AS count, 'observed' AS kind FROM ser, lst WHERE date > last - 365
+UNION ALL SELECT CAST(date AS VARCHAR), {r("count")}, 'forecast' FROM fp WHERE h <= 30"""
+    q["forecast_prior_by_region"] = BASE + f""",
+{REG}, rdet AS (SELECT region, det.* FROM det JOIN reg ON lat BETWEEN a AND c AND lon BETWEEN b AND d),""" + daily_ctes(
+        "rdet", ("region",)) + f""",
+dmr AS (SELECT region, dayofyear(date) AS doy, avg(count) AS v FROM ser GROUP BY 1, 2),
+crr AS (SELECT region, doy, avg(v) OVER (PARTITION BY region ORDER BY doy ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM dmr),
+lst AS (SELECT region, max(date) AS last FROM ser GROUP BY 1),
+lev AS (SELECT ser.region, (avg(count) + 1) / (avg(crr.v) + 1) AS scale FROM ser JOIN lst ON lst.region = ser.region
+  JOIN crr ON crr.region = ser.region AND crr.doy = dayofyear(date) WHERE date > last - 30 GROUP BY 1),
+ah AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS h),
+fr AS (SELECT lst.region, h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date FROM lst, ah)
+SELECT fr.region, h, CAST(date AS VARCHAR) AS date, {r("crr.v * scale")} AS count FROM fr JOIN lev ON lev.region = fr.region
+JOIN crr ON crr.region = fr.region AND crr.doy = dayofyear(date)"""
+    q["forecast_prior_blended"] = SHAPES.replace(DAILY, BASE) + """,
+d2 AS (SELECT * FROM det WHERE date >= DATE '2000-01-01'),""" + daily_ctes("d2") + f""",
+ow AS (SELECT dayofyear(date) AS doy, avg(count) AS v FROM ser GROUP BY 1),
+al AS (SELECT least(1.0, count(DISTINCT year(date)) / 3e0) AS alpha FROM ser),
+bl AS (SELECT pr.doy, exp(alpha * ln(1 + coalesce(ow.v, shape)) + (1 - alpha) * ln(1 + shape)) - 1 AS v
+  FROM pr LEFT JOIN ow ON ow.doy = pr.doy, al WHERE region = 'world'),
+crv AS (SELECT doy, avg(v) OVER (ORDER BY doy ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM bl),
+lst AS (SELECT max(date) AS last FROM ser),
+lev AS (SELECT (avg(count) + 1) / (avg(crv.v) + 1) AS scale FROM ser JOIN crv ON crv.doy = dayofyear(date), lst WHERE date > last - 30),
+ah AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS h),
+fp AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, crv.v * scale AS count FROM ah, lst, lev
+  JOIN crv ON crv.doy = dayofyear(CAST(last + CAST(h AS INTEGER) AS DATE)))
+SELECT {fcols} FROM fp"""
+    GROUPS = f""",
+{REG}, gp AS (SELECT DISTINCT cell, 'overall' AS g FROM pan UNION ALL
+  SELECT cell, region FROM (SELECT DISTINCT cell FROM pan) JOIN reg ON (cell // 180 + 0.5) * 2 - 90 BETWEEN a AND c
+  AND (cell % 180 + 0.5) * 2 - 180 BETWEEN b AND d),
+gs AS (SELECT g, date, sum(v) AS v FROM pan JOIN gp USING (cell) GROUP BY 1, 2),
+yr AS (SELECT DISTINCT year(date) AS fold FROM gs),
+fm AS (SELECT g, fold, dayofyear(date) AS doy, avg(v) AS c FROM gs, yr WHERE year(date) <> fold GROUP BY ALL),
+fc AS (SELECT g, fold, doy, avg(c) OVER (PARTITION BY g, fold ORDER BY doy ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS c FROM fm),
+ps AS (SELECT g, date, v, row_number() OVER (PARTITION BY g ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n,
+  row_number() OVER (PARTITION BY g, year(date) ORDER BY date) - 1 AS k FROM gs),
+og AS (SELECT g, date, pos, year(date) AS fold FROM ps WHERE k % 7 = 0 AND pos >= 30 AND pos + 30 <= n),
+sc AS (SELECT og.g, og.pos, any_value(og.date) AS origin, any_value(og.fold) AS fold, (avg(b.v) + 1) / (avg(fc.c) + 1) AS scale FROM og
+  JOIN ps b ON b.g = og.g AND b.pos BETWEEN og.pos - 30 AND og.pos - 1
+  JOIN fc ON fc.g = og.g AND fc.fold = og.fold AND fc.doy = dayofyear(b.date) GROUP BY 1, 2),
+er AS (SELECT sc.g AS "group", sc.fold, sc.origin, CAST(h AS BIGINT) AS h, t.v AS actual, fc.c * scale AS prior, coalesce(nv.v, 0) AS naive
+  FROM sc CROSS JOIN (SELECT unnest([1, 7, 14, 30]) AS h) JOIN ps t ON t.g = sc.g AND t.pos = sc.pos + h - 1
+  JOIN fc ON fc.g = sc.g AND fc.fold = sc.fold AND fc.doy = dayofyear(t.date)
+  LEFT JOIN ps nv ON nv.g = sc.g AND nv.date = t.date - 364),
+df AS (SELECT g, date, abs(v - lag(v) OVER (PARTITION BY g ORDER BY date)) AS d, min(year(date)) OVER () AS y0 FROM gs),
+ns AS (SELECT g, greatest(avg(d), 1e-9) AS scale FROM df WHERE year(date) <> y0 GROUP BY 1),
+ms AS (SELECT "group", h, avg(abs(prior - actual)) / any_value(scale) AS prior, avg(abs(naive - actual)) / any_value(scale) AS naive,
+  count(*) AS n FROM er JOIN ns ON ns.g = er."group" GROUP BY 1, 2),
+gt AS (SELECT o."group", o.h, o.naive < o.prior AS serve, o."group" AS scope FROM ms o),
+dy AS (SELECT CAST(unnest(range(1, 41)) AS BIGINT) AS day),
+ed AS (SELECT s."group", day, coalesce((SELECT serve FROM gt WHERE gt."group" = s."group" AND gt.h >= day ORDER BY gt.h LIMIT 1), false) AS earned
+  FROM (SELECT DISTINCT "group" FROM gt) s, dy),
+rs AS (SELECT *, abs(ln(1 + actual) - ln(1 + greatest(prior, 0))) AS r FROM er),
+cq AS (SELECT h, list_sort(list(r))[least(CAST(ceil((count(*) + 1) * 0.9) AS BIGINT), count(*))] AS q, count(*) AS n FROM rs WHERE fold = 2000 GROUP BY 1),
+ec AS (SELECT "group", rs.h, avg(CASE WHEN r <= q THEN 1.0 ELSE 0.0 END) AS covered, count(*) AS n FROM rs JOIN cq ON cq.h = rs.h
+  WHERE fold = 2001 GROUP BY 1, 2)"""
+    BT = PANEL + GROUPS
+    q["backtest_paths"] = BT + f"""
+SELECT "group", fold, CAST(origin AS VARCHAR) AS origin, h, {r("actual")} AS actual, {r("prior")} AS prior, {r("naive")} AS naive FROM er"""
+    q["backtest_mase_baselines"] = BT + f""" SELECT "group", h, {r("prior")} AS prior, {r("naive")} AS naive, n FROM ms"""
+    q["spatial_fold_cells"] = PANEL + f""",
+{REG}, pc AS (SELECT DISTINCT cell, (cell // 180 + 0.5) * 2 - 90 AS la, (cell % 180 + 0.5) * 2 - 180 AS lo FROM pan),
+fa AS (SELECT region AS fold, cell FROM pc JOIN reg ON la BETWEEN a AND c AND lo BETWEEN b AND d),
+fb AS (SELECT CAST(CAST(floor((la + 90) / 30) * 1000 + floor((lo + 180) / 30) AS BIGINT) AS VARCHAR) AS fold, cell FROM pc),
+nm AS (SELECT count(DISTINCT fold) AS k FROM fa),
+al AS (SELECT * FROM fa WHERE (SELECT k FROM nm) >= 2 UNION ALL SELECT * FROM fb WHERE (SELECT k FROM nm) < 2)
+SELECT fold, cell, count(*) OVER (PARTITION BY fold) AS held_out FROM al"""
+    q["conformal_quantiles"] = BT + f" SELECT h, {r('q')} AS q, n FROM cq"
+    q["conformal_coverage"] = BT + f""" SELECT "group", h, {r("covered")} AS covered, n FROM ec"""
+    q["conformal_verdict"] = BT + f"""
+SELECT {r("max(abs(covered - 0.9))")} AS max_deviation, max(abs(covered - 0.9)) <= 0.05 + 1e-9 AS within_tolerance
+FROM ec WHERE "group" = 'overall'"""
+    q["gate_verdicts"] = BT + """ SELECT "group", h, serve, scope FROM gt"""
+    q["gate_days"] = BT + """ SELECT "group", day, earned FROM ed"""
+    q["gate_day_spans"] = BT + """,
+gi AS (SELECT "group", day, day - row_number() OVER (PARTITION BY "group" ORDER BY day) AS g FROM ed WHERE earned),
+sp AS (SELECT "group", min(day) AS a, max(day) AS b FROM gi GROUP BY "group", g)
+SELECT "group", string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ' · ' ORDER BY a) AS spans FROM sp GROUP BY 1"""
+    both = FORE + PANEL[len(DAILY):] + GROUPS
+    q["forecast_band"] = both + f""",
+wd AS (SELECT ah.h, coalesce(cq.q, (SELECT q FROM cq ORDER BY h DESC LIMIT 1)) AS w FROM ah LEFT JOIN cq ON cq.h = ah.h)
+SELECT fp.h, CAST(date AS VARCHAR) AS date, {r("count")} AS count, {r("exp(greatest(ln(1 + greatest(count, 0)) - w, 0)) - 1")} AS lower,
+ {r("exp(ln(1 + greatest(count, 0)) + w) - 1")} AS upper FROM fp JOIN wd ON wd.h = fp.h"""
+    q["forecast_blend"] = both + f"""
+SELECT fp.h, CAST(fp.date AS VARCHAR) AS date, {r("CASE WHEN earned THEN fn.count ELSE fp.count END")} AS count,
+ CASE WHEN earned THEN 'model' ELSE 'prior' END AS method
+FROM fp JOIN fn ON fn.h = fp.h JOIN ed ON ed.day = fp.h AND ed."group" = 'overall' WHERE fp.h <= 30"""
     return q

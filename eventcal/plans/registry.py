@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcal.functions import scalars as X
+from eventcal.session import scratch_path
 from eventcal.operators import anomalies as A
 from eventcal.operators import clusters as C
 from eventcal.operators import diagnostic as D
+from eventcal.operators import forecast as FC
+from eventcal.operators import panel as P
 from eventcal.operators import ranking as K
 from eventcal.operators import record as R
 from eventcal.operators import series as Q
@@ -503,3 +506,255 @@ def cluster_features(spark, sf_dir):
 def kmeans_strata(spark, sf_dir):
     """Rows only, since the starting centres are random."""
     return shown(C.kmeans_strata(T.detections(spark, sf_dir), restarts=3))
+
+
+# ------------------------------------------------------------------ prior and panel
+@query
+def cell_doy_grid(spark, sf_dir):
+    """A21."""
+    return shown(P.cell_doy_counts(T.detections(spark, sf_dir)))
+
+
+def _shapes(spark, sf_dir):
+    return P.prior_shapes(P.cell_doy_counts(T.detections(spark, sf_dir)))
+
+
+@query
+def prior_shapes(spark, sf_dir):
+    """A22."""
+    return shown(_shapes(spark, sf_dir))
+
+
+@query
+def prior_for_boxes(spark, sf_dir):
+    """The prior curve of each region preset, and of the whole world."""
+    boxes = G.region_boxes(spark, world=True)
+    return shown(P.floored_profile(P.prior_for_boxes(_shapes(spark, sf_dir), boxes)))
+
+
+def _panel(spark, sf_dir):
+    return P.panel(P.cell_day_counts(T.detections(spark, sf_dir)))
+
+
+def _stored_panel(spark, sf_dir):
+    """The panel written once and read back, for plans that fit models on it."""
+    path = scratch_path(spark, "panel")
+    _panel(spark, sf_dir).repartition("cell").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def cell_panel(spark, sf_dir):
+    """The zero-filled panel, told per cell and month."""
+    monthly = _panel(spark, sf_dir).groupBy("cell", F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        F.sum("v").alias("total"), F.count("*").alias("days"), F.count_if(F.col("v") > 0).alias("active"))
+    return shown(monthly)
+
+
+@query
+def serving_series(spark, sf_dir):
+    """Cells the prior knows, the busiest twenty."""
+    counts = P.cell_day_counts(T.detections(spark, sf_dir))
+    s = P.serving_series(counts, _shapes(spark, sf_dir), max_cells=20)
+    return shown(s.groupBy("cell").agg(F.sum("v").alias("total"), F.count("*").alias("days")))
+
+
+@query
+def cell_climatology(spark, sf_dir):
+    """A27, from the years before 2001 only."""
+    return shown(P.climo_table(_panel(spark, sf_dir), F.year("date") < 2001))
+
+
+@query
+def panel_features(spark, sf_dir):
+    """Training features, averaged per cell and year."""
+    rows = _panel(spark, sf_dir)
+    f = P.training_features(rows, P.climo_table(rows))
+    names = [c for c in f.columns if c not in ("cell", "date")]
+    return shown(f.groupBy("cell", F.year("date").alias("year")).agg(
+        F.count("*").alias("rows"), *[F.avg(c).alias(c) for c in names]))
+
+
+@query
+def path_features(spark, sf_dir):
+    """serving features of every cell at the scored horizons."""
+    rows = _panel(spark, sf_dir)
+    return shown(P.path_features(rows, P.climo_table(rows), [1, 7, 14, 30]))
+
+
+@query
+def coverage_seam(spark, sf_dir):
+    """The record followed by 60 days of a much smaller window."""
+    whole = P.totals(_panel(spark, sf_dir))
+    last = whole.agg(F.max("date").alias("_last"))
+    tail = F.date_diff("_last", "date") < 60
+    cliff = whole.join(last, F.lit(True)).withColumn("v", F.when(tail, F.col("v") / 1000).otherwise(F.col("v")))
+    kinds = cliff.select(F.lit("cliff").alias("kind"), "date", "v").unionByName(
+        whole.select(F.lit("whole").alias("kind"), "date", "v"))
+    return shown(P.coverage_seam(kinds, ["kind"]))
+
+
+# ------------------------------------------------------------------ forecasts
+@query
+def forecast_prior(spark, sf_dir):
+    """F1."""
+    return shown(FC.seasonal_forecast(_daily(spark, sf_dir), 30))
+
+
+@query
+def forecast_prior_by_region(spark, sf_dir):
+    """F1 with one series per preset."""
+    s = Q.daily(G.in_regions(T.detections(spark, sf_dir)), ["region"])
+    return shown(FC.seasonal_forecast(s, 30, ["region"]))
+
+
+@query
+def forecast_prior_blended(spark, sf_dir):
+    """the last two years' own curve blended with the archive's."""
+    record = T.detections(spark, sf_dir)
+    own = Q.daily(R.subset(record, None, "2000-01-01"))
+    prior = P.prior_for_boxes(_shapes(spark, sf_dir), G.region_boxes(spark, world=True).filter("region = 'world'"))
+    return shown(FC.seasonal_forecast(own, 30, prior=prior))
+
+
+@query
+def forecast_naive(spark, sf_dir):
+    """F4."""
+    return shown(FC.seasonal_naive(_daily(spark, sf_dir), 30))
+
+
+@query
+def observed_and_forecast(spark, sf_dir):
+    """U7."""
+    s = _daily(spark, sf_dir)
+    return shown(FC.observed_and_forecast(s, FC.seasonal_forecast(s, 30)))
+
+
+def _baselines(spark, sf_dir):
+    series = FC.group_series(_panel(spark, sf_dir))
+    return series, FC.baseline_errors(series, ["group"])
+
+
+def _scores(spark, sf_dir):
+    series, errors = _baselines(spark, sf_dir)
+    return FC.mase(errors, FC.naive_scale(series, ["group"]), ["prior", "naive"])
+
+
+@query
+def backtest_paths(spark, sf_dir):
+    """Every fold's origins with prior, naive and actual."""
+    return shown(_baselines(spark, sf_dir)[1])
+
+
+@query
+def backtest_mase_baselines(spark, sf_dir):
+    """A28."""
+    return shown(_scores(spark, sf_dir))
+
+
+@query
+def spatial_fold_cells(spark, sf_dir):
+    """F9."""
+    return FC.spatial_folds(_panel(spark, sf_dir)).select("fold", "cell", "held_out")
+
+
+def _prior_conformal(spark, sf_dir):
+    """Residuals of the prior: calibrated on 2000, tested on the later 2001."""
+    errors = _baselines(spark, sf_dir)[1].withColumn("r", FC.log_residual("actual", "prior"))
+    return FC.conformal_quantiles(errors.filter("fold = 2000")), errors.filter("fold = 2001")
+
+
+@query
+def conformal_quantiles(spark, sf_dir):
+    """A29."""
+    return shown(_prior_conformal(spark, sf_dir)[0])
+
+
+@query
+def conformal_coverage(spark, sf_dir):
+    """A30."""
+    q, test = _prior_conformal(spark, sf_dir)
+    return shown(FC.empirical_coverage(test, q))
+
+
+@query
+def conformal_verdict(spark, sf_dir):
+    """A30."""
+    q, test = _prior_conformal(spark, sf_dir)
+    return shown(FC.coverage_verdict(FC.empirical_coverage(test, q).filter(F.col("group") == "overall")))
+
+
+@query
+def forecast_band(spark, sf_dir):
+    """F13."""
+    q, _ = _prior_conformal(spark, sf_dir)
+    return shown(FC.with_band(FC.seasonal_forecast(_daily(spark, sf_dir), 40), FC.half_widths(q, 40)))
+
+
+def _verdicts(spark, sf_dir):
+    return FC.gate(_scores(spark, sf_dir), candidate="naive", baseline="prior")
+
+
+@query
+def gate_verdicts(spark, sf_dir):
+    """F14, judging the naive forecast against the prior."""
+    return shown(_verdicts(spark, sf_dir))
+
+
+@query
+def gate_days(spark, sf_dir):
+    """F15."""
+    return shown(FC.earned_days(_verdicts(spark, sf_dir), 40))
+
+
+@query
+def gate_day_spans(spark, sf_dir):
+    """Each scope's earned days as spans."""
+    days = FC.earned_days(_verdicts(spark, sf_dir), 40).filter("earned")
+    return Q.day_spans(days, "day", ["group"])
+
+
+@query
+def forecast_blend(spark, sf_dir):
+    """Naive days where the gate grants them, the prior elsewhere."""
+    s = _daily(spark, sf_dir)
+    won = FC.earned_days(_verdicts(spark, sf_dir).filter(F.col("group") == "overall"), 30)
+    return shown(FC.serve(FC.seasonal_forecast(s, 30), FC.seasonal_naive(s, 30), won))
+
+
+@query
+def forecast_model(spark, sf_dir):
+    """the fitted count model's path; rows only, since the fit is iterative."""
+    rows = _stored_panel(spark, sf_dir)
+    climo = P.climo_table(rows)
+    model = FC.fit_tweedie(P.training_features(rows, climo))
+    return shown(FC.model_forecast(rows, climo, model, 30), 3)
+
+
+@query
+def forecast_boosted(spark, sf_dir):
+    """F7 with boosted trees; rows only."""
+    rows = _stored_panel(spark, sf_dir)
+    climo = P.climo_table(rows)
+    model, _ = FC.fit_boosted(P.training_features(rows, climo), rounds=8, depth=4)
+    return shown(FC.model_forecast(rows, climo, model, 30), 3)
+
+
+@query
+def backtest_mase_model(spark, sf_dir):
+    """F10/A28 with the count model; rows only."""
+    return shown(FC.backtest(_stored_panel(spark, sf_dir)), 4)
+
+
+@query
+def backtest_spatial(spark, sf_dir):
+    """held-out ground; rows only."""
+    return shown(FC.spatial_backtest(_stored_panel(spark, sf_dir), max_blocks=4), 4)
+
+
+@query
+def conformal_model(spark, sf_dir):
+    """widths of the count model and their coverage; rows only."""
+    q, covered = FC.model_residuals(_stored_panel(spark, sf_dir))
+    overall = covered.filter(F.col("group") == "overall").select("h", "covered")
+    return shown(q.join(overall, "h", "left"), 4)
