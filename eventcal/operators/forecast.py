@@ -211,7 +211,11 @@ def fit_boosted(features: DataFrame, rounds: int = 40, depth: int = 5):
 
 
 def fit_tweedie(features: DataFrame):
-    return tweedie_pipeline().fit(features)
+    """one pass over the features per reweighting round, so they are kept for the fit."""
+    kept = features.persist()
+    model = tweedie_pipeline().fit(kept)
+    kept.unpersist()
+    return model
 
 
 def predict(model, features: DataFrame) -> DataFrame:

@@ -563,4 +563,27 @@ SELECT fp.h, CAST(date AS VARCHAR) AS date, {r("count")} AS count, {r("exp(great
 SELECT fp.h, CAST(fp.date AS VARCHAR) AS date, {r("CASE WHEN earned THEN fn.count ELSE fp.count END")} AS count,
  CASE WHEN earned THEN 'model' ELSE 'prior' END AS method
 FROM fp JOIN fn ON fn.h = fp.h JOIN ed ON ed.day = fp.h AND ed."group" = 'overall' WHERE fp.h <= 30"""
+    q["live_snapshot"] = BASE + """
+SELECT sensor, count(*) AS n FROM det WHERE lat BETWEEN -20 AND 45 AND lon BETWEEN -130 AND 60 GROUP BY 1"""
+    catalog = ", ".join("({})".format(", ".join("'{}'".format(str(v)) for v in (
+        row[0], row[1], row[5], row[8], ",".join(map(str, row[6]))))) + "" for row in REGIONS)
+    sizes = " ".join(f"WHEN '{row[0]}' THEN {len(row[7])}" for row in REGIONS)
+    q["region_presets"] = BASE + f""",
+{REG}, ct AS (SELECT * FROM (VALUES {catalog}) v(region, name, biome, feed_region, peak_months)),
+hd AS (SELECT region, count(*) AS n FROM det JOIN reg ON lat BETWEEN a AND c AND lon BETWEEN b AND d GROUP BY 1)
+SELECT ct.*, coalesce(n, 0) AS n, CASE ct.region {sizes} END AS events FROM ct LEFT JOIN hd ON hd.region = ct.region"""
+    boxed = SHAPES.replace(DAILY, BASE).replace("'world', -90, -180, 90, 180", "'world', -20, -130, 45, 60")
+    q["served_forecast"] = boxed + """,
+d2 AS (SELECT * FROM det WHERE lat BETWEEN -20 AND 45 AND lon BETWEEN -130 AND 60),""" + daily_ctes("d2") + f""",
+ow AS (SELECT dayofyear(date) AS doy, avg(count) AS v FROM ser GROUP BY 1),
+al AS (SELECT least(1.0, count(DISTINCT year(date)) / 3e0) AS alpha FROM ser),
+bl AS (SELECT pr.doy, exp(alpha * ln(1 + coalesce(ow.v, shape)) + (1 - alpha) * ln(1 + shape)) - 1 AS v
+  FROM pr LEFT JOIN ow ON ow.doy = pr.doy, al WHERE region = 'world'),
+crv AS (SELECT doy, avg(v) OVER (ORDER BY doy ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM bl),
+lst AS (SELECT max(date) AS last FROM ser),
+lev AS (SELECT (avg(count) + 1) / (avg(crv.v) + 1) AS scale FROM ser JOIN crv ON crv.doy = dayofyear(date), lst WHERE date > last - 30),
+ah AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS h),
+fp AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, crv.v * scale AS count FROM ah, lst, lev
+  JOIN crv ON crv.doy = dayofyear(CAST(last + CAST(h AS INTEGER) AS DATE)))
+SELECT {fcols}, 'prior' AS method FROM fp"""
     return q

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcal.functions import scalars as X
-from eventcal.session import scratch_path
+from eventcal.plans import analyses as AN
+from eventcal.session import stored
 from eventcal.operators import anomalies as A
 from eventcal.operators import clusters as C
 from eventcal.operators import diagnostic as D
@@ -532,15 +533,18 @@ def prior_for_boxes(spark, sf_dir):
     return shown(P.floored_profile(P.prior_for_boxes(_shapes(spark, sf_dir), boxes)))
 
 
+def _cell_days(spark, sf_dir):
+    """(cell, date, sensor) counts, from which everything about the panel follows."""
+    return stored(P.cell_day_counts(T.detections(spark, sf_dir)), "cell-days")
+
+
 def _panel(spark, sf_dir):
-    return P.panel(P.cell_day_counts(T.detections(spark, sf_dir)))
+    return P.panel(_cell_days(spark, sf_dir))
 
 
 def _stored_panel(spark, sf_dir):
     """The panel written once and read back, for plans that fit models on it."""
-    path = scratch_path(spark, "panel")
-    _panel(spark, sf_dir).repartition("cell").write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(_panel(spark, sf_dir).repartition("cell"), "panel")
 
 
 @query
@@ -554,7 +558,7 @@ def cell_panel(spark, sf_dir):
 @query
 def serving_series(spark, sf_dir):
     """Cells the prior knows, the busiest twenty."""
-    counts = P.cell_day_counts(T.detections(spark, sf_dir))
+    counts = _cell_days(spark, sf_dir)
     s = P.serving_series(counts, _shapes(spark, sf_dir), max_cells=20)
     return shown(s.groupBy("cell").agg(F.sum("v").alias("total"), F.count("*").alias("days")))
 
@@ -631,13 +635,13 @@ def observed_and_forecast(spark, sf_dir):
 
 
 def _baselines(spark, sf_dir):
-    series = FC.group_series(_panel(spark, sf_dir))
+    series = stored(FC.group_series(P.panel(_cell_days(spark, sf_dir))), "groups")
     return series, FC.baseline_errors(series, ["group"])
 
 
 def _scores(spark, sf_dir):
     series, errors = _baselines(spark, sf_dir)
-    return FC.mase(errors, FC.naive_scale(series, ["group"]), ["prior", "naive"])
+    return stored(FC.mase(errors, FC.naive_scale(series, ["group"]), ["prior", "naive"]), "scores")
 
 
 @query
@@ -660,7 +664,7 @@ def spatial_fold_cells(spark, sf_dir):
 
 def _prior_conformal(spark, sf_dir):
     """Residuals of the prior: calibrated on 2000, tested on the later 2001."""
-    errors = _baselines(spark, sf_dir)[1].withColumn("r", FC.log_residual("actual", "prior"))
+    errors = stored(_baselines(spark, sf_dir)[1].withColumn("r", FC.log_residual("actual", "prior")), "errors")
     return FC.conformal_quantiles(errors.filter("fold = 2000")), errors.filter("fold = 2001")
 
 
@@ -692,7 +696,7 @@ def forecast_band(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    return FC.gate(_scores(spark, sf_dir), candidate="naive", baseline="prior")
+    return stored(FC.gate(_scores(spark, sf_dir), candidate="naive", baseline="prior"), "verdicts")
 
 
 @query
@@ -758,3 +762,45 @@ def conformal_model(spark, sf_dir):
     q, covered = FC.model_residuals(_stored_panel(spark, sf_dir))
     overall = covered.filter(F.col("group") == "overall").select("h", "covered")
     return shown(q.join(overall, "h", "left"), 4)
+
+
+# ------------------------------------------------------------------ briefing and served forecast
+@query
+def briefing_rows(spark, sf_dir):
+    """Q8: rows only, since the strata start from random centres."""
+    parts = AN.briefing(T.detections(spark, sf_dir), z=1.0, restarts=2)
+    return shown(parts["recommendations"])
+
+
+@query
+def briefing_markdown(spark, sf_dir):
+    """S29."""
+    parts = AN.briefing(T.detections(spark, sf_dir), z=1.0, restarts=2)
+    return shown(AN.briefing_markdown(parts, z=1.0))
+
+
+@query
+def served_forecast(spark, sf_dir):
+    """Q9 without a stored model: the prior blended with the archive's serves every day."""
+    record = T.detections(spark, sf_dir)
+    shapes = stored(_shapes(spark, sf_dir), "shapes")
+    prior = {"shapes": shapes, "levels": P.prior_levels(shapes)}
+    return shown(AN.forecast(record, SAMPLE_BOX, 30, prior=prior)["forecast"])
+
+
+@query
+def live_snapshot(spark, sf_dir):
+    """Q10: the record delivered twice, cropped and counted once."""
+    record = T.detections(spark, sf_dir)
+    feeds = R.union_records(record, record.withColumn("src_file", F.lit("again")))
+    return shown(AN.live_snapshot(feeds, SAMPLE_BOX, hours=48, crop=True)["sensors"])
+
+
+@query
+def region_presets(spark, sf_dir):
+    """Q13: the presets with how much of the record each holds."""
+    held = G.in_regions(T.detections(spark, sf_dir)).groupBy("region").agg(F.count("*").alias("n"))
+    c = G.region_catalog(spark).join(held, "region", "left")
+    return shown(c.select("region", "name", "biome", "feed_region", F.coalesce("n", F.lit(0)).alias("n"),
+                          F.array_join(F.col("peak_months").cast("array<string>"), ",").alias("peak_months"),
+                          F.size("events").alias("events")))

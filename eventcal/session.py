@@ -65,3 +65,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a reduced frame to the shared folder and read it back.
+
+    For day- and cell-grain results that several branches of one plan build on: they are computed
+    once, survive lost executors, and come back with a known size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
