@@ -586,4 +586,36 @@ ah AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS h),
 fp AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, crv.v * scale AS count FROM ah, lst, lev
   JOIN crv ON crv.doy = dayofyear(CAST(last + CAST(h AS INTEGER) AS DATE)))
 SELECT {fcols}, 'prior' AS method FROM fp"""
+    at = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    wcols = f"{at('s')} AS start, {at('e')} AS \"end\", {{0}}, count(*) AS n, {r('sum(value)')} AS total"
+    # A stream in append mode has closed what ends a day before the newest event.
+    closed = "e <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+    TUM = "WITH w AS (SELECT *, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS e FROM events)"
+    q["events_tumbling"] = TUM + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
+    q["events_stream_tumbling"] = TUM + f" SELECT {wcols.format('event_type')} FROM w WHERE {closed} GROUP BY s, e, event_type"
+    SLI = """WITH w AS (SELECT events.*, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS s,
+ date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) + INTERVAL 7 DAY AS e FROM events, (SELECT unnest(range(0, 7)) AS k))"""
+    q["events_sliding"] = SLI + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
+    q["events_stream_sliding"] = SLI + f" SELECT {wcols.format('event_type')} FROM w WHERE {closed} GROUP BY s, e, event_type"
+    SES = """WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+ g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o),
+ w AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 12 HOUR AS e, count(*) AS n, sum(value) AS total FROM g GROUP BY user_id, g)"""
+    scols = f"{at('s')} AS start, {at('e')} AS \"end\", user_id, n, {r('total')} AS total"
+    q["events_sessions"] = SES + f" SELECT {scols} FROM w"
+    q["events_stream_sessions"] = SES + f" SELECT {scols} FROM w WHERE {closed}"
+    ev = f"SELECT event_id, user_id, event_type, {r('value')} AS value FROM events"
+    q["events_stream_dedupe"] = q["events_stream_append"] = ev
+    q["events_stream_alerts"] = TUM + f""",
+d AS (SELECT s, e, event_type, count(*) AS n, sum(value) AS total FROM w GROUP BY 1, 2, 3),
+st AS (SELECT event_type, avg(n) AS mu, stddev_pop(n) AS sd FROM d GROUP BY 1)
+SELECT {at('s')} AS start, {at('e')} AS "end", d.event_type, n, {r("total")} AS total, {r("(n - mu) / sd")} AS z
+FROM d JOIN st ON st.event_type = d.event_type WHERE {closed} AND (n - mu) / sd >= 1"""
+    q["events_stream_streaks"] = TUM + f""",
+d AS (SELECT user_id, CAST(s AS DATE) AS d, count(*) AS v FROM w WHERE {closed} GROUP BY 1, 2 HAVING count(*) >= 3),
+o AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY user_id ORDER BY d) <= 2 THEN 0 ELSE 1 END AS opens FROM d),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS g FROM o),
+k AS (SELECT user_id, g, min(d) AS a, max(d) AS b, count(*) AS days, CAST(sum(v) AS DOUBLE) AS total,
+  lead(min(d)) OVER (PARTITION BY user_id ORDER BY g) AS nxt FROM g GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS "key", CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS "end", days, total
+FROM k WHERE nxt IS NOT NULL OR CAST(b AS TIMESTAMP) + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
     return q

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventcal.functions import scalars as X
 from eventcal.plans import analyses as AN
-from eventcal.session import stored
+from eventcal.session import scratch_path, stored
 from eventcal.operators import anomalies as A
 from eventcal.operators import clusters as C
 from eventcal.operators import diagnostic as D
@@ -21,6 +21,7 @@ from eventcal.sources import archive as V
 from eventcal.sources import driver_tables as T
 from eventcal.sources import export as E
 from eventcal.sources import windows as WN
+from eventcal.streaming import streams as ST
 
 _REGISTRY: dict = {}
 
@@ -804,3 +805,71 @@ def region_presets(spark, sf_dir):
     return shown(c.select("region", "name", "biome", "feed_region", F.coalesce("n", F.lit(0)).alias("n"),
                           F.array_join(F.col("peak_months").cast("array<string>"), ",").alias("peak_months"),
                           F.size("events").alias("events")))
+
+
+# ------------------------------------------------------------------ events: batch twins and streams
+@query
+def events_tumbling(spark, sf_dir):
+    return shown(ST.tumbling(T.events(spark, sf_dir), ["event_type"], "ts", value="value"))
+
+
+@query
+def events_sliding(spark, sf_dir):
+    return shown(ST.sliding(T.events(spark, sf_dir), ["event_type"], "ts", value="value"))
+
+
+@query
+def events_sessions(spark, sf_dir):
+    return shown(ST.bursts(T.events(spark, sf_dir), ["user_id"], "ts", value="value"))
+
+
+@query
+def events_stream_tumbling(spark, sf_dir):
+    """Every finished day of the stream."""
+    return shown(ST.drain(ST.tumbling(ST.table_stream(spark, sf_dir, "events"), ["event_type"], "ts", value="value"), "r3"))
+
+
+@query
+def events_stream_sliding(spark, sf_dir):
+    """R4."""
+    return shown(ST.drain(ST.sliding(ST.table_stream(spark, sf_dir, "events"), ["event_type"], "ts", value="value"), "r4"))
+
+
+@query
+def events_stream_sessions(spark, sf_dir):
+    """R5."""
+    return shown(ST.drain(ST.bursts(ST.table_stream(spark, sf_dir, "events"), ["user_id"], "ts", value="value"), "r5"))
+
+
+@query
+def events_stream_dedupe(spark, sf_dir):
+    """R2: the stream united with a copy of itself."""
+    once, again = ST.table_stream(spark, sf_dir, "events"), ST.table_stream(spark, sf_dir, "events")
+    unique = ST.dedupe_stream(once.unionByName(again), ["event_id"], "ts")
+    return shown(ST.drain(unique.select("event_id", "user_id", "event_type", "value"), "r2"))
+
+
+@query
+def events_stream_alerts(spark, sf_dir):
+    """Finished days against the stored mean and spread of their type."""
+    days = ST.tumbling(T.events(spark, sf_dir), ["event_type"], "ts", value="value")
+    stats = stored(days.groupBy("event_type").agg(F.avg("n").alias("mu"), F.stddev_pop("n").alias("sd")), "stats")
+    stream = ST.tumbling(ST.table_stream(spark, sf_dir, "events"), ["event_type"], "ts", value="value")
+    return shown(ST.drain(ST.alerts(stream, stats, ["event_type"], z=1.0).drop("mu", "sd"), "r6"))
+
+
+@query
+def events_stream_streaks(spark, sf_dir):
+    """Closed streaks of days on which a user had at least three events."""
+    return shown(ST.drain(ST.streaks(ST.table_stream(spark, sf_dir, "events"), "user_id"), "r7"))
+
+
+@query
+def events_stream_append(spark, sf_dir):
+    """The same stream appended twice leaves each event once."""
+    path = scratch_path(spark, "r8-out")
+    for _ in range(2):
+        stream = ST.table_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+        ST.append_once(stream, path, scratch_path(spark, "r8-marks"),
+                       ["event_id"]).awaitTermination()
+    return shown(spark.read.parquet(path).drop("batch"))
