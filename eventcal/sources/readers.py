@@ -24,6 +24,12 @@ HEAD_BYTES = 1 << 16
 UNDEFINED_1252 = r"^(..)*(81|8D|8F|90|9D)"
 
 
+# Spark reads Latin-1 but not Windows-1252; the two differ in one block of bytes.
+_BLOCK = {chr(b): bytes([b]).decode("cp1252", errors="ignore") for b in range(0x80, 0xA0)}
+LATIN = "".join(k for k, v in _BLOCK.items() if v)
+WINDOWS = "".join(v for v in _BLOCK.values() if v)
+
+
 def _probe(batches):
     """First line and byte-order mark of each file; reads only the head of it."""
     from pyarrow import fs
@@ -71,9 +77,12 @@ def read_group(spark: SparkSession, paths: list[str], header: str, encoding: str
     """One group of files that share header and encoding, every column as text."""
     names = split_header(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = (spark.read.schema(schema).option("header", "true").option("encoding", encoding)
-              .option("mode", "PERMISSIVE").option("multiLine", str(encoding == "UTF-16").lower()))
-    return reader.csv(paths).select(*names, F.col("_metadata.file_name").alias("src_file"))
+    windows = encoding == "windows-1252"
+    reader = (spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+              .option("encoding", "ISO-8859-1" if windows else encoding)
+              .option("multiLine", str(encoding == "UTF-16").lower()))
+    columns = [F.translate(n, LATIN, WINDOWS).alias(n) if windows else F.col(n) for n in names]
+    return reader.csv(paths).select(*columns, F.col("_metadata.file_name").alias("src_file"))
 
 
 def read_exports(spark: SparkSession, files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
