@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eventcal import schema as S
 from eventcal.operators.series import over
-from eventcal.session import checkpoint
+from eventcal.session import stored
 
 HOT_BUCKET = 20_000
 SPLIT = 4
@@ -41,28 +41,29 @@ def project(record: DataFrame, eps: float, hours: float) -> DataFrame:
 
 
 # ------------------------------------------------------------------ connected components
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, jumps: int = 3) -> DataFrame:
     """(node, label): the least node id of each connected component.
 
-    Labels take the least label among their neighbours and then jump to their label's label, so
-    chains shorten by halves. Every round is checkpointed to the shared folder.
+    The graph is contracted: every node joins its least neighbour (or stays, if it is the least),
+    chains of joins are shortened, and the edges between what is left form the next, smaller graph.
+    Each round at least halves what still has edges. Rounds are written to the shared folder and read
+    back, which also sheds the constraints a checkpoint would carry from round to round.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = checkpoint(both)
     labels = nodes.select("node", F.col("node").alias("label"))
-    if both.isEmpty():
-        return labels
-    for _ in range(max_rounds):
-        least = (both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m")))
-        hooked = labels.join(least, F.col("node") == F.col("u"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        above = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = checkpoint(hooked.join(above, "label").select("node", "old", F.col("up").alias("label")))
-        moved = labels.filter(F.col("old") != F.col("label")).isEmpty()
-        labels = labels.drop("old")
-        if moved:
-            break
-    return labels
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    work = stored(both.filter(F.col("u") != F.col("v")).distinct())
+    while not work.isEmpty():
+        parent = stored(work.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
+        for _ in range(jumps):
+            parent = parent.join(parent.select(F.col("u").alias("p"), F.col("p").alias("above")), "p").select(
+                "u", F.col("above").alias("p"))
+        parent = stored(parent)
+        labels = labels.join(parent, F.col("label") == F.col("u"), "left").select(
+            "node", F.coalesce("p", "label").alias("label"))
+        ends = [parent.select(F.col("u").alias(e), F.col("p").alias(f"n{e}")) for e in ("u", "v")]
+        work = stored(work.join(ends[0], "u").join(ends[1], "v").filter(F.col("nu") != F.col("nv"))
+                          .select(F.col("nu").alias("u"), F.col("nv").alias("v")).distinct())
+    return stored(labels)
 
 
 # ------------------------------------------------------------------ boxes
@@ -102,7 +103,7 @@ def _link_dense(points: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
     for axis, step in zip(AXES, "ijk"):
         left = left.withColumn(f"b_c{axis}", F.col(f"a_c{axis}") + F.col(f"_o.{step}"))
     pairs = _judge(left.join(_prefixed(cells, "b_"), [f"b_c{axis}" for axis in AXES]), eps)
-    pairs = checkpoint(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), "sure"))
+    pairs = stored(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), "sure"))
     edges, open_pairs = pairs.filter("sure").select("u", "v"), pairs.filter(~F.col("sure")).select("u", "v")
     open_pairs = open_pairs.withColumns({f"{s}{axis}": F.lit(0).cast("bigint") for s in "ab" for axis in AXES})
     # Boxes of the cells still in question, one level finer each round. ``a*``/``b*`` index the
@@ -119,7 +120,7 @@ def _link_dense(points: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
             for axis in AXES]
         split = (open_pairs.join(_prefixed(fine, "a_"), [F.col("u") == F.col("a_node"), *parent("a")])
                  .join(_prefixed(fine, "b_"), [F.col("v") == F.col("b_node"), *parent("b")]))
-        judged = checkpoint(_judge(split, eps).select(
+        judged = stored(_judge(split, eps).select(
             "u", "v", "sure", *[F.col(f"{s}_p{axis}").alias(f"{s}{axis}") for s in "ab" for axis in AXES]))
         sure = judged.filter("sure").select("u", "v").distinct()
         edges = edges.union(sure)
@@ -165,19 +166,19 @@ def dbscan(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float =
     spots = project(record, eps, hours).groupBy(*place).agg(
         F.count("*").alias("w"), *[F.first(a).alias(a) for a in AXES])
     spots = spots.withColumn("pid", F.monotonically_increasing_id())
-    spots = checkpoint(spots.withColumns({f"f{a}": F.col(a) / side for a in AXES})
+    spots = stored(spots.withColumns({f"f{a}": F.col(a) / side for a in AXES})
                        .withColumns({f"c{a}": F.floor(F.col(a) / side) for a in AXES}))
     grid = [f"c{a}" for a in AXES]
     cells = spots.groupBy(*grid).agg(
         F.sum("w").alias("_cw"), F.min("pid").alias("node"),
         *[f(a).alias(f"{a}_{end}") for a in AXES for f, end in ((F.min, "lo"), (F.max, "hi"))])
-    crowded = checkpoint(cells.filter(F.col("_cw") >= min_pts).drop("_cw"))
+    crowded = stored(cells.filter(F.col("_cw") >= min_pts).drop("_cw"))
     points = spots.join(crowded.select(*grid, "node"), grid, "left")
-    points = checkpoint(points.withColumn("dense", F.col("node").isNotNull())
+    points = stored(points.withColumn("dense", F.col("node").isNotNull())
                         .withColumn("node", F.coalesce("node", "pid")))
-    near = checkpoint(_near(points.filter(~F.col("dense")), points, eps))
+    near = stored(_near(points.filter(~F.col("dense")), points, eps))
     lone = near.groupBy("p").agg(F.sum("w").alias("w")).filter(F.col("w") >= min_pts).select(F.col("p").alias("node"))
-    core = checkpoint(crowded.select("node").union(lone))
+    core = stored(crowded.select("node").union(lone))
 
     from_core = near.join(core.select(F.col("node").alias("p")), "p", "left_semi").join(core, "node", "left_semi")
     edges = from_core.filter(F.col("p") != F.col("node")).select(F.col("p").alias("u"), F.col("node").alias("v"))
@@ -258,8 +259,8 @@ def clusters(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float
              limit: int = 300, members: DataFrame | None = None) -> DataFrame:
     """Q4: the largest clusters with their hulls."""
     members = dbscan(record, eps, min_pts, hours) if members is None else members
-    members = checkpoint(members.select("cluster", "lat", "lon", "time", "frp", "sensor"))
-    return with_hulls(members, checkpoint(largest(cluster_summary(members), limit)))
+    members = stored(members.select("cluster", "lat", "lon", "time", "frp", "sensor"))
+    return with_hulls(members, stored(largest(cluster_summary(members), limit)))
 
 
 def kmeans_strata(record: DataFrame, k: int = 4, restarts: int = 10, seed: int = 0) -> DataFrame:
