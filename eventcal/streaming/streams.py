@@ -36,10 +36,12 @@ def file_drop(spark: SparkSession, path: str, columns: list[str], files_per_trig
 
 
 def split_corrupt(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readable rows, rejected lines with their file)."""
+    """(readable rows, rejected lines with their file and the number of fields they had)."""
     bad = F.col("_corrupt_record").isNotNull()
+    columns = [c for c in lines.columns if c not in ("_corrupt_record", "src_file")]
+    fields = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
     return (lines.filter(~bad).drop("_corrupt_record"),
-            lines.filter(bad).select("src_file", F.col("_corrupt_record").alias("line")))
+            lines.filter(bad).select("src_file", F.col("_corrupt_record").alias("line"), fields.alias("fields")))
 
 
 def record_stream(lines: DataFrame) -> DataFrame:
