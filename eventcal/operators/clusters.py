@@ -275,8 +275,8 @@ def kmeans_strata(record: DataFrame, k: int = 4, restarts: int = 10, seed: int =
     centre = record.agg(F.avg("lat").alias("_lat0"), F.count("*").alias("_n"))
     vector = array_to_vector(F.array(
         F.col("lon") * 111.32 * F.cos(F.radians("_lat0")), F.col("lat") * 110.57, F.col("frp")))
-    ready = record.join(centre, F.lit(True)).filter(F.col("_n") >= k * 3).select(
-        "lat", "lon", "frp", vector.alias("features")).persist()
+    ready = stored(record.join(centre, F.lit(True)).filter(F.col("_n") >= k * 3).select(
+        "lat", "lon", "frp", vector.alias("features")), "strata-input")
     if ready.isEmpty():
         labelled = ready.withColumn("prediction", F.lit(0))
     else:

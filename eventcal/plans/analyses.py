@@ -21,6 +21,7 @@ from eventcal.operators import record as R
 from eventcal.operators import series as Q
 from eventcal.operators import spatial as G
 from eventcal.session import stored
+from eventcal.sources import archive as V
 
 
 def _clamp(v, low, high):
@@ -50,6 +51,42 @@ def record_summary(record: DataFrame) -> dict:
     return {"summary": R.summary(record), "sensors": R.sensor_counts(record)}
 
 
+MIN_LIMIT, DEFAULT_LIMIT, MERGE_LIMIT = 1_000, 750_000, 2_000_000
+
+
+def datasets(files: DataFrame, record: DataFrame) -> DataFrame:
+    """Q11: the inventory, smallest first, with each file's years and the note on thin ones."""
+    judged = V.judge_coverage(V.coverage(record))
+    return files.join(V.coverage_notes(judged), "src_file", "left").orderBy("bytes", "src_file")
+
+
+def open_record(record: DataFrame, files: DataFrame, limit: int | None = None, spread: bool = True,
+                src_file: str | None = None, year: int | None = None) -> dict:
+    """Q12: open one file, one calendar year, or everything, under a budget of rows.
+
+    A budget for several files is split by their bytes. ``limit=None`` takes the usual budget; the
+    whole record needs no opening. ``year`` wins over ``src_file``.
+    """
+    tie = tuple(c for c in ("src_file",) if c in record.columns)
+    if year is not None:
+        chosen = V.files_holding(V.judge_coverage(V.coverage(record)), year)
+        files = files.join(chosen.select("src_file"), "src_file", "left_semi")
+    elif src_file is not None:
+        files = files.filter(F.col("src_file") == src_file)
+    limit = max(limit or (DEFAULT_LIMIT if src_file and year is None else MERGE_LIMIT), MIN_LIMIT)
+    shares = V.allocate(files, limit).select("src_file", F.col("budget"))
+    held = record.join(shares.select("src_file"), "src_file", "left_semi")
+    if spread:
+        opened = V.spread_merge(held, shares, tie)
+    else:
+        opened = V.merge_budgeted(held, files, limit, tie).drop("budget", "bytes")
+    if year is not None:
+        opened = opened.filter(F.year("date") == year)
+    opened = R.dedupe(opened.select(*record.columns))
+    report = files.join(opened.groupBy("src_file").agg(F.count("*").alias("rows_kept")), "src_file", "left")
+    return {"record": opened, "report": report.withColumn("rows_kept", F.coalesce("rows_kept", F.lit(0)))}
+
+
 def calendar(record: DataFrame, box=None, start=None, end=None) -> DataFrame:
     """Q2."""
     return Q.daily(R.subset(record, box, start, end)).drop("present")

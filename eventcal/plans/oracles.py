@@ -618,4 +618,25 @@ k AS (SELECT user_id, g, min(d) AS a, max(d) AS b, count(*) AS days, CAST(sum(v)
   lead(min(d)) OVER (PARTITION BY user_id ORDER BY g) AS nxt FROM g GROUP BY 1, 2)
 SELECT CAST(user_id AS VARCHAR) AS "key", CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS "end", days, total
 FROM k WHERE nxt IS NOT NULL OR CAST(b AS TIMESTAMP) + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+    q["datasets_listing"] = FILES + cov("det") + """,
+nt AS (SELECT src_file, count(*) AS years, count_if(area_fraction < 0.25) AS thin_years,
+ 'regional window: ' || string_agg(printf('%d (%.0f° × %.0f°, %.1f %% of the inventory''s area)', year, maxlat - minlat,
+  maxlon - minlon, area_fraction * 100), ', ' ORDER BY year) FILTER (area_fraction < 0.25) AS note FROM jc GROUP BY 1)
+SELECT fl.src_file, bytes, rows, years, thin_years, note FROM fl LEFT JOIN nt ON nt.src_file = fl.src_file"""
+    q["open_record_year"] = FILES + cov("det") + f""",
+ch AS (SELECT src_file FROM jc WHERE year = 1999 AND (area_fraction >= 0.25
+  OR NOT EXISTS (SELECT 1 FROM jc WHERE year = 1999 AND area_fraction >= 0.25))),
+sh AS (SELECT src_file, greatest(1, floor(6000 * bytes / sum(bytes) OVER ())) AS quota FROM fl WHERE src_file IN (SELECT src_file FROM ch)),
+rk AS (SELECT det.*, quota, row_number() OVER (PARTITION BY det.src_file ORDER BY time, lat, lon, sensor) AS k,
+  count(*) OVER (PARTITION BY det.src_file) AS total FROM det JOIN sh ON sh.src_file = det.src_file)
+SELECT src_file, {key} FROM rk WHERE (k <= quota OR total <= quota) AND year(date) = 1999"""
+    q["year_lists"] = DAILY + f"""
+SELECT year(date) AS year, string_agg(printf('%.2f', {r("count", 2)}), ',' ORDER BY date) AS values FROM ser GROUP BY 1"""
+    q["active_runs"] = BASE + f""",
+{REG}, rdet AS (SELECT region, det.* FROM det JOIN reg ON lat BETWEEN a AND c AND lon BETWEEN b AND d),""" + daily_ctes(
+        "rdet", ("region",)) + """,
+ac AS (SELECT region, date, date - CAST(row_number() OVER (PARTITION BY region ORDER BY date) AS INTEGER) AS g FROM ser WHERE count > 0)
+SELECT region, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS "end", count(*) AS days FROM ac GROUP BY region, g"""
+    q["every_seventh_day"] = DAILY + f"""
+SELECT CAST(date AS VARCHAR) AS date, {r("count")} AS count FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM ser) WHERE i % 7 = 0"""
     return q

@@ -873,3 +873,40 @@ def events_stream_append(spark, sf_dir):
         ST.append_once(stream, path, scratch_path(spark, "r8-marks"),
                        ["event_id"]).awaitTermination()
     return shown(spark.read.parquet(path).drop("batch"))
+
+
+# ------------------------------------------------------------------ opening archives, remaining series views
+@query
+def datasets_listing(spark, sf_dir):
+    """Q11: the stand-in exports with their coverage notes."""
+    out = AN.datasets(_files(spark, sf_dir), T.detections(spark, sf_dir))
+    return shown(out.select("src_file", "bytes", "rows", "years", F.size("thin_years").alias("thin_years"), "note"))
+
+
+@query
+def open_record_year(spark, sf_dir):
+    """Q12: one year opened under a budget, spread over each file."""
+    opened = AN.open_record(T.detections(spark, sf_dir), _files(spark, sf_dir), limit=6000, year=1999)
+    return shown(opened["record"].select("src_file", "lat", "lon", "time", "sensor"))
+
+
+@query
+def year_lists(spark, sf_dir):
+    """Each year's daily values in order, as text."""
+    lists = Q.year_lists(_daily(spark, sf_dir).withColumn("count", X.steady_round("count", 2)), "count")
+    return lists.select(F.col("year").cast("bigint").alias("year"),
+                        F.array_join(F.transform("values", lambda v: F.format_string("%.2f", v)), ",").alias("values"))
+
+
+@query
+def active_runs(spark, sf_dir):
+    """Runs of consecutive active days of every region preset."""
+    s = Q.daily(G.in_regions(T.detections(spark, sf_dir)), ["region"])
+    runs = Q.value_runs(s.withColumn("v", F.when(F.col("count") > 0, F.col("count"))), "v", ["region"])
+    return shown(runs.select("region", "start", "end", "days"))
+
+
+@query
+def every_seventh_day(spark, sf_dir):
+    """The origins of a weekly backtest over the whole calendar."""
+    return shown(K.every_kth(_daily(spark, sf_dir).select("date", "count"), 7, "date"))

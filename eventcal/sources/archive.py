@@ -164,6 +164,24 @@ def merge_budgeted(record: DataFrame, files: DataFrame, limit: int, tie: tuple =
     return smallest(tagged, "budget", [F.col(c) for c in (*ORDER, *tie)], hour(), ["src_file"]).drop("rank")
 
 
+def spread_merge(record: DataFrame, shares: DataFrame, tie: tuple = (),
+                 rows_per_step: int = ROWS_PER_STEP_MIN) -> DataFrame:
+    """S8 per file under its own budget: (src_file, budget) decides steps and rows per step."""
+    span = record.groupBy("src_file").agg(
+        F.min(F.unix_seconds("time")).alias("_lo"), F.max(F.unix_seconds("time")).alias("_hi"),
+        F.count("*").alias("_total")).join(shares, "src_file")
+    steps = F.greatest(F.lit(1), F.least(F.lit(SPREAD_STEPS_MAX), F.floor(F.col("budget") / rows_per_step)))
+    span = span.withColumn("_steps", steps)
+    seconds = F.unix_seconds("time")
+    joined = record.join(span, "src_file")
+    wide = F.floor(F.try_divide((seconds - F.col("_lo")) * F.col("_steps"), F.col("_hi") - F.col("_lo")))
+    tagged = joined.withColumn("step", F.least(F.coalesce(wide, F.lit(0)), F.col("_steps") - 1)).withColumn(
+        "_quota", F.when(F.col("_total") <= F.col("budget"), F.col("_total"))
+        .otherwise(F.greatest(F.lit(1), F.floor(F.col("budget") / F.col("_steps")))))
+    picked = smallest(tagged, "_quota", [F.col(c) for c in (*ORDER, *tie)], hour(), ["src_file", "step"])
+    return picked.select(*record.columns)
+
+
 def merge_report(files: DataFrame, merged: DataFrame, limit: int) -> DataFrame:
     """What came out of each file; files that gave nothing are named."""
     took = merged.groupBy("src_file").agg(F.count("*").alias("rows_read"))
