@@ -94,7 +94,8 @@ def month_profile(series: DataFrame, keys: list[str] = ()) -> DataFrame:
 def _median(values: Column) -> Column:
     ordered = F.array_sort(values)
     n = F.size(ordered)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+    # Position 1 of an empty list is null.
+    low = F.try_element_at(ordered, F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int")))
     high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
     return (low + high) / 2
 

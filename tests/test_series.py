@@ -88,6 +88,9 @@ def test_season_summary_orders(spark):
     d = days("2019-01-01", "2022-12-31")
     v = [5 + 20 * np.exp(-(((x.timetuple().tm_yday - 100) / 20) ** 2)) for x in d]
     s = Q.season_summary(series(spark, list(zip(d, map(float, v))))).first()
-    assert s.onset_doy <= s.peak_doy <= s.cessation_doy and abs(s.peak_doy - 100) <= 3
+    # A 15-day p95 is nearly flat while its window holds the peak, so its first maximum lies within
+    # half a window of it; the plain mean has the peak itself.
+    assert s.onset_doy <= s.peak_doy <= s.cessation_doy and abs(s.peak_doy - 100) <= 7
+    assert s.max_mean_doy == 100
     env = Q.envelope_steps(Q.doy_envelope(series(spark, list(zip(d, map(float, v)))))).collect()
     assert len(env) == 73 and all(r.p10 <= r.p50 <= r.p90 <= r.p95 for r in env)
