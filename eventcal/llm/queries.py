@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import substring_dedup
+from eventcal.llm import substring_dedup, suffix_dedup
 
 _QUERIES: dict = {}
 
@@ -33,5 +33,11 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", _sha("kept_text").alias("kept_sha256"), "spans")
 
 
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
