@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import substring_dedup, suffix_dedup
+from eventcal.llm import decontamination, substring_dedup, suffix_dedup
 
 _QUERIES: dict = {}
 
@@ -39,5 +39,13 @@ def op10_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
 
 
+@query
+def op6_decontamination(spark, sf_dir):
+    out = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
