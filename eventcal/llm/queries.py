@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import decontamination, substring_dedup, suffix_dedup
+from eventcal.llm import decontamination, jaccard_join, substring_dedup, suffix_dedup
 
 _QUERIES: dict = {}
 
@@ -47,5 +47,11 @@ def op6_decontamination(spark, sf_dir):
                       (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+@query
+def op8_jaccard_join(spark, sf_dir):
+    out = jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
