@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import decontamination, jaccard_join, substring_dedup, suffix_dedup
+from eventcal.llm import decontamination, jaccard_join, quality, secrets, substring_dedup, suffix_dedup
 
 _QUERIES: dict = {}
 
@@ -53,5 +53,18 @@ def op8_jaccard_join(spark, sf_dir):
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op9_quality_rules(spark, sf_dir):
+    out = quality.supervise(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.round("posterior", 6).alias("posterior"))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", _sha("base_spans").alias("base_sha256"), "spans", "n_guess")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
