@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import decontamination, jaccard_join, quality, secrets, substring_dedup, suffix_dedup
+from eventcal.llm import (decontamination, jaccard_join, language, license_scan, quality, secrets, sentencepiece_codec,
+                          substring_dedup, suffix_dedup, token_counts)
 
 _QUERIES: dict = {}
 
@@ -66,5 +67,31 @@ def op4_secret_scan(spark, sf_dir):
     return out.select("doc_id", "n_assign", "n_access", "n_hex", _sha("base_spans").alias("base_sha256"), "spans", "n_guess")
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(language.learnable(docs))
+    out = language.predict(docs.withColumn("held_out", language.held_out()), model, keep=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_sentencepiece(spark, sf_dir):
+    out = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_pieces", _sha("ids").alias("ids_sha256"), "lossless")
+
+
+@query
+def op2_license_scan(spark, sf_dir):
+    out = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"),
+                      F.array_join("licenses", ",").alias("licenses"), "places")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
