@@ -158,9 +158,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = spark.sparkContext.broadcast(model)               # bounded: MOST_CONTEXTS and 256 classes
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), letter.alias("_letter"),
-                       *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
-    kept = [f"_keep{i}" for i in range(len(keep))]
-    given = rows.drop("_letter", "_text").schema
+                       *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep) if c != text_col])
+    kept = ["_text" if c == text_col else f"_keep{i}" for i, c in enumerate(keep)]
+    given = rows.select("_id", *kept).schema
 
     def score(batches):
         model = sent.value
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = S.StructType([*given.fields, S.StructField("lang_pred", S.StringType()), S.StructField("score", S.DoubleType()),
                            S.StructField("bits_per_byte", S.DoubleType())])
     out = rows.mapInArrow(score, schema)
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
+    return out.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(kept, keep)],
                       "lang_pred", "score", "bits_per_byte")
 
 

@@ -57,25 +57,24 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _pairs(x: Column, step: int, reach: int) -> Column:
-    """The least of the entries ``reach`` apart from every ``step``-th on; a window cut short at the end counts."""
+def _minima(x: Column, size: int) -> Column:
+    """The least entry of each window of ``size``, every half window; one cut short at the end counts."""
+    step = max(1, size // 2)
     n = F.ceil(F.size(x) / F.lit(step)).cast("int")
-    return F.transform(_upto(n), lambda i: F.least(*[F.get(x, i * step + k) for k in reach]))
+    return F.transform(_upto(n), lambda i: F.array_min(F.slice(x, i * step + 1, F.lit(size))))
 
 
 def with_windows(df: DataFrame, sizes=SIZES) -> DataFrame:
     """The minima of each band over each size of windows, as columns ``m{size}_{band}``, from column ``sh``."""
-    for b, mask in enumerate(MASKS):
-        if max(sizes) == 1:
-            break
-        df = df.withColumn(f"x_{b}", F.transform("sh", lambda h: h.bitwiseXOR(F.lit(mask))))
-        df = df.withColumn(f"m2_{b}", _pairs(F.col(f"x_{b}"), 2, (0, 1))).drop(f"x_{b}")
-        df = df.withColumn(f"m4_{b}", _pairs(F.col(f"m2_{b}"), 1, (0, 1))).drop(f"m2_{b}")
-        if max(sizes) >= 16:                     # windows of 4 begin at every second shingle
-            df = df.withColumn(f"m16_{b}", _pairs(F.col(f"m4_{b}"), 4, (0, 2, 4, 6)))
-        if max(sizes) >= 64:                     # windows of 16 begin at every eighth
-            df = df.withColumn(f"m64_{b}", _pairs(F.col(f"m16_{b}"), 4, (0, 2, 4, 6)))
-    return df
+    wide = [s for s in sizes if s > 1]
+    if wide:
+        df = df.withColumns({f"x_{b}": F.transform("sh", _masked(mask)) for b, mask in enumerate(MASKS)})
+        df = df.withColumns({f"m{s}_{b}": _minima(F.col(f"x_{b}"), s) for s in wide for b in range(BANDS)})
+    return df.drop(*[f"x_{b}" for b in range(BANDS)])
+
+
+def _masked(mask: int):
+    return lambda h: h.bitwiseXOR(F.lit(mask))
 
 
 def size_for(n: int) -> int:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventcal.llm import text as T
 
@@ -197,8 +198,8 @@ def _redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
 
 
 def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-         mark: str = MARK) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_guess, base_spans, spans, redacted) of every row.
+         mark: str = MARK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, n_guess, base_spans, spans, redacted) of every row, and the columns in ``keep``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by kind as listed, comma-joined; the
     base ones alone in ``base_spans``. ``redacted`` is the text with each run of secrets replaced by ``mark``, null where there is
@@ -231,7 +232,13 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
                     shown = lambda xs: ",".join(f"{k}:{s}:{e}" for s, k, e in xs)
                     rows.append((i, *count.values(), shown([x for x in spans if x[1] != "guess"]), shown(spans),
                                  _redacted(text.decode("utf-8", "replace"), spans, mark)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        look, SCHEMA).withColumnRenamed("id", id_col)
+                made = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), ARROW)]
+                yield pa.RecordBatch.from_arrays([*made, *[part[c] for c in kept]], [*ARROW.names, *kept])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep) if c != text_col])
+    kept = ["text" if c == text_col else f"_keep{i}" for i, c in enumerate(keep)]
+    carried = rows.select(*kept)
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *carried.schema.fields])
+    out = rows.mapInArrow(look, schema)
+    return out.select(F.col("id").alias(id_col), *ARROW.names[1:], *[F.col(k).alias(c) for k, c in zip(kept, keep)])
