@@ -166,4 +166,6 @@ def steady_round(c: str | Column, digits: int = 6) -> Column:
     either way. Moving the tie by 1e-5 of the last digit makes the shown value reproducible.
     """
     scale = 10.0 ** digits
-    return F.floor(col(c) * scale + 0.50001).cast("double") / scale
+    # Beyond 2^53 units a double has no fraction to round; infinities and NaN stay what they are.
+    fits = F.abs(col(c)) < float(2 ** 53) / scale
+    return F.when(fits, F.floor(col(c) * scale + 0.50001).cast("double") / scale).otherwise(col(c).cast("double"))

@@ -25,9 +25,10 @@ SPLIT = 4
 AXES = ("x", "y", "t")
 
 
-def clamp_parameters(eps: float, min_pts: int, hours: float, eps_range=(10, 5000), hours_range=(0.5, 720)) -> tuple:
-    return (min(max(eps, eps_range[0]), eps_range[1]), min(max(min_pts, 1), 100),
-            min(max(hours, hours_range[0]), hours_range[1]))
+def check_parameters(eps: float, min_pts: int, hours: float, eps_range=(10, 5000), hours_range=(0.5, 720)) -> None:
+    for name, value, (low, high) in (("eps", eps, eps_range), ("min_pts", min_pts, (1, 100)), ("hours", hours, hours_range)):
+        if not low <= value <= high:
+            raise ValueError(f"{name} is {value}; it may be from {low} to {high}")
 
 
 def project(record: DataFrame, eps: float, hours: float) -> DataFrame:
@@ -204,10 +205,20 @@ def cluster_summary(members: DataFrame) -> DataFrame:
         ((F.max(F.unix_seconds("time")) - F.min(F.unix_seconds("time"))) / 3600).alias("duration_h"))
 
 
-def largest(summary: DataFrame, limit: int = 300) -> DataFrame:
-    """The biggest clusters, numbered from 1."""
-    picked = summary.orderBy(F.col("n").desc(), "cluster").limit(limit)
-    return picked.withColumn("id", F.row_number().over(over().orderBy(F.col("n").desc(), "cluster")))
+def largest(summary: DataFrame, limit: int | None = 300) -> DataFrame:
+    """The biggest clusters, numbered from 1, and how many there are in all (``total``).
+
+    ``limit=None`` takes all; they are then numbered without one sort of everything in a task.
+    """
+    order = [F.col("n").desc(), F.col("cluster").asc()]
+    total = summary.agg(F.count("*").alias("total"))
+    if limit is None:
+        from eventcal.operators.ranking import global_rank
+
+        ranked = global_rank(summary.withColumn("_m", -F.col("n")), ["_m"], ["cluster"])
+        return ranked.withColumn("id", F.col("row").cast("int")).drop("_m", "row").join(total, F.lit(True))
+    picked = summary.orderBy(*order).limit(limit)
+    return picked.withColumn("id", F.row_number().over(over().orderBy(*order))).join(total, F.lit(True))
 
 
 def convex_hull(points: list[tuple]) -> list[tuple]:
@@ -256,8 +267,8 @@ def with_hulls(members: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def clusters(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float = 12,
-             limit: int = 300, members: DataFrame | None = None) -> DataFrame:
-    """Q4: the largest clusters with their hulls."""
+             limit: int | None = 300, members: DataFrame | None = None) -> DataFrame:
+    """Q4: the largest clusters (all with ``limit=None``) with their hulls and the number of clusters there are."""
     members = dbscan(record, eps, min_pts, hours) if members is None else members
     members = stored(members.select("cluster", "lat", "lon", "time", "frp", "sensor"))
     return with_hulls(members, stored(largest(cluster_summary(members), limit)))

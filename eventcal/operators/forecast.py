@@ -186,7 +186,11 @@ def tweedie_pipeline(max_iter: int = 25) -> Pipeline:
                                     regParam=1e-3, maxIter=max_iter, predictionCol="yhat")])
 
 
-def boosted_pipeline(rounds: int = 40, depth: int = 5, validated: bool = False, seed: int = 0) -> Pipeline:
+#: The most rounds of boosting; the validated tail stops earlier.
+MOST_ROUNDS = 600
+
+
+def boosted_pipeline(rounds: int = MOST_ROUNDS, depth: int = 5, validated: bool = False, seed: int = 0) -> Pipeline:
     """boosted trees on log1p of the count; ``validated`` stops on the marked tail.
 
     MLlib trees have no Tweedie loss, so the squared error is taken in log space.
@@ -198,7 +202,7 @@ def boosted_pipeline(rounds: int = 40, depth: int = 5, validated: bool = False,
     return Pipeline(stages=[VectorAssembler(inputCols=list(S.FEATURES), outputCol="features"), trees])
 
 
-def fit_boosted(features: DataFrame, rounds: int = 40, depth: int = 5):
+def fit_boosted(features: DataFrame, rounds: int = MOST_ROUNDS, depth: int = 5):
     """rounds chosen on the last 90 days of the training rows, then refitted on all of them."""
     ends = features.agg(F.max("date").alias("_last"))
     marked = (features.join(ends, F.lit(True)).withColumn("y", F.log1p("v"))
@@ -271,13 +275,15 @@ def backtest(rows: DataFrame, fit=fit_tweedie, horizons: tuple = S.HORIZONS, ste
 
 
 def spatial_backtest(rows: DataFrame, fit=fit_tweedie, horizons: tuple = S.HORIZONS, step: int = 14,
-                     max_blocks: int = 12) -> DataFrame:
+                     max_blocks: int | None = None) -> DataFrame:
     """Fit without a block of ground, score on it over the record's last year.
 
-    The held-out cells' climatology and baselines come from dates before that year.
+    The held-out cells' climatology and baselines come from dates before that year. ``max_blocks`` scores only the
+    largest blocks.
     """
     folds = spatial_folds(rows)
-    sized = folds.groupBy("fold").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "fold").limit(max_blocks)
+    sized = folds.groupBy("fold").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "fold")
+    sized = sized if max_blocks is None else sized.limit(max_blocks)
     end = rows.agg(F.max("date").alias("e")).first().e
     pre = F.col("date") < F.date_sub(F.lit(end), 365)
     out = []
@@ -421,11 +427,14 @@ def earned_days(verdicts: DataFrame, horizon: int, key: str = "group") -> DataFr
 def serve(prior: DataFrame, model: DataFrame, earned: DataFrame) -> DataFrame:
     """The model's value on the days it earned, the prior's elsewhere, method per row.
 
-    ``prior`` and ``model``: h, date, count; ``earned``: day, earned.
+    ``prior`` and ``model``: h, date, count; ``earned``: day, earned. They meet by date: the model's last day of data may be
+    another than the area's. A day is earned by how far ahead of the area's last day it is.
     """
     won = earned.filter("earned").select(F.col("day").alias("h"))
-    kept = model.join(won, "h", "left_semi").select("h", F.col("count").alias("_m"))
-    return prior.join(kept, "h", "left").select(
+    kept = model.select("date", F.col("count").alias("_m"))
+    days = prior.join(won.withColumn("_won", F.lit(True)), "h", "left").join(kept, "date", "left")
+    days = days.withColumn("_m", F.when(F.col("_won"), F.col("_m")))
+    return days.select(
         "h", "date", F.coalesce("_m", "count").alias("count"),
         F.when(F.col("_m").isNotNull(), "model").otherwise("prior").alias("method"))
 

@@ -16,7 +16,6 @@ from eventcal.operators.series import over
 
 MIN_CELL_DAYS = 5
 MIN_ACTIVE_DOY = 25
-MAX_CELLS = 2000
 COVERAGE_DROP, COVERAGE_WINDOW, COVERAGE_MIN_DAYS = 50.0, 30, 180
 
 
@@ -58,14 +57,16 @@ def _on_calendar(days: DataFrame, ends: DataFrame) -> DataFrame:
                          F.when(F.col("_day") == F.col("date"), F.col("v")).otherwise(0.0).alias("v"))
 
 
-def serving_series(counts: DataFrame, known: DataFrame | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
-    """The area's cells as the model knows them, the busiest at most ``max_cells``."""
+def serving_series(counts: DataFrame, known: DataFrame | None = None, max_cells: int | None = None) -> DataFrame:
+    """The area's cells as the model knows them; with ``max_cells``, only so many of the busiest."""
     days = cell_days(counts)
     if known is not None:
         days = days.join(known.select("cell").distinct(), "cell", "left_semi")
-    busiest = days.groupBy("cell").agg(F.sum("v").alias("_t")).orderBy(F.col("_t").desc(), "cell").limit(max_cells)
     ends = days.agg(F.min("date").alias("_first"), F.max("date").alias("_last")).withColumn("_one", F.lit(1))
-    return _on_calendar(days.join(busiest.select("cell"), "cell", "left_semi"), ends)
+    if max_cells is not None:
+        busiest = days.groupBy("cell").agg(F.sum("v").alias("_t")).orderBy(F.col("_t").desc(), "cell").limit(max_cells)
+        days = days.join(busiest.select("cell"), "cell", "left_semi")
+    return _on_calendar(days, ends)
 
 
 # ------------------------------------------------------------------ seasonal prior

@@ -49,11 +49,11 @@ def smallest(df: DataFrame, n: int | str, order: list[Column], bucket: Column, k
     return ranked.filter(F.col("rank") <= quota).drop("_bucket", "_cut", "_in")
 
 
-def sample(record: DataFrame, limit: int = 6000, seed: int = 0, highest: int = 20000) -> DataFrame:
-    """T4: a uniform sample of at most ``limit`` rows (clamped to 1..``highest``)."""
-    limit = min(max(limit, 1), highest)
-    tagged = record.withColumn("_key", sample_key(seed))
-    return smallest(tagged, limit, [F.col("_key")], F.substring("_key", 1, 4)).drop("_key", "rank")
+def sample(record: DataFrame, limit: int = 6000, seed: int = 0) -> DataFrame:
+    """T4: a uniform sample of ``limit`` rows, or all if there are fewer; the top of each partition, then of those."""
+    if limit < 1:
+        raise ValueError("limit: one row or more")
+    return record.withColumn("_key", sample_key(seed)).orderBy("_key").limit(limit).drop("_key")
 
 
 def hour() -> Column:
@@ -64,13 +64,13 @@ def hour() -> Column:
 def head(record: DataFrame, limit: int, order: list[str]) -> DataFrame:
     """The first ``limit`` rows by time, with ``capped`` telling whether more existed."""
     total = record.agg(F.count("*").alias("_total"))
-    picked = smallest(record, limit, [F.col(c) for c in order], hour())
-    return picked.join(total, F.lit(True)).withColumn("capped", F.col("_total") > limit).drop("_total", "rank")
+    picked = record.orderBy(*order).limit(limit)
+    return picked.join(total, F.lit(True)).withColumn("capped", F.col("_total") > limit).drop("_total")
 
 
 def newest(record: DataFrame, limit: int, order: list[str]) -> DataFrame:
     """The last ``limit`` rows by time."""
-    return smallest(record, limit, [F.col(c).desc() for c in order], -hour()).drop("rank")
+    return record.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
 
 
 def global_rank(df: DataFrame, levels: list[str], order: list[str]) -> DataFrame:

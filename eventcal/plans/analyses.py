@@ -51,9 +51,6 @@ def record_summary(record: DataFrame) -> dict:
     return {"summary": R.summary(record), "sensors": R.sensor_counts(record)}
 
 
-MIN_LIMIT, DEFAULT_LIMIT, MERGE_LIMIT = 1_000, 750_000, 2_000_000
-
-
 def datasets(files: DataFrame, record: DataFrame) -> DataFrame:
     """Q11: the inventory, smallest first, with each file's years and the note on thin ones."""
     judged = V.judge_coverage(V.coverage(record))
@@ -62,26 +59,29 @@ def datasets(files: DataFrame, record: DataFrame) -> DataFrame:
 
 def open_record(record: DataFrame, files: DataFrame, limit: int | None = None, spread: bool = True,
                 src_file: str | None = None, year: int | None = None) -> dict:
-    """Q12: open one file, one calendar year, or everything, under a budget of rows.
+    """Q12: open one file, one calendar year, or everything; all of it, or under a budget of ``limit`` rows.
 
-    A budget for several files is split by their bytes. ``limit=None`` takes the usual budget; the
-    whole record needs no opening. ``year`` wins over ``src_file``.
+    A budget for several files is split by their bytes and, with ``spread``, spread over the time that is opened: the
+    year is cut out first. ``year`` wins over ``src_file``.
     """
+    if limit is not None and limit < 1:
+        raise ValueError("limit: one row or more, or None for all")
     tie = tuple(c for c in ("src_file",) if c in record.columns)
     if year is not None:
         chosen = V.files_holding(V.judge_coverage(V.coverage(record)), year)
-        files = files.join(chosen.select("src_file"), "src_file", "left_semi")
+        files = stored(files.join(chosen.select("src_file"), "src_file", "left_semi"), "files")
+        held = V.of_year(record, year).join(files.select("src_file"), "src_file", "left_semi")
     elif src_file is not None:
         files = files.filter(F.col("src_file") == src_file)
-    limit = max(limit or (DEFAULT_LIMIT if src_file and year is None else MERGE_LIMIT), MIN_LIMIT)
-    shares = V.allocate(files, limit).select("src_file", F.col("budget"))
-    held = record.join(shares.select("src_file"), "src_file", "left_semi")
-    if spread:
-        opened = V.spread_merge(held, shares, tie)
+        held = record.filter(F.col("src_file") == src_file)
+    else:
+        held = record
+    if limit is None:
+        opened = held
+    elif spread:
+        opened = V.spread_merge(held, V.allocate(files, limit), tie)
     else:
         opened = V.merge_budgeted(held, files, limit, tie).drop("budget", "bytes")
-    if year is not None:
-        opened = opened.filter(F.year("date") == year)
     opened = R.dedupe(opened.select(*record.columns))
     report = files.join(opened.groupBy("src_file").agg(F.count("*").alias("rows_kept")), "src_file", "left")
     return {"record": opened, "report": report.withColumn("rows_kept", F.coalesce("rows_kept", F.lit(0)))}
@@ -99,9 +99,9 @@ def points(record: DataFrame, box=None, start=None, end=None, limit: int = 6000)
 
 
 def clusters(record: DataFrame, box=None, start=None, end=None, eps: float = 550, min_pts: int = 3,
-             hours: float = 12, limit: int = 300) -> DataFrame:
+             hours: float = 12, limit: int | None = 300) -> DataFrame:
     """Q4."""
-    eps, min_pts, hours = C.clamp_parameters(eps, min_pts, hours)
+    C.check_parameters(eps, min_pts, hours)
     return C.clusters(R.subset(record, box, start, end), eps, min_pts, hours, limit)
 
 
@@ -237,7 +237,8 @@ def forecast(record: DataFrame, box=None, horizon: int = 30, prior: dict | None
     draws the days its stored scores earn for the preset that contains the box (else globally) and
     for cells it was trained on; the seasonal prior draws the rest.
     """
-    horizon = _clamp(horizon, 1, 90)
+    if not 1 <= horizon <= 90:
+        raise ValueError(f"horizon is {horizon}; it may be from 1 to 90 days")
     box = X.parse_box(box) if isinstance(box, str) else box
     spark = record.sparkSession
     series = _series(record, box)
@@ -273,9 +274,12 @@ def forecast(record: DataFrame, box=None, horizon: int = 30, prior: dict | None
 
 
 def live_snapshot(feeds: DataFrame, box=None, eps: float = 550, min_pts: int = 3, hours: float = 12,
-                  crop: bool = False) -> dict:
-    """Q10: several feeds' records overlaid: each detection once, counted, and clustered."""
-    eps, min_pts, hours = C.clamp_parameters(eps, min_pts, hours, (50, 10000), (0.5, 48))
+                  crop: bool = False, limit: int | None = 150) -> dict:
+    """Q10: several feeds' records overlaid: each detection once, counted, and clustered.
+
+    ``clusters`` is a function of no arguments, so that only who asks for clusters pays for them.
+    """
+    C.check_parameters(eps, min_pts, hours, (50, 10000), (0.5, 48))
     rows = stored(R.dedupe(R.subset(feeds, box if crop else None)), "live")
     return {"rows": rows, "summary": R.summary(rows), "sensors": R.sensor_counts(rows),
-            "clusters": C.clusters(rows, eps, min_pts, hours, limit=150)}
+            "clusters": lambda: C.clusters(rows, eps, min_pts, hours, limit)}

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from eventcal.schema import REGIONS
-from eventcal.sources.driver_tables import RAW_SELECT
+from eventcal.sources.driver_tables import FIRST, RAW_SELECT
 
 
 def r(expr: str, digits: int = 6) -> str:
     """Round with the tie point moved off exact halves (see scalars.steady_round)."""
-    return f"(floor(({expr}) * 1e{digits} + 0.50001) / 1e{digits})"
+    return (f"(CASE WHEN abs(({expr})) < {2 ** 53}e0 / 1e{digits} THEN floor(({expr}) * 1e{digits} + 0.50001) / 1e{digits} "
+            f"ELSE CAST(({expr}) AS DOUBLE) END)")
 
 
-RAW = RAW_SELECT.format(text="VARCHAR") + " FROM lineitem"
+RAW = RAW_SELECT.format(text="VARCHAR", first=FIRST) + " FROM lineitem"
 # Harmonised rows, written out from the definitions.
 HARM = f"""
 SELECT src_file, latitude AS lat, longitude AS lon,
@@ -347,9 +348,8 @@ SELECT src_file, count(*) AS n, CAST(min(date) AS VARCHAR) AS start, CAST(max(da
     q["spread_slice"] = BASE + f""",
 sp AS (SELECT min(epoch(time)) AS lo, max(epoch(time)) AS hi FROM det),
 bn AS (SELECT det.*, CAST(least(floor((epoch(time) - lo) * 24 / (hi - lo)), 23) AS BIGINT) AS step FROM det, sp),
-rk AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY time, lat, lon, sensor) AS k,
-  count(*) OVER () AS total FROM bn)
-SELECT step, {key} FROM rk WHERE k <= 200 OR total <= 4800"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY time, lat, lon, sensor) AS k FROM bn)
+SELECT step, {key} FROM rk QUALIFY row_number() OVER (ORDER BY k, step) <= 4800"""
     MERGED = FILES + """,
 mg AS (SELECT * FROM (SELECT det.*, budget, row_number() OVER (PARTITION BY det.src_file ORDER BY time, lat, lon, sensor) AS k
   FROM det JOIN bud ON bud.src_file = det.src_file) WHERE k <= budget)"""
@@ -377,7 +377,7 @@ WHERE NOT EXISTS (SELECT 1 FROM dc WHERE dc.cell = tl.cell AND dc.date >= tl.w A
     DBSCAN = ("WITH RECURSIVE" + BASE[len("WITH"):] + """,
 m0 AS (SELECT avg(lat) AS lat0 FROM det),
 pt AS (SELECT row_number() OVER (ORDER BY time, lat, lon, sensor) AS i, det.*, lon * 111320 * cos(radians(lat0)) AS x,
-  lat * 110540 AS y, epoch(time) / 3600 / 48 * 550 AS t FROM det, m0),
+  lat * 110540 AS y, epoch(time) / 3600 / 16 * 550 AS t FROM det, m0),
 gr AS (SELECT *, CAST(floor(x / 550) AS BIGINT) AS gx, CAST(floor(y / 550) AS BIGINT) AS gy,
   CAST(floor(t / 550) AS BIGINT) AS gt FROM pt),
 o3 AS (SELECT CAST(unnest(range(-1, 2)) AS BIGINT) AS o),
@@ -391,13 +391,20 @@ lab AS (SELECT p AS i, min(q) AS root FROM reach GROUP BY 1),
 fr AS (SELECT nbr.p AS i, min(lab.root) AS root FROM nbr JOIN lab ON lab.i = nbr.q
   WHERE nbr.p NOT IN (SELECT i FROM co) GROUP BY 1),
 mem AS (SELECT i, root, true AS core FROM lab UNION ALL SELECT i, root, false FROM fr),
-cl AS (SELECT pt.*, core, strftime(rp.time, '%Y-%m-%d %H:%M:%S') || '|' || printf('%.4f|%.4f', rp.lat, rp.lon) AS cluster
+cl AS (SELECT pt.*, core, strftime(rp.time, '%Y-%m-%d %H:%M:%S') || '|' || printf('%.4f|%.4f', rp.lat, rp.lon) AS cluster,
+  rp.time AS cluster_time, rp.lat AS cluster_lat, rp.lon AS cluster_lon
   FROM mem JOIN pt USING (i) JOIN pt rp ON rp.i = mem.root)""")
     q["dbscan_members"] = DBSCAN + f" SELECT {key}, core, cluster FROM cl"
     q["cluster_summary"] = DBSCAN + f"""
 SELECT cluster, count(*) AS n, {r("sum(frp)")} AS frp, {r("avg(lat)")} AS lat, {r("avg(lon)")} AS lon,
  strftime(min(time), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(time), '%Y-%m-%d %H:%M:%S') AS "end",
  string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, {r("(epoch(max(time)) - epoch(min(time))) / 3600")} AS duration_h
+FROM cl GROUP BY cluster"""
+    q["live_clusters"] = DBSCAN + f"""
+SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, min((cluster_time, cluster_lat, cluster_lon))) AS BIGINT) AS id,
+ count(*) OVER () AS total, count(*) AS n, {r("sum(frp)", 4)} AS frp,
+ {r("avg(lat)", 4)} AS lat, {r("avg(lon)", 4)} AS lon, strftime(min(time), '%Y-%m-%d %H:%M:%S') AS start,
+ strftime(max(time), '%Y-%m-%d %H:%M:%S') AS "end", {r("(epoch(max(time)) - epoch(min(time))) / 3600", 4)} AS duration_h
 FROM cl GROUP BY cluster"""
     q["cell_doy_grid"] = BASE + f" SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2"
     SHAPES = DAILY + f""",
@@ -588,36 +595,34 @@ fp AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, crv.v * scale
 SELECT {fcols}, 'prior' AS method FROM fp"""
     at = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
     wcols = f"{at('s')} AS start, {at('e')} AS \"end\", {{0}}, count(*) AS n, {r('sum(value)')} AS total"
-    # A stream in append mode has closed what ends a day before the newest event.
-    closed = "e <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
     TUM = "WITH w AS (SELECT *, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS e FROM events)"
     q["events_tumbling"] = TUM + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
-    q["events_stream_tumbling"] = TUM + f" SELECT {wcols.format('event_type')} FROM w WHERE {closed} GROUP BY s, e, event_type"
+    q["events_stream_tumbling"] = TUM + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
     SLI = """WITH w AS (SELECT events.*, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS s,
  date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) + INTERVAL 7 DAY AS e FROM events, (SELECT unnest(range(0, 7)) AS k))"""
     q["events_sliding"] = SLI + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
-    q["events_stream_sliding"] = SLI + f" SELECT {wcols.format('event_type')} FROM w WHERE {closed} GROUP BY s, e, event_type"
+    q["events_stream_sliding"] = SLI + f" SELECT {wcols.format('event_type')} FROM w GROUP BY s, e, event_type"
     SES = """WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
  g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o),
  w AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 12 HOUR AS e, count(*) AS n, sum(value) AS total FROM g GROUP BY user_id, g)"""
     scols = f"{at('s')} AS start, {at('e')} AS \"end\", user_id, n, {r('total')} AS total"
     q["events_sessions"] = SES + f" SELECT {scols} FROM w"
-    q["events_stream_sessions"] = SES + f" SELECT {scols} FROM w WHERE {closed}"
+    q["events_stream_sessions"] = SES + f" SELECT {scols} FROM w"
     ev = f"SELECT event_id, user_id, event_type, {r('value')} AS value FROM events"
     q["events_stream_dedupe"] = q["events_stream_append"] = ev
     q["events_stream_alerts"] = TUM + f""",
 d AS (SELECT s, e, event_type, count(*) AS n, sum(value) AS total FROM w GROUP BY 1, 2, 3),
 st AS (SELECT event_type, avg(n) AS mu, stddev_pop(n) AS sd FROM d GROUP BY 1)
 SELECT {at('s')} AS start, {at('e')} AS "end", d.event_type, n, {r("total")} AS total, {r("(n - mu) / sd")} AS z
-FROM d JOIN st ON st.event_type = d.event_type WHERE {closed} AND (n - mu) / sd >= 1"""
+FROM d JOIN st ON st.event_type = d.event_type WHERE (n - mu) / sd >= 1"""
     q["events_stream_streaks"] = TUM + f""",
-d AS (SELECT user_id, CAST(s AS DATE) AS d, count(*) AS v FROM w WHERE {closed} GROUP BY 1, 2 HAVING count(*) >= 3),
+d AS (SELECT user_id, CAST(s AS DATE) AS d, count(*) AS v FROM w GROUP BY 1, 2 HAVING count(*) >= 3),
 o AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY user_id ORDER BY d) <= 2 THEN 0 ELSE 1 END AS opens FROM d),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS g FROM o),
 k AS (SELECT user_id, g, min(d) AS a, max(d) AS b, count(*) AS days, CAST(sum(v) AS DOUBLE) AS total,
   lead(min(d)) OVER (PARTITION BY user_id ORDER BY g) AS nxt FROM g GROUP BY 1, 2)
 SELECT CAST(user_id AS VARCHAR) AS "key", CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS "end", days, total
-FROM k WHERE nxt IS NOT NULL OR CAST(b AS TIMESTAMP) + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+FROM k"""
     q["datasets_listing"] = FILES + cov("det") + """,
 nt AS (SELECT src_file, count(*) AS years, count_if(area_fraction < 0.25) AS thin_years,
  'regional window: ' || string_agg(printf('%d (%.0f° × %.0f°, %.1f %% of the inventory''s area)', year, maxlat - minlat,
@@ -626,10 +631,16 @@ SELECT fl.src_file, bytes, rows, years, thin_years, note FROM fl LEFT JOIN nt ON
     q["open_record_year"] = FILES + cov("det") + f""",
 ch AS (SELECT src_file FROM jc WHERE year = 1999 AND (area_fraction >= 0.25
   OR NOT EXISTS (SELECT 1 FROM jc WHERE year = 1999 AND area_fraction >= 0.25))),
-sh AS (SELECT src_file, greatest(1, floor(6000 * bytes / sum(bytes) OVER ())) AS quota FROM fl WHERE src_file IN (SELECT src_file FROM ch)),
-rk AS (SELECT det.*, quota, row_number() OVER (PARTITION BY det.src_file ORDER BY time, lat, lon, sensor) AS k,
-  count(*) OVER (PARTITION BY det.src_file) AS total FROM det JOIN sh ON sh.src_file = det.src_file)
-SELECT src_file, {key} FROM rk WHERE (k <= quota OR total <= quota) AND year(date) = 1999"""
+yr AS (SELECT det.* FROM det JOIN ch ON ch.src_file = det.src_file WHERE year(date) = 1999)"""
+    q["open_record_budget"] = q["open_record_year"] + f""",
+sh AS (SELECT src_file, CAST(greatest(1, floor(600 * bytes / sum(bytes) OVER ())) AS BIGINT) AS quota FROM fl WHERE src_file IN (SELECT src_file FROM ch)),
+sp AS (SELECT yr.src_file, quota, least(quota, 24) AS steps, min(epoch(time)) AS lo, max(epoch(time)) AS hi
+  FROM yr JOIN sh ON sh.src_file = yr.src_file GROUP BY ALL),
+bn AS (SELECT yr.*, quota, CASE WHEN hi = lo THEN 0 ELSE least(floor((epoch(time) - lo) * steps / (hi - lo)), steps - 1) END AS step
+  FROM yr JOIN sp ON sp.src_file = yr.src_file),
+rk AS (SELECT *, row_number() OVER (PARTITION BY src_file, step ORDER BY time, lat, lon, sensor) AS k FROM bn)
+SELECT src_file, {key} FROM rk QUALIFY row_number() OVER (PARTITION BY src_file ORDER BY k, step) <= quota"""
+    q["open_record_year"] += f" SELECT src_file, {key} FROM yr"
     q["year_lists"] = DAILY + f"""
 SELECT year(date) AS year, string_agg(printf('%.2f', {r("count", 2)}), ',' ORDER BY date) AS values FROM ser GROUP BY 1"""
     q["active_runs"] = BASE + f""",

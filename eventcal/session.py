@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +33,12 @@ JIT_METHOD_LIMIT = "8000"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the plans here rely on; anything set by the submitter is kept."""
+    """Session settings the plans here rely on. Another time zone than UTC is changed with a warning."""
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT"):
+        warnings.warn(f"days are cut in UTC: spark.sql.session.timeZone was {zone}", stacklevel=2)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -46,9 +49,11 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a temporary one when none is named (tests)."""
+    """The shared folder the cluster names; in local mode a temporary one when none is named (tests)."""
     root = _configured_dir(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="eventcal-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventcal import schema as S
 from eventcal.functions import scalars as X
 from eventcal.operators.ranking import hour, smallest
 from eventcal.operators.series import over
+from eventcal.session import stored
 
 SPREAD_STEPS_MAX = 24
-ROWS_PER_STEP_MIN = 20_000
 THIN_SHARE = 0.25
 
 
@@ -101,9 +101,9 @@ def stale_files(files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(stored.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_anti")
 
 
-def refresh_coverage(files: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def refresh_coverage(files: DataFrame, known: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored rows of files that are still unchanged, plus the rows computed anew."""
-    keep = stored.join(files.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_semi")
+    keep = known.join(files.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_semi")
     return keep.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -136,50 +136,57 @@ def allocate(files: DataFrame, limit: int) -> DataFrame:
 ORDER = ("time", "lat", "lon", "sensor")
 
 
-def spread_slice(record: DataFrame, limit: int, rows_per_step: int = ROWS_PER_STEP_MIN,
-                 keys: list[str] = (), tie: tuple = ()) -> DataFrame:
-    """``limit`` rows spread over the record's time span.
+def _spread(record: DataFrame, keys: list[str], budgets: DataFrame | None, limit: int | None, tie: tuple) -> DataFrame:
+    """The budget's rows of each group, taken in turn from equal bins of its time span, earliest first in each.
 
-    The span is cut into at most 24 equal bins and each gives its first ``limit // bins`` rows.
-    A record of at most ``limit`` rows is returned whole.
+    Bins hold different numbers of rows. In turn means that every bin gives its first row, then every one its
+    second, and so on: a bin that runs out leaves its share to the others. Only counts by bin are needed to know how many
+    rows each gives.
     """
-    steps = max(1, min(SPREAD_STEPS_MAX, limit // rows_per_step))
-    span = record.groupBy(*keys).agg(
-        F.min(F.unix_seconds("time")).alias("_lo"), F.max(F.unix_seconds("time")).alias("_hi"),
-        F.count("*").alias("_total"))
+    span = record.groupBy(*keys).agg(F.min(F.unix_seconds("time")).alias("_lo"), F.max(F.unix_seconds("time")).alias("_hi"))
+    span = span.join(budgets, keys) if budgets is not None else span.withColumn("budget", F.lit(limit))
+    span = stored(span.withColumn("_steps", F.greatest(F.lit(1), F.least(F.lit(SPREAD_STEPS_MAX), F.col("budget")))), "spans")
     joined = record.join(span, list(keys)) if keys else record.join(span, F.lit(True))
-    seconds = F.unix_seconds("time")
-    wide = F.floor(F.try_divide((seconds - F.col("_lo")) * steps, F.col("_hi") - F.col("_lo")))
-    step = F.least(F.coalesce(wide, F.lit(0)), F.lit(steps - 1))
-    quota = F.when(F.col("_total") <= limit, F.col("_total")).otherwise(F.lit(max(1, limit // steps)))
-    tagged = joined.withColumn("step", step).withColumn("_quota", quota)
+    wide = F.floor(F.try_divide((F.unix_seconds("time") - F.col("_lo")) * F.col("_steps"), F.col("_hi") - F.col("_lo")))
+    tagged = joined.withColumn("step", F.least(F.coalesce(wide, F.lit(0)), F.col("_steps") - 1))
+    bins = tagged.groupBy(*keys, "step", "budget").agg(F.count("*").alias("_n"))
+    # Bins by size: as long as one holds no more than an equal share of what is left, it gives all. The first that holds
+    # more sets the level for itself and all larger ones; shares computed after it only fall.
+    by_size = over(*keys).orderBy("_n", "step")
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = F.count("*").over(over(*keys)) - F.row_number().over(by_size) + 1
+    bins = bins.withColumn("_level", F.floor((F.col("budget") - F.col("_before")) / left))
+    short = F.col("_n") > F.col("_level")
+    bins = bins.withColumn("_level", F.max(F.when(short, F.col("_level"))).over(over(*keys)))
+    bins = bins.withColumn("_quota", F.coalesce(F.least("_n", "_level"), "_n"))
+    spare = F.col("budget") - F.sum("_quota").over(over(*keys))
+    place = F.sum((F.col("_n") > F.col("_quota")).cast("int")).over(over(*keys).orderBy("step"))
+    bins = bins.withColumn("_quota", F.col("_quota") + F.when((F.col("_n") > F.col("_quota")) & (place <= spare), 1).otherwise(0))
+    quotas = stored(bins.filter("_quota > 0").select(*keys, "step", "_quota"), "quotas")
     order = [F.col(c) for c in (*ORDER, *tie)]
-    return smallest(tagged, "_quota", order, hour(), [*keys, "step"]).drop("_lo", "_hi", "_total", "_quota", "rank")
+    picked = smallest(tagged.join(quotas, [*keys, "step"]), "_quota", order, hour(), [*keys, "step"])
+    return picked.select(*record.columns, "step")
+
+
+def spread_slice(record: DataFrame, limit: int, keys: list[str] = (), tie: tuple = ()) -> DataFrame:
+    """``limit`` rows of each group spread over its time span, or all if there are fewer.
+
+    The span is cut into 24 equal bins, or as many as there are rows to give, and these give rows in turn.
+    """
+    return _spread(record, list(keys), None, limit, tie)
 
 
 def merge_budgeted(record: DataFrame, files: DataFrame, limit: int, tie: tuple = ()) -> DataFrame:
     """Of every file the first rows by time, as many as its share of the budget."""
-    shares = allocate(files, limit).select("src_file", "budget")
+    # Written, the few shares have a known size, and the record is not shuffled by file to meet them.
+    shares = stored(allocate(files, limit).select("src_file", "budget"), "shares")
     tagged = record.join(shares, "src_file")
     return smallest(tagged, "budget", [F.col(c) for c in (*ORDER, *tie)], hour(), ["src_file"]).drop("rank")
 
 
-def spread_merge(record: DataFrame, shares: DataFrame, tie: tuple = (),
-                 rows_per_step: int = ROWS_PER_STEP_MIN) -> DataFrame:
-    """S8 per file under its own budget: (src_file, budget) decides steps and rows per step."""
-    span = record.groupBy("src_file").agg(
-        F.min(F.unix_seconds("time")).alias("_lo"), F.max(F.unix_seconds("time")).alias("_hi"),
-        F.count("*").alias("_total")).join(shares, "src_file")
-    steps = F.greatest(F.lit(1), F.least(F.lit(SPREAD_STEPS_MAX), F.floor(F.col("budget") / rows_per_step)))
-    span = span.withColumn("_steps", steps)
-    seconds = F.unix_seconds("time")
-    joined = record.join(span, "src_file")
-    wide = F.floor(F.try_divide((seconds - F.col("_lo")) * F.col("_steps"), F.col("_hi") - F.col("_lo")))
-    tagged = joined.withColumn("step", F.least(F.coalesce(wide, F.lit(0)), F.col("_steps") - 1)).withColumn(
-        "_quota", F.when(F.col("_total") <= F.col("budget"), F.col("_total"))
-        .otherwise(F.greatest(F.lit(1), F.floor(F.col("budget") / F.col("_steps")))))
-    picked = smallest(tagged, "_quota", [F.col(c) for c in (*ORDER, *tie)], hour(), ["src_file", "step"])
-    return picked.select(*record.columns)
+def spread_merge(record: DataFrame, shares: DataFrame, tie: tuple = ()) -> DataFrame:
+    """S8 per file under its own budget (src_file, budget)."""
+    return _spread(record, ["src_file"], shares.select("src_file", "budget"), None, tie).select(*record.columns)
 
 
 def merge_report(files: DataFrame, merged: DataFrame, limit: int) -> DataFrame:
@@ -190,10 +197,15 @@ def merge_report(files: DataFrame, merged: DataFrame, limit: int) -> DataFrame:
                       F.col("rows_read").isNull().alias("skipped"))
 
 
+def of_year(record: DataFrame, year: int) -> DataFrame:
+    """A year as a range of days, which reaches the scan and skips row groups."""
+    return record.filter(F.col("date").between(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))))
+
+
 def open_year(record: DataFrame, judged: DataFrame, year: int) -> DataFrame:
     """The year's rows of the files chosen for it."""
     chosen = files_holding(judged, year)
-    return record.filter(F.year("date") == year).join(chosen.select("src_file"), "src_file", "left_semi")
+    return of_year(record, year).join(chosen.select("src_file"), "src_file", "left_semi")
 
 
 # ------------------------------------------------------------------ full scans

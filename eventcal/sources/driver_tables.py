@@ -1,11 +1,10 @@
 """The driver's tables seen as detection exports.
 
 The tables hold no detections, so ``lineitem`` stands in: plain arithmetic on its keys gives
-every line item a place, a time, a confidence and a source. The first source (status F) spans
-the whole record; the second (status O) only carries a brightness from 1998 on, so its earlier
-rows are incomplete and fall out in harmonisation like any other unusable row. Bad confidence
-codes, out-of-range latitudes and missing tracks are there on purpose. No line item is left out
-of the input.
+every line item a place, a time, a confidence and a source. The first source has the rows of status F
+and all from before 1998, the second the others. A few percent have bad confidence codes, out-of-range
+latitudes or missing tracks on purpose, and fall out in harmonisation like any other unusable row. No line item is
+left out of the input.
 """
 
 from __future__ import annotations
@@ -14,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcal.operators import record as R
-from eventcal.session import tune
+from eventcal.session import stored, tune
 
 BREAK_YEAR, OVERLAP_TO = 1998, 2001
 
-# Both engines read this text; {text} is the engine's string type.
+# Both engines read this text; {text} is the engine's string type and {first} says that a row is of the first source.
+FIRST = "l_linestatus = 'F' OR l_shipdate < TIMESTAMP '1998-01-01 00:00:00'"
 RAW_SELECT = """
 SELECT
  concat('fire_', CASE WHEN l_suppkey % 5 = 0 THEN 'nrt' ELSE 'archive' END, '_',
-        CASE WHEN l_linestatus = 'F' THEN 'M-C61' ELSE 'SV-C2' END, '_',
+        CASE WHEN {first} THEN 'M-C61' ELSE 'SV-C2' END, '_',
         CAST(l_suppkey % 10 AS {text}), '.csv') AS src_file,
  CASE WHEN l_orderkey % 97 = 0 THEN 999e0
       ELSE -38e0 + ((l_suppkey % 24) * 62 % 80) + ((l_orderkey * 7 + l_partkey * 13) % 21 - 10) / 2000e0
@@ -30,22 +30,21 @@ SELECT
  -124e0 + ((l_suppkey % 24) * 202 % 270) + ((l_orderkey * 11 + l_partkey * 5) % 21 - 10) / 2000e0 AS longitude,
  CAST(CAST(l_shipdate AS DATE) AS {text}) AS acq_date,
  CAST((l_partkey % 24) * 100 + (l_orderkey % 60) AS {text}) AS acq_time,
- CASE WHEN l_linestatus = 'F' THEN CAST((l_partkey * 7 + l_orderkey) % 44 AS {text})
-      ELSE CASE l_orderkey % 6 WHEN 0 THEN 'l' WHEN 1 THEN 'n' WHEN 2 THEN 'h'
-                WHEN 3 THEN 'nominal' WHEN 4 THEN 'HIGH ' ELSE '?' END
+ CASE WHEN {first} THEN CAST(28 + (l_partkey * 7 + l_orderkey) % 73 AS {text})
+      WHEN l_orderkey % 47 = 0 THEN 'l' WHEN l_orderkey % 53 = 0 THEN '?'
+      ELSE CASE l_orderkey % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'h' WHEN 2 THEN 'nominal' ELSE 'HIGH ' END
  END AS confidence,
- CASE WHEN l_linestatus = 'F' THEN 290e0 + l_quantity END AS brightness,
- CASE WHEN l_linestatus = 'O' AND l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
-      THEN 300e0 + l_quantity END AS bright_ti4,
- CASE WHEN l_linestatus = 'F' THEN 1e0 + (l_partkey % 39) / 10e0
+ CASE WHEN {first} THEN 290e0 + l_quantity END AS brightness,
+ CASE WHEN NOT ({first}) THEN 300e0 + l_quantity END AS bright_ti4,
+ CASE WHEN {first} THEN 1e0 + (l_partkey % 39) / 10e0
       ELSE 0.375e0 + (l_partkey % 80) / 100e0 END AS scan,
  CASE WHEN l_orderkey % 50 = 0 THEN NULL
-      WHEN l_linestatus = 'F' THEN 1e0 + (l_partkey % 11) / 10e0
+      WHEN {first} THEN 1e0 + (l_partkey % 11) / 10e0
       ELSE 0.375e0 + (l_orderkey % 80) / 100e0 END AS track,
  l_extendedprice / 1000e0 AS frp,
- CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_suppkey % 2 = 0 THEN 'Terra' ELSE 'Aqua' END
+ CASE WHEN {first} THEN CASE WHEN l_suppkey % 2 = 0 THEN 'Terra' ELSE 'Aqua' END
       ELSE CASE l_suppkey % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'N20' ELSE 'N21' END END AS satellite,
- CASE WHEN l_linestatus = 'F' THEN 'MODIS'
+ CASE WHEN {first} THEN 'MODIS'
       ELSE CASE l_suppkey % 3 WHEN 0 THEN 'SNPP' WHEN 1 THEN 'VIIRS' ELSE NULL END END AS instrument
 """
 
@@ -67,12 +66,22 @@ def _columns(select: str) -> list[str]:
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a row of a raw export."""
-    return table(spark, sf_dir, "lineitem").selectExpr(*_columns(RAW_SELECT.format(text="STRING")))
+    return table(spark, sf_dir, "lineitem").selectExpr(*_columns(RAW_SELECT.format(text="STRING", first=FIRST)))
+
+
+_RECORDS: dict[tuple[str, str], DataFrame] = {}
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The harmonised, de-duplicated record."""
-    return R.dedupe(R.harmonize(raw_detections(spark, sf_dir)))
+    """The harmonised, de-duplicated record, written once for each session and folder, by day.
+
+    Every analysis starts from it; its size is then known to the planner, and date filters skip row groups.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RECORDS:
+        record = R.dedupe(R.harmonize(raw_detections(spark, sf_dir)))
+        _RECORDS[key] = stored(record.sortWithinPartitions("date", "time"), "record")
+    return _RECORDS[key]
 
 
 def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,18 @@ def write_record(record: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).option("compression", "zstd").parquet(path))
 
 
+def absent(error: AnalysisException) -> bool:
+    """Is the error that there is no such path? Anything else about a store is a fault, not an empty store."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_record(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if absent(error):
+            return None
+        raise
 
 
 def export_window(raw: DataFrame, path: str, start: str, end: str) -> DataFrame:
@@ -46,14 +53,16 @@ def export_window(raw: DataFrame, path: str, start: str, end: str) -> DataFrame:
     """
     record = R.dedupe(R.harmonize(R.acquired_between(raw, start, end)))
     stored = read_record(raw.sparkSession, path)
+    if stored is not None:                       # only the window's days can hold the same rows
+        stored = stored.filter(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
     write_record(record if stored is None else not_exported(record, stored), path)
     return raw.sparkSession.read.parquet(path)
 
 
 def compact(spark: SparkSession, shards: list[str], path: str) -> DataFrame:
-    """Many shards into one data set of one schema."""
+    """Many shards into one data set of one schema, each detection once."""
     frames = [pinned(spark.read.parquet(s)) for s in shards]
-    write_record(R.union_records(*frames), path, mode="overwrite")
+    write_record(R.dedupe(R.union_records(*frames)), path, mode="overwrite")
     return spark.read.parquet(path)
 
 

@@ -19,7 +19,7 @@ from eventcal.functions import scalars as X
 from eventcal.operators import record as R
 from eventcal.session import tune
 
-HEAD_BYTES = 1 << 16
+HEAD_BYTES = 1 << 16          # read at a time, until the first line ends
 # Bytes that Windows-1252 leaves undefined.
 UNDEFINED_1252 = r"^(..)*(81|8D|8F|90|9D)"
 
@@ -40,6 +40,10 @@ def _probe(batches):
             filesystem, inner = fs.FileSystem.from_uri(path)
             with filesystem.open_input_stream(inner) as stream:
                 head = stream.read(HEAD_BYTES)
+                while not any(end in head for end in (b"\n", b"\r")) and (more := stream.read(HEAD_BYTES)):
+                    head += more
+                if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+                    head += stream.read(2 - len(head) % 2)
             wide = head[:2] in (b"\xff\xfe", b"\xfe\xff")
             text = head.decode("utf-16" if wide else "latin-1", errors="ignore")
             if not wide and head.startswith(b"\xef\xbb\xbf"):

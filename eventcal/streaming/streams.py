@@ -7,7 +7,9 @@ watermark has passed them. Checkpoints take the place of a progress ledger.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +52,55 @@ def record_stream(lines: DataFrame) -> DataFrame:
     return R.harmonize(good)
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A parquet table of a folder as a stream; a time without zone becomes an instant."""
-    spark = tune(spark)
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
+class Replay(NamedTuple):
+    """A stored table as a stream in time order."""
+
+    stream: DataFrame
+    delay: str           # the watermark delay under which no row is late
+    last: dt.datetime    # the newest time of the table
+
+
+def replay(table: DataFrame, time: str, parts: int = 4, files_per_trigger: int = 1) -> Replay:
+    """A table, one file or many in any order, as a stream that no watermark cuts.
+
+    The table is written again as ``parts`` stretches of time, one after the other; a file source reads older files first.
+    Inside a stretch rows come in any order, so the delay is the longest stretch. After the last one comes a row
+    of a time far beyond, which lets every window and timer close; ``drain`` leaves out what it opens.
+    A table without rows gives a stream without rows.
+    """
+    spark = tune(table.sparkSession)
+    table = table.withColumn(time, F.col(time).cast("timestamp"))
+    path = scratch_path(spark, "replay")
+    ends = table.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.percentile_approx(
+        F.unix_micros(time), [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()
+    schema = table.schema
+    if ends["a"] is None:
+        table.limit(0).write.parquet(path)
+        return Replay(spark.readStream.schema(schema).parquet(path), "1 day", dt.datetime(1970, 1, 1))
+    micros = F.unix_micros(time)
+    cuts = sorted(set(ends["cuts"]))
+    low, longest = None, 1
+    edges = [(ends["b"] - ends["a"]).total_seconds()]
+    if cuts:
+        first, final = table.select(F.unix_micros(F.lit(ends["a"])).alias("a"), F.unix_micros(F.lit(ends["b"])).alias("b")).first()
+        marks = [first, *cuts, final]
+        edges = [(b - a) / 1e6 for a, b in zip(marks, marks[1:])]
+    longest = int(max(edges)) + 1
+    for high in [*cuts, None]:
+        part = table if low is None and high is None else table.filter(
+            micros < high if low is None else micros >= low if high is None else (micros >= low) & (micros < high))
+        part.write.mode("append").parquet(path)
+        low = high
+    beyond = ends["b"] + dt.timedelta(seconds=longest) + BEYOND
+    # Its other columns are -1 where they can be: a null would fall to a filter that a join pushes below the watermark.
+    nothing = [(F.lit(beyond) if f.name == time else F.lit("-1").try_cast(f.dataType)).alias(f.name) for f in schema]
+    spark.range(1).select(*nothing).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return Replay(stream, f"{longest} seconds", ends["b"])
+
+
+#: How far after the newest row the closing row of a replay lies: longer than any window or gap here.
+BEYOND = dt.timedelta(days=400)
 
 
 # ------------------------------------------------------------------ operators
@@ -162,10 +206,10 @@ def streaks(stream: DataFrame, key: str, time: str = "ts", level: int = 3, delay
     """Closed streaks of days on which a key counted at least ``level``.
 
     Days are counted by a window aggregate first, which combines before its shuffle; only finished
-    hot days reach the per-key state.
+    hot days reach the per-key state. The session must use the RocksDB state store.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     days = (stream.withWatermark(time, delay).groupBy(F.window(time, "1 day"), F.col(key).cast("string").alias("key"))
             .agg(F.count("*").alias("v")).filter(F.col("v") >= level)
             .select("key", F.unix_date(F.to_date("window.start")).cast("long").alias("day"),
@@ -195,20 +239,24 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str] =
 
 
 def _other_batches(spark: SparkSession, path: str, batch_id: int, key: list[str]) -> DataFrame | None:
-    from pyspark.sql.utils import AnalysisException
+    from eventcal.sources.export import read_record
 
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") != batch_id).select(*key)
-    except AnalysisException:
-        return None
+    stored = read_record(spark, path)
+    return None if stored is None else stored.filter(F.col("batch") != batch_id).select(*key)
 
 
 def drain(stream: DataFrame, label: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what is there now into parquet on the shared folder, and read it back."""
+    """Run a stream over what is there now into parquet on the shared folder, and read it back.
+
+    A row that came too late for the watermark would be missing from the result, so it is an error.
+    """
     spark = stream.sparkSession
     out, marks = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-marks")
     query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
              .option("checkpointLocation", marks).trigger(availableNow=True).start())
     query.awaitTermination()
+    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows came later than the watermark allows")
     result = spark.read.schema(stream.schema).parquet(out)
     return then(result) if then else result

@@ -41,13 +41,35 @@ def long_record(spark, n=4000, days=400):
 
 def test_spread_covers_the_span_and_head_does_not(spark):
     rec = long_record(spark)
-    spread = V.spread_slice(rec, 400, rows_per_step=20)
+    spread = V.spread_slice(rec, 400)
     ends = spread.agg(F.min("date"), F.max("date"), F.count("*")).first()
-    assert (ends[1] - ends[0]).days >= 350 and ends[2] <= 400
+    assert (ends[1] - ends[0]).days >= 350 and ends[2] == 400
     head = K.head(rec, 200, ["time", "lat", "lon", "sensor"])
     ends = head.agg(F.min("date"), F.max("date"), F.count("*"), F.bool_and("capped")).first()
     assert (ends[1] - ends[0]).days < 30 and ends[2] == 200 and ends[3]
-    assert V.spread_slice(rec, 5000, rows_per_step=20).count() == 4000
+    assert V.spread_slice(rec, 5000).count() == 4000
+    few = V.spread_slice(rec, 5).agg(F.min("date"), F.max("date"), F.count("*")).first()
+    assert (few[1] - few[0]).days >= 250 and few[2] == 5
+
+
+def test_bins_that_run_out_leave_their_share_to_the_others(spark):
+    t0 = dt.datetime(2023, 1, 1)
+    crowded = [(1.0, float(i), t0 + dt.timedelta(minutes=i), "MODIS") for i in range(100)]
+    thin = [(2.0, float(d), t0 + dt.timedelta(days=d), "MODIS") for d in range(10, 240, 10)]
+    spread = V.spread_slice(record(spark, crowded + thin), 60)
+    assert spread.count() == 60 and spread.filter("lat = 2").count() == len(thin)
+
+
+def test_opening_is_whole_unless_a_budget_is_given(spark):
+    from eventcal.plans import analyses
+
+    rec = long_record(spark, 3000, 1000).withColumn("src_file", F.lit("a.csv"))
+    files = spark.createDataFrame([("a.csv", 1000)], "src_file string, bytes long")
+    year = rec.filter(F.year("date") == 2024).count()
+    assert analyses.open_record(rec, files, year=2024)["record"].count() == year
+    assert analyses.open_record(rec, files)["record"].count() == 3000
+    part = analyses.open_record(rec, files, limit=50, year=2024)["record"].agg(F.min("date"), F.max("date"), F.count("*")).first()
+    assert part[2] == 50 and part[0].year == part[1].year == 2024 and (part[1] - part[0]).days > 300
 
 
 def test_picks_are_exact_with_ties(spark):
@@ -55,7 +77,9 @@ def test_picks_are_exact_with_ties(spark):
     rec = record(spark, [(float(i % 50), float(i // 50), t0, "MODIS") for i in range(1000)])
     got = K.head(rec, 37, ["time", "lat", "lon", "sensor"]).collect()
     assert sorted((r.lat, r.lon) for r in got) == sorted((float(i % 50), float(i // 50)) for i in range(1000))[:37]
-    assert K.sample(rec, 100).count() == 100 and K.sample(rec, 0).count() == 1
+    assert K.sample(rec, 100).count() == 100 and K.sample(rec, 50_000).count() == 1000
+    with pytest.raises(ValueError):
+        K.sample(rec, 0)
     assert sorted(K.sample(rec, 100).collect()) == sorted(K.sample(rec.repartition(7), 100).collect())
     assert K.stride(rec, 3).count() == 334
 

@@ -34,6 +34,33 @@ def test_stream_equals_closed_batch(spark, folder, operator, keys):
     assert {tuple(r) for r in got.collect()} == closed(batch, folder, spark)
 
 
+@pytest.mark.parametrize("files,parts", [(1, 1), (8, 5), (3, 40)])
+@pytest.mark.parametrize("operator,keys", [(ST.tumbling, ["event_type"]), (ST.sliding, ["event_type"]), (ST.bursts, ["user_id"])])
+def test_replay_loses_nothing(spark, folder, tmp_path, files, parts, operator, keys):
+    table = spark.read.parquet(str(folder / "events.parquet")).repartition(files, F.rand(3))
+    table.write.parquet(str(tmp_path / "many.parquet"))
+    table = spark.read.parquet(str(tmp_path / "many.parquet"))
+    s, delay, last = ST.replay(table, "ts", parts)
+    got = ST.drain(operator(s, keys, "ts", value="value", delay=delay), "t").filter(F.col("start") <= F.lit(last))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in operator(table, keys, "ts", value="value").collect()}
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "late.parquet")
+    for day in (20, 25, 1):
+        spark.createDataFrame([(dt.datetime(2024, 1, day), "a", 1.0)], "ts timestamp, event_type string, value double").coalesce(
+            1).write.mode("append").parquet(path)
+    late = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.raises(RuntimeError):
+        ST.drain(ST.tumbling(late, ["event_type"], "ts", value="value"), "t")
+
+
+def test_empty_replay(spark, folder):
+    nothing = spark.read.parquet(str(folder / "events.parquet")).limit(0)
+    s, delay, _ = ST.replay(nothing, "ts")
+    assert ST.drain(ST.tumbling(s, ["event_type"], "ts", value="value", delay=delay), "t").count() == 0
+
+
 def test_dedupe_and_append_are_idempotent(spark, folder, tmp_path):
     twice = stream(spark, folder).unionByName(stream(spark, folder))
     assert ST.drain(ST.dedupe_stream(twice, ["event_id"], "ts"), "t").count() == 60
@@ -51,6 +78,7 @@ def test_streaks_close_by_gap_and_by_watermark(spark, tmp_path):
             n += 1
     rows.append((n, dt.datetime(2024, 2, 20), 2))
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     got = ST.drain(ST.streaks(stream(spark, tmp_path), "user_id"), "t").orderBy("start").collect()
     assert [(r.key, str(r.start), str(r.end), r.days, r.total) for r in got] == [
         ("1", "2024-01-01", "2024-01-04", 3, 9.0), ("1", "2024-01-09", "2024-01-10", 2, 6.0),
