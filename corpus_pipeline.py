@@ -14,15 +14,17 @@ from eventcal.llm import decontamination, jaccard_join, language, secrets, sente
 from eventcal.session import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bits a byte above which no learned language fits a text. Chance is 8.
-MOST_BITS = 7.0
+#: Bits a byte above which no learned language fits a text: what its bytes take if all were alike. Shorter texts
+#: than so many bytes are not judged by it.
+MOST_BITS, LEAST_BYTES = 8.0, 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in nothing like a learned language, go. A missing language is filled in."""
     model = language.train(language.learnable(docs))
     rated = language.predict(docs, model, keep=COLUMNS[1:])
-    known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits_per_byte") <= MOST_BITS)
+    known = (F.col("lang_pred") != language.UNDETERMINED) & (
+        (F.col("bits_per_byte") <= MOST_BITS) | (F.octet_length("text") < LEAST_BYTES))
     return rated.filter(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

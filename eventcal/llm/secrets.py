@@ -189,9 +189,7 @@ MARK = "[secret]"
 def _redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
     out, at = [], 0
     for s, _, e in spans:
-        if e <= at:
-            continue
-        if s >= at:
+        if s > at or not out:                    # else it overlaps or touches the one before
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join([*out, text[at:]])
