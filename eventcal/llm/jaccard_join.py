@@ -28,7 +28,7 @@ from eventcal.operators.clusters import components
 from eventcal.session import stored
 
 ORDERS = 3
-BLOCK_ROWS = 4_000
+BLOCK_ROWS = 500
 BLOCK_BYTES = 64_000_000
 
 SETS = "id long, n long, own long, set_id string, tokens binary"
@@ -229,6 +229,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
         linked = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"u": pa.array(node[linked]), "v": pa.array(node[label[linked]])})
 
+    # Else the join's partitioning by block would serve, and all slices of a block would meet in one task.
+    held = held.repartition("block", "a", "b")
     links = stored(held.groupBy("block", "a", "b").applyInArrow(inside, "u long, v long"), "links")
     joined = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
     # The least id of a component is the least of its classes' least ids.
