@@ -371,6 +371,14 @@ def with_band(forecast: DataFrame, widths: DataFrame, value: str = "count") -> D
         "lower": F.expm1(F.greatest(level - F.col("q"), F.lit(0.0))), "upper": F.expm1(level + F.col("q"))}).drop("q")
 
 
+def conformal_applies(rows: DataFrame, cal_days: int = 365, test_days: int = 365, horizon: int = 30,
+                      least: int = 60) -> bool:
+    """is there a training stretch of at least ``cal_days``, and ``least`` origins to calibrate and to test on?"""
+    days = rows.select("date").distinct().count()
+    train = days - cal_days - test_days
+    return train >= cal_days and min(cal_days, test_days) - horizon >= least
+
+
 def model_residuals(rows: DataFrame, alpha: float = 0.1, fit=fit_tweedie, horizon: int = 30, cal_days: int = 365,
                     test_days: int = 365, step: int = 2) -> tuple[DataFrame, DataFrame]:
     """quantiles from the calibration block, coverage on the later test block."""

@@ -251,8 +251,9 @@ def forecast(record: DataFrame, box=None, horizon: int = 30, prior: dict | None
         shape = None if shape.isEmpty() else shape
     base = FC.seasonal_forecast(series, horizon, prior=shape)
     rows = base.withColumn("method", F.lit("prior"))
-    verdicts = None
+    verdicts = coverage = None
     if model is not None:
+        coverage = model.get("coverage")
         named = G.containing_region(asked.drop("region")).first()
         scope = named["region"] if box and named["region"] else "overall"
         verdicts = stored(FC.gate(model["scores"]), "verdicts")
@@ -269,7 +270,7 @@ def forecast(record: DataFrame, box=None, horizon: int = 30, prior: dict | None
             if widths is not None:
                 banded = FC.with_band(rows, FC.half_widths(widths, horizon))
                 rows = banded.withColumns({c: F.when(F.col("method") == "model", F.col(c)) for c in ("lower", "upper")})
-    return {"forecast": rows, "verdicts": verdicts,
+    return {"forecast": rows, "verdicts": verdicts, "coverage": coverage,
             "status": status(series, FC.MIN_DAYS, f"Need at least {FC.MIN_DAYS} days of data")}
 
 

@@ -429,6 +429,10 @@ pan AS (SELECT kc.cell, cal.date, coalesce(cv.v, 0) AS v FROM kc CROSS JOIN cal
     q["cell_panel"] = PANEL + f"""
 SELECT cell, year(date) AS year, month(date) AS month, {r("sum(v)")} AS total, count(*) AS days, count_if(v > 0) AS active
 FROM pan GROUP BY 1, 2, 3"""
+    # The whole record has no seam (coverage_seam), so nothing is cut.
+    q["training_panel"] = PANEL + f"""
+SELECT cell, count(*) AS days, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day, {r("sum(v)", 3)} AS total,
+ 0 AS dropped_days FROM pan GROUP BY 1"""
     q["serving_series"] = PANEL + f""",
 kn AS (SELECT cell FROM (SELECT DISTINCT cell, dayofyear(date) AS d FROM cc) GROUP BY 1 HAVING count(*) >= 25)
 SELECT cell, {r("sum(v)")} AS total, (SELECT count(*) FROM cal) AS days FROM cv WHERE cell IN (SELECT cell FROM kn)
@@ -481,6 +485,11 @@ fn AS (SELECT h, CAST(last + CAST(h AS INTEGER) AS DATE) AS date,
     fcols = f"h, CAST(date AS VARCHAR) AS date, {r('count')} AS count"
     q["forecast_prior"] = FORE + f" SELECT {fcols} FROM fp WHERE h <= 30"
     q["forecast_naive"] = FORE + f" SELECT {fcols} FROM fn WHERE h <= 30"
+    # The model's path is the prior's doubled and begun ten days earlier: on a date it has the value of ten days on.
+    q["served_by_date"] = FORE + f"""
+SELECT a.h, CAST(a.date AS VARCHAR) AS date, {r("CASE WHEN a.h <= 14 THEN b.count * 2 ELSE a.count END")} AS count,
+ CASE WHEN a.h <= 14 THEN 'model' ELSE 'prior' END AS method
+FROM fp a LEFT JOIN fp b ON b.h = a.h + 10 WHERE a.h <= 30"""
     q["observed_and_forecast"] = FORE + f"""
 SELECT CAST(date AS VARCHAR) AS date, {r("count")} AS count, 'observed' AS kind FROM ser, lst WHERE date > last - 365
 UNION ALL SELECT CAST(date AS VARCHAR), {r("count")}, 'forecast' FROM fp WHERE h <= 30"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventcal.functions import scalars as X
 from eventcal.plans import analyses as AN
+from eventcal.plans import training as TR
 from eventcal.session import scratch_path, stored
 from eventcal.operators import anomalies as A
 from eventcal.operators import clusters as C
@@ -743,6 +744,24 @@ def forecast_model(spark, sf_dir):
     return shown(FC.model_forecast(rows, climo, model, 30), 3)
 
 
+@query
+def training_panel(spark, sf_dir):
+    """What a training run learns from, told by cell."""
+    rows, seam = TR.training_panel(_cell_days(spark, sf_dir))
+    told = rows.groupBy("cell").agg(F.count("*").alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+                                    F.sum("v").alias("total"))
+    return shown(told.join(seam.select(F.coalesce("dropped_days", F.lit(0)).alias("dropped_days")), F.lit(True)), 3)
+
+
+@query
+def served_by_date(spark, sf_dir):
+    """A path that began ten days before the record's last day, served by date on the days its scores earn."""
+    base = FC.seasonal_forecast(_daily(spark, sf_dir), 30)
+    early = base.select((F.col("h") - 10).alias("h"), F.date_sub("date", 10).alias("date"), (F.col("count") * 2.0).alias("count"))
+    earned = spark.range(1, 31).select(F.col("id").cast("int").alias("day"), (F.col("id") <= 14).alias("earned"))
+    return shown(FC.serve(base, early, earned))
+
+
 @query
 def forecast_boosted(spark, sf_dir):
     """F7 with boosted trees; rows only."""

@@ -120,11 +120,16 @@ def load_prior(spark: SparkSession, path: str) -> dict | None:
     return load_tables(spark, path, S.PRIOR_SCHEMA, "shapes", "levels")
 
 
-def save_model(path: str, model, climo: DataFrame, scores: DataFrame, meta: dict | None = None) -> None:
-    """Fitted pipeline, climatology and scores; the feature list is checked on load."""
+def save_model(path: str, model, climo: DataFrame, scores: DataFrame, meta: dict | None = None,
+               quantiles: DataFrame | None = None, coverage: DataFrame | None = None) -> None:
+    """Fitted pipeline, climatology, scores and, where calibrated, widths and their coverage.
+
+    The feature list is checked on load.
+    """
     model.write().overwrite().save(f"{path}/model")
-    save_tables(path, S.MODEL_SCHEMA, {"climo": climo, "scores": scores},
-                {"features": list(S.FEATURES), **(meta or {})})
+    tables = {"climo": climo, "scores": scores, "quantiles": quantiles, "coverage": coverage}
+    tables = {n: t for n, t in tables.items() if t is not None}
+    save_tables(path, S.MODEL_SCHEMA, tables, {"features": list(S.FEATURES), "tables": sorted(tables), **(meta or {})})
 
 
 def load_model(spark: SparkSession, path: str) -> dict | None:
@@ -133,6 +138,9 @@ def load_model(spark: SparkSession, path: str) -> dict | None:
     stored = load_tables(spark, path, S.MODEL_SCHEMA, "climo", "scores", features=S.FEATURES)
     if stored is None:
         return None
+    for extra in ("quantiles", "coverage"):
+        if extra in (stored["meta"].get("tables") or ()):
+            stored[extra] = spark.read.parquet(f"{path}/{extra}")
     try:
         return {**stored, "model": PipelineModel.load(f"{path}/model")}
     except Exception:  # a broken artifact is no artifact

@@ -71,15 +71,15 @@ def replay(table: DataFrame, time: str, parts: int = 4, files_per_trigger: int =
     spark = tune(table.sparkSession)
     table = table.withColumn(time, F.col(time).cast("timestamp"))
     path = scratch_path(spark, "replay")
-    ends = table.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.percentile_approx(
-        F.unix_micros(time), [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()
+    marks = [F.percentile_approx(F.unix_micros(time), [k / parts for k in range(1, parts)], 10_000)] if parts > 1 else [F.array()]
+    ends = table.agg(F.min(time).alias("a"), F.max(time).alias("b"), *[m.alias("cuts") for m in marks]).first()
     schema = table.schema
     if ends["a"] is None:
         table.limit(0).write.parquet(path)
         return Replay(spark.readStream.schema(schema).parquet(path), "1 day", dt.datetime(1970, 1, 1))
     micros = F.unix_micros(time)
     cuts = sorted(set(ends["cuts"]))
-    low, longest = None, 1
+    low = None
     edges = [(ends["b"] - ends["a"]).total_seconds()]
     if cuts:
         first, final = table.select(F.unix_micros(F.lit(ends["a"])).alias("a"), F.unix_micros(F.lit(ends["b"])).alias("b")).first()

@@ -10,7 +10,7 @@ from eventcal.operators import panel as P
 from eventcal.operators import series as Q
 from eventcal.plans import analyses as AN
 from eventcal.sources import export as E
-from helpers import day, days, record, series
+from helpers import DAY, day, days, record, series
 from pyspark.sql import functions as F
 
 CELLS = (8280, 8281)
@@ -164,3 +164,39 @@ def test_backtest_scores_every_method(spark):
 def test_doy_curve_keyed(spark):
     s = series(spark, [("a", x, 1.0) for x in days("2024-01-01", "2024-02-10")], ["k"])
     assert Q.doy_curve(s, "count", ["k"]).count() == 366
+
+
+def test_model_meets_prior_by_date(spark):
+    """A path whose cells end early lands on its own dates, not on its own step numbers."""
+    prior = spark.createDataFrame([(h, day("2020-02-10") + h * DAY, 1.0) for h in range(1, 11)], "h int, date date, count double")
+    model = spark.createDataFrame([(h, day("2020-01-31") + h * DAY, 100.0 + h) for h in range(1, 16)], "h int, date date, count double")
+    earned = spark.createDataFrame([(d, d <= 7) for d in range(1, 11)], "day int, earned boolean")
+    got = {r.h: (r.count_, r.method) for r in FC.serve(prior, model, earned).withColumnRenamed("count", "count_").collect()}
+    assert got == {h: ((110.0 + h, "model") if h <= 5 else (1.0, "prior")) for h in range(1, 11)}
+
+
+def test_conformal_needs_a_long_record(spark):
+    rows = lambda n: spark.range(n).select(F.date_add(F.lit("2015-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    assert not FC.conformal_applies(rows(900)) and FC.conformal_applies(rows(1095))
+    assert not FC.conformal_applies(rows(1095), test_days=80)
+
+
+def test_a_run_saves_what_the_forecast_serves(spark, tmp_path):
+    from eventcal.plans import analyses, training
+    from eventcal.sources import export
+
+    rng = np.random.default_rng(1)
+    start = dt.datetime(2018, 1, 1)
+    rec = record(spark, [(10.5 + 2 * (k % 2), 20.5, start + dt.timedelta(days=int(d), minutes=k), "MODIS")
+                         for d in range(800) for k in range(int(3 + 2 * np.sin(d / 58) + rng.integers(0, 3)))])
+    told = training.train(P.cell_day_counts(rec), str(tmp_path), step=60).first()
+    assert (told.cells, told.days, told.conformal) == (2, 800, False) and told.rows == 1600
+    model = export.load_model(spark, str(tmp_path))
+    assert model is not None and "quantiles" not in model
+    widths = spark.createDataFrame([(h, 0.5) for h in (1, 7, 14, 30)], "h int, q double")
+    scores = spark.createDataFrame([("overall", h, 1.0, 2.0, 3.0) for h in (1, 7, 14)], "group string, h int, model double, prior double, naive double")
+    export.save_model(str(tmp_path / "b"), model["model"], model["climo"], scores, quantiles=widths, coverage=widths.withColumnRenamed("q", "covered"))
+    served = analyses.forecast(rec, horizon=20, model=export.load_model(spark, str(tmp_path / "b")))
+    rows = {r.h: r for r in served["forecast"].collect()}
+    assert {h for h, r in rows.items() if r.method == "model"} == set(range(1, 15))
+    assert all((rows[h].lower is not None) == (h <= 14) for h in rows) and served["coverage"].count() == 4
