@@ -1,6 +1,6 @@
 """License scans with MinHash bands over overlapping text windows, in DataFrame functions alone.
 
-A text is an array of hashes of its five-word shingles. Windows of 1, 4, 16 and 64 shingles overlap by half. A
+A text is an array of hashes of its five-word shingles. Windows of 1, 8 and 32 shingles overlap by half. A
 template is looked for with the largest window that lies whole inside any copy of it, wherever the copy begins, and
 all its own windows of that size are indexed; so a window of a true copy equals one of them and collides
 for certain. Each band is one minimum under a permutation: windows of Jaccard similarity J collide in one of ``BANDS`` with
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 5
-SIZES = (1, 4, 16, 64)
+SIZES = (1, 8, 32)
 BANDS = 6
 #: Templates are literals of the plan; more than so many are refused.
 MOST_TEMPLATES = 200
