@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import (decontamination, jaccard_join, language, license_scan, quality, secrets, sentencepiece_codec,
-                          substring_dedup, suffix_dedup, token_counts)
+from eventcal.llm import (decontamination, jaccard_join, language, license_scan, oracles, quality, secrets, sentencepiece_codec,
+                          substring_dedup, suffix_dedup, text, token_counts)
 
 _QUERIES: dict = {}
 
@@ -21,7 +21,7 @@ def queries() -> dict:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text.small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _sha(column: str):
@@ -31,7 +31,7 @@ def _sha(column: str):
 @query
 def op3_substring_dedup(spark, sf_dir):
     out = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", _sha("kept_text").alias("kept_sha256"), "spans")
+    return out.select("doc_id", "n_words", "n_removed", _sha("kept_text").alias("kept_sha256"))
 
 
 @query
@@ -45,7 +45,7 @@ def op6_decontamination(spark, sf_dir):
     out = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-                      (F.col("n_hit") > 0).alias("contaminated"), "spans")
+                      (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query
@@ -94,4 +94,4 @@ def op2_license_scan(spark, sf_dir):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -30,6 +30,36 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Rows that are sent to a Python worker at a time; texts are long, so fewer than for numbers.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df):
+    """The frame, in a session that sends texts in small batches; a smaller setting is kept.
+
+    Python workers and the JVM each hold a batch or two, and share an executor's memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return what Arrow keeps for later to the system: workers live on from one step to the next."""
+    pa.default_memory_pool().release_unused()
+
+
+def parts(column, size: int) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts of about ``size`` bytes each; a longer text is a run of its own."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    if not len(sizes):
+        return []
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(sizes // size) != 0)), len(sizes))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
 def in_order(table: pa.Table, id_col: str = "id", text_col: str = "text") -> pa.Table:
     """Rows by id, then text: the same order whatever order the shuffle delivered them in."""
     return table.take(pc.sort_indices(table, [(id_col, "ascending"), (text_col, "ascending")]))
