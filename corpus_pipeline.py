@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventcal.llm import decontamination, jaccard_join, language, secrets, sentencepiece_codec
+from eventcal.llm.text import small_batches
 from eventcal.session import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +22,7 @@ MOST_BITS, LEAST_BYTES = 8.0, 20
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in nothing like a learned language, go. A missing language is filled in."""
+    docs = small_batches(docs)
     model = language.train(language.learnable(docs))
     rated = language.predict(docs, model, keep=COLUMNS[1:])
     known = (F.col("lang_pred") != language.UNDETERMINED) & (
@@ -30,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that link, directly or not, the one of least id stays; of rows that repeat an id, one."""
+    docs = small_batches(docs)
     groups = jaccard_join.jaccard_components(docs)
     gone = stored(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -43,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that hold ten words in a row of a benchmark item go."""
+    docs = small_batches(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.decontaminate(docs, items)
     gone = stored(found.filter("n_hit > 0").select("doc_id").distinct(), "contaminated")
@@ -51,6 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every text stays."""
+    docs = small_batches(docs)
     found = secrets.scan(docs, keep=COLUMNS[1:])
     return found.withColumn("n_chars", F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(
         F.length("redacted").cast("long"))).withColumn("text", F.coalesce("redacted", "text")).select(*COLUMNS)
@@ -58,6 +63,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every text, as packed 32-bit numbers, with merge-dropout; and that they decode to it."""
+    docs = small_batches(docs)
     return sentencepiece_codec.encode(docs)
 
 

@@ -20,7 +20,7 @@ from eventcal.llm import text as T
 from eventcal.llm.substring_dedup import plain, planes
 from eventcal.session import scratch_path
 
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 2_000_000
 #: Bytes of item texts that are broadcast at a time.
 ITEM_BLOCK_BYTES = 4_000_000
 
@@ -64,13 +64,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)).astype(np.int64)
-            part = np.cumsum(sizes) // shard_bytes
-            edges = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)), len(part)) if len(part) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in T.parts(batch["text"], shard_bytes):
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pylist([dict(zip(SHARD.names, _shard(f"{task}-{n}", piece["id"], piece["text"])))], SHARD)
                 n += 1
+            T.give_back()
 
     made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(shards, INDEX)
     made.write.parquet(path)
@@ -178,6 +176,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, within: int | N
                         "shard": r["shard"], "row": planes(row, "<u4"), "start": planes(at - edge[row], "<u4"),
                         "size": planes(size, "<u4"), "item": planes(item, "<u4"),
                         "names": [asked.names[i] for i in used]}], HIT)
+                T.give_back()
 
         found.append(index.select("shard", "lengths", "terms", "counts", "places").mapInArrow(look, HITS))
     out = found[0]

@@ -175,6 +175,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
         tokens, owner = h[mine][order], d[mine][order]
         edge = np.searchsorted(owner, np.arange(table.num_rows + 1))
         some = with_others.tolist()
+        T.give_back()
         return pa.Table.from_arrays([
             table["id"], pa.array(n), pa.array(n - several),
             pa.array([f"{n[i]}-{sums[0][i]:016x}{sums[1][i]:016x}" if s else None for i, s in enumerate(some)], pa.string()),

@@ -24,6 +24,8 @@ SAMPLE_TEXTS = 500
 #: The contexts of full length that are kept, most frequent first, over all languages.
 MOST_CONTEXTS = 20_000
 UNDETERMINED = "und"
+#: Bytes of text scored at a time.
+PART_BYTES = 1_000_000
 #: Bytes over which a language's advantage is taken for the score.
 SCORE_BYTES = 20
 
@@ -165,8 +167,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches):
         model = sent.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b in T.parts(batch["_text"], PART_BYTES):
+                part = batch.slice(a, b - a)
                 buf, off = T.flat(part["_text"])
                 known = np.asarray(part["_letter"]) & (len(model.languages) > 0)
                 n, size = part.num_rows, np.maximum(np.diff(off), 1)
@@ -182,6 +184,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     [part["_id"], *[part[c] for c in kept], pa.array(np.where(known, names, UNDETERMINED).tolist(), pa.string()),
                      pa.array(np.where(known, np.round(share, 9), 0.0)), pa.array(np.round(least / size, 6))],
                     ["_id", *kept, "lang_pred", "score", "bits_per_byte"])
+            T.give_back()
 
     from pyspark.sql import types as S
 

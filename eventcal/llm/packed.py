@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventcal.llm.text import U64
+from eventcal.llm.text import U64, give_back
 
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 #: Of each item sent by a chunk: its own count there is told up to this.
 MOST_TOLD = 65_535
 
@@ -74,6 +74,7 @@ def send(chunk: int, keys: np.ndarray, kind: int = 0, counted: bool = True) -> l
 
 def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    give_back()
     return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema)], schema=schema)
 
 

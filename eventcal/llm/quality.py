@@ -65,8 +65,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Counts of every whole text: a row for each row."""
     def scan(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                yield _counts(batch.slice(a, 500))
+            for a, b in T.parts(batch["text"], 1_500_000):
+                yield _counts(batch.slice(a, b - a))
+            T.give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         scan, ", ".join(f"{f.name} long" for f in FEATURES))

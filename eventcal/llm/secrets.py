@@ -208,8 +208,8 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
         words = dictionary(vocabulary)
         order = {k: i for i, k in enumerate(KINDS)}
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b in T.parts(batch["text"], 2_000_000):
+                part = batch.slice(a, b - a)
                 buf, off = T.flat(part["text"])
                 start, end, doc = T.spans(buf, off, HEX)
                 long = end - start >= LEAST_HEX
@@ -232,6 +232,7 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
                                  _redacted(text.decode("utf-8", "replace"), spans, mark)))
                 made = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), ARROW)]
                 yield pa.RecordBatch.from_arrays([*made, *[part[c] for c in kept]], [*ARROW.names, *kept])
+            T.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep) if c != text_col])

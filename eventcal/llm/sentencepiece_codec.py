@@ -27,7 +27,8 @@ from eventcal.llm.text import U64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-PART_BYTES = 6_000_000
+#: Bytes of text segmented at a time.
+PART_BYTES = 1_000_000
 #: Texts are dealt into so many streams by their id; within one, equal words are cut alike.
 STREAMS = 4
 #: Units of more characters have an agenda of their own.
@@ -39,17 +40,49 @@ NONE = -1
 class Pieces:
     ids: dict[str, int]
     byte_ids: np.ndarray         # of each byte
-    pairs: np.ndarray            # left id * n + right id, sorted
-    merged: np.ndarray           # the id of the union
+    of_char: np.ndarray          # the id of each character, or NONE
+    pairs: np.ndarray            # left id * n + right id, by slot; NONE where a slot is free
+    merged: np.ndarray           # the id of the union, by slot
     rank: np.ndarray             # of each id, 0 for the best score
     n: int
     data: np.ndarray             # what each id decodes to, one after the other
     at: np.ndarray
 
     def union(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.n + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.merged[at], NONE)
+        """The id of the union of two pieces, or NONE."""
+        key = np.where((left >= 0) & (right >= 0), left * self.n + right, -2)
+        slot = _slot(key, len(self.pairs))
+        found = self.pairs[slot]
+        out = np.where(found == key, self.merged[slot], NONE)
+        rest = np.flatnonzero((found != key) & (found != NONE))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.pairs) - 1)
+            found = self.pairs[slot[rest]]
+            same = found == key[rest]
+            out[rest[same]] = self.merged[slot[rest[same]]]
+            rest = rest[~same & (found != NONE)]
+        return out
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(65 - int(size).bit_length())).astype(np.int64)
+
+
+def _slots(pairs: list[tuple[int, int]]):
+    """(keys, values) by slot, at most a quarter of them used."""
+    size = 1 << max(4, (4 * len(pairs)).bit_length())
+    keys, values = np.full(size, NONE, np.int64), np.full(size, NONE, np.int64)
+    key, value = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.int64)
+    slot = _slot(key, size)
+    while len(key):
+        free = keys[slot] == NONE
+        _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+        put = first[free[first]]
+        keys[slot[put]], values[slot[put]] = key[put], value[put]
+        rest = np.setdiff1d(np.arange(len(key)), put)
+        key, value, slot = key[rest], value[rest], slot[rest]
+        slot = np.where(keys[slot] != NONE, (slot + 1) & (size - 1), slot)
+    return keys, values
 
 
 @lru_cache(2)
@@ -75,8 +108,13 @@ def pieces(path: str) -> Pieces:
     rank[order] = np.arange(len(order))
     found = sorted((ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
     shown = [b"" if special[i] else bytes([int(names[i][1:-1], 16)]) if is_byte[i] else names[i].replace(SPACE, " ").encode() for i in range(n)]
-    return Pieces(ids, byte_ids, np.array([k for k, _ in found] or [-1], np.int64), np.array([i for _, i in found] or [NONE], np.int64),
-                  rank, n, np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in shown])]))
+    of_char = np.full(0x110000, NONE)
+    for piece, i in ids.items():
+        if len(piece) == 1:
+            of_char[ord(piece)] = i
+    # A space is its sign; the sign itself, which would decode to a space, is written byte by byte.
+    of_char[32], of_char[ord(SPACE)] = ids[SPACE], NONE
+    return Pieces(ids, byte_ids, of_char, *_slots(found), rank, n, np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in shown])]))
 
 
 def dropped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, share: float) -> np.ndarray:
@@ -161,7 +199,7 @@ def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, sh
         stay[hits + 1] = False
         moved = (np.cumsum(stay) - 1)[hits]
         unit, place, ids, cand = unit[stay], place[stay], ids[stay], cand[stay]
-        redo = np.unique(np.concatenate([moved, moved[(moved > 0)] - 1]))
+        redo = np.concatenate([moved, moved[moved > 0] - 1])
         cand[redo] = candidate(redo)
     unit, place, ids = np.concatenate(done_u), np.concatenate(done_p), np.concatenate(done_i)
     order = np.lexsort((place, unit))
@@ -175,6 +213,22 @@ def _spread(values: np.ndarray, at: np.ndarray, which: np.ndarray):
     return values[np.arange(n.sum()) + np.repeat(at[which] - edge, n)], n
 
 
+def _characters(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of units whose last byte is a mark, odd if a space is to go before the unit."""
+    last = edge[1:] - 1
+    opens = (data[last] & 1).astype(bool)
+    raw = np.delete(data, last)
+    try:
+        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        at = lead[edge - np.arange(len(edge))]
+    except UnicodeDecodeError:                   # bytes that are no text come back as replacement characters
+        shown = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edge[:-1], last)]
+        points = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
+    return np.insert(points, at[:-1][opens], 32), at + np.concatenate([[0], np.cumsum(opens)])
+
+
 def encode_batch(p: Pieces, texts, streams: np.ndarray, seed: int, share: float):
     """(ids, offsets): the pieces of each text. A space sign that is in the text is encoded byte by byte."""
     buf, off = T.flat(texts)
@@ -200,18 +254,12 @@ def encode_batch(p: Pieces, texts, streams: np.ndarray, seed: int, share: float)
     own[at[1:] - 1] = streams[doc] * 2 + opens
     coded = T.binary(own, np.diff(at)).dictionary_encode()
     code = np.asarray(coded.indices).astype(np.int64)
-    words = coded.dictionary
-    raw = [w.as_py() for w in words]
-    shown = [(" " if w[-1] & 1 else "") + w[:-1].decode("utf-8", "replace") for w in raw]
-    joined = "".join(shown)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    value, which = np.unique(points, return_inverse=True)
-    # An unknown character keeps its number; so does a space sign in the text itself, which would decode to a space.
-    known = np.array([p.ids[SPACE] if v == 32 else p.ids.get(chr(v), -2 - int(v)) if chr(v) != SPACE else -2 - int(v) for v in value])
-    unit_at = np.concatenate([[0], np.cumsum([len(s) for s in shown])])
-    data, edge = T.flat(words.view(pa.large_string()))
+    data, edge = T.flat(coded.dictionary.view(pa.large_string()))
+    points, unit_at = _characters(data, edge)
+    known = p.of_char[points]
+    known = np.where(known == NONE, -2 - points, known)      # an unknown character keeps its number
     keys = T.mix(T.hash_spans(data, edge[:-1], edge[1:]) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    ids, at = segment(p, known[which], unit_at, keys, share)
+    ids, at = segment(p, known, unit_at, keys, share)
     if (ids < 0).any():                          # byte by byte
         odd = {int(v): p.byte_ids[list(chr(-2 - int(v)).encode("utf-8", "surrogatepass"))] for v in np.unique(ids[ids < 0])}
         size = np.ones(len(ids), np.int64)
@@ -259,9 +307,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MO
     def run(batches):
         p = pieces(model)
         for batch in batches:
-            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)).astype(np.int64))
-            edges = np.append(np.flatnonzero(np.append(True, np.diff(sizes // PART_BYTES) != 0)), len(sizes)) if len(sizes) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in T.parts(batch["text"], PART_BYTES):
                 part = batch.slice(a, b - a)
                 ids, at = encode_batch(p, part["text"], stream_of(part["id"], seed, streams), seed, dropout)
                 back = decode_batch(p, ids, at)
@@ -269,6 +315,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MO
                 packed = T.binary(ids.astype("<i4").view(np.uint8), 4 * np.diff(at))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(at)), packed.cast(pa.binary()), same],
                                                  ["id", "n_pieces", "ids", "lossless"])
+                T.give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, ENCODED).withColumnRenamed("id", id_col)

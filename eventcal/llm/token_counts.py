@@ -133,9 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     def scan(batches):
         machine = automaton(vocabulary)
         for batch in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0)).astype(np.int64))
-            edges = np.append(np.flatnonzero(np.append(True, np.diff(sizes // PART_BYTES) != 0)), len(sizes)) if len(sizes) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in T.parts(batch["text"], PART_BYTES):
                 part = batch.slice(a, b - a)
                 n = part.num_rows
                 buf, off = T.flat(part["text"])
