@@ -164,19 +164,23 @@ def base_spans(text: bytes) -> list[tuple[int, str, int]]:
 
 
 def guessed_spans(text: bytes, taken: list[tuple[int, str, int]], words: dict[str, float], least: float):
-    """Values of credential contexts that cost 10 to the ``least`` guesses or more and overlap nothing found before."""
+    """Values of credential contexts that cost 10 to the ``least`` guesses or more, unless a span found before covers them whole.
+
+    A base span ends at the first symbol beyond its own, so a value is judged whole also where one overlaps it.
+    """
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out = []
     for pattern in (CONTEXT, URL):
         for m in pattern.finditer(text):
-            a, b = m.span(1)
-            if any(a < e and s < b for s, _, e in taken) or any(a < e and s < b for s, _, e in out):
+            a, shown = m.start(1), m[1].rstrip(b".,;:!?)")
+            b = a + len(shown)
+            if any(s <= a and b <= e for s, _, e in [*taken, *out]):
                 continue
-            value = m[1].decode("utf-8", "replace").rstrip(".,;:!?)")
+            value = shown.decode("utf-8", "replace")
             if len(value) >= 6 and guess_cost(value, words) >= least:
-                out.append((a, "guess", a + len(value.encode())))
+                out.append((a, "guess", b))
     return out
 
 
@@ -202,7 +206,8 @@ def scan(docs: DataFrame, least: float = 10.0, id_col: str = "doc_id", text_col:
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by kind as listed, comma-joined; the
     base ones alone in ``base_spans``. ``redacted`` is the text with each run of secrets replaced by ``mark``, null where there is
     none. Patterns are ASCII, letters of keywords in either case. Null and empty texts have no secrets; texts
-    are scanned whole; rows that repeat an id are scanned one by one; other columns are not read.
+    are scanned whole; rows that repeat an id are scanned one by one; other columns are not read. A guess span may overlap
+    base spans, which stay as they are: the value of a credential counts whole, symbols too.
     """
     def look(batches):
         words = dictionary(vocabulary)

@@ -122,6 +122,19 @@ def test_secrets(spark, odd):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_credential_values_are_redacted_whole(spark):
+    texts = ["my password: Xk9vQ2!#rT7$wZpq end", "ü token=abcdef12#Zr8!kQ0vW, then", 'api_key: "Zz9Zz9Zz9"', "secret = sunshine!!",
+             "password: x!" + "0af3" * 6 + "#Qz7!pL", "https://token:8ZrxA0Lw!M3v'tail9Xq@host/path"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.base_spans, r.spans, r.redacted) for r in secrets.scan(df).orderBy("doc_id").collect()]
+    assert [b for b, *_ in got] == [plain_spans(t) for t in texts]
+    assert got[0][1:] == ("assign:3:19,guess:13:29", f"my {secrets.MARK} end")
+    assert got[1][1:] == ("assign:2:16,guess:8:26", f"ü {secrets.MARK}, then")
+    assert got[2][1] == got[2][0] and got[3][1] == got[3][0]     # covered whole by the base span; cheap to guess
+    assert got[4][2] == f"password: {secrets.MARK}"
+    assert got[5][2] == f"https://{secrets.MARK}@host/path"       # what a context and an address each find, together
+
+
 def test_guess_cost_is_the_least_over_all_divisions():
     words = {"pass": 1.0, "word": 1.5, "password": 0.5, "sun": 1.2, "shine": 2.0}
     for value in ("password", "sunshine12", "aaaa1998", "qwertyx", "Sun9sun9", "zk", "abc123pass", "p4ss"):
