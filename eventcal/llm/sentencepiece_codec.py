@@ -2,12 +2,14 @@
 
 A text begins as single characters; of all neighbours whose union is a piece, the one of best score is merged
 (the leftmost of equal ones), again and again. With dropout, a candidate (place and piece) is skipped for good if its
-keyed hash says so: the key is the seed, the stream of the text and the unit it stands in, so the same seed gives
-the same pieces everywhere, another seed others, and every segmentation decodes to the text.
+keyed hash says so: the key is the seed, the text's id and own bytes, and the place of the unit in it. So the same seed gives
+the same pieces wherever a text is encoded, another seed others; each occurrence of a word in the corpus is cut on its own,
+and every segmentation decodes to the text.
 
 No piece has a space sign behind another character, so nothing merges across the beginning of a word: a unit is a
-run of space signs and what follows to the next one. Each different unit of a batch is segmented once for each stream, all of
-them step by step together; units of many characters take an agenda of their own.
+run of space signs and what follows to the next one. Each different unit of a batch is segmented once without dropout, which lists
+the candidates that it meets; an occurrence none of whose candidates is skipped is cut just so. Only the others are segmented on
+their own, all of them step by step together; units of many characters take an agenda of their own.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text segmented at a time.
 PART_BYTES = 1_000_000
-#: Texts are dealt into so many streams by their id; within one, equal words are cut alike.
-STREAMS = 4
+#: Candidates of occurrences that are looked at together.
+LOOKED_AT = 2_000_000
 #: Units of more characters have an agenda of their own.
 LONG_UNIT = 64
 NONE = -1
@@ -117,14 +119,17 @@ def pieces(path: str) -> Pieces:
     return Pieces(ids, byte_ids, of_char, *_slots(found), rank, n, np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in shown])]))
 
 
-def dropped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, share: float) -> np.ndarray:
-    """Is the candidate skipped? By a hash of the unit's key, its first character's place and its piece."""
-    h = T.mix(key ^ T.mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + piece.astype(U64)))
-    return (h >> U64(11)).astype(np.float64) < share * 2.0 ** 53
+def candidate_key(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return T.mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + piece.astype(U64))
 
 
-def agenda(p: Pieces, symbols: list[int], key: U64, share: float) -> list[int]:
-    """The pieces of one unit by a queue of candidates, best rank first and leftmost of equals."""
+def dropped(key: np.ndarray, candidate: np.ndarray, share: float) -> np.ndarray:
+    """Is the candidate skipped? By a hash of its unit's key and its own, of its first character's place and its piece."""
+    return (T.mix(key ^ candidate) >> U64(11)).astype(np.float64) < share * 2.0 ** 53
+
+
+def agenda(p: Pieces, symbols: list[int], key: U64, share: float, met: list | None = None) -> list[int]:
+    """The pieces of one unit by a queue of candidates, best rank first and leftmost of equals; ``met`` takes the candidates."""
     n = len(symbols)
     ids, before, after = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
     table = lambda a, b: int(p.union(np.array([a]), np.array([b]))[0])
@@ -135,7 +140,9 @@ def agenda(p: Pieces, symbols: list[int], key: U64, share: float) -> list[int]:
         if j < 0:
             return
         m = table(ids[i], ids[j])
-        if m != NONE and not (share > 0 and dropped(np.array([key]), np.array([i]), np.array([m]), share)[0]):
+        if m != NONE and met is not None:
+            met.append((i, m))
+        if m != NONE and not (share > 0 and dropped(np.array([key]), candidate_key(np.array([i]), np.array([m])), share)[0]):
             heapq.heappush(queue, (int(p.rank[m]), i, m, ids[i], ids[j]))
 
     for i in range(n):
@@ -154,15 +161,21 @@ def agenda(p: Pieces, symbols: list[int], key: U64, share: float) -> list[int]:
     return [x for x, g in zip(ids, gone) if not g]
 
 
-def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float):
-    """(ids, offsets) of the pieces of each unit symbols[at[i]:at[i+1]], unknown characters left as they are."""
+def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None = None):
+    """(ids, offsets) of the pieces of each unit symbols[at[i]:at[i+1]], unknown characters left as they are.
+
+    ``met`` takes (units, places, pieces) of every candidate that came up.
+    """
     size = np.diff(at)
     unit = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(symbols)) - at[:-1][unit]
     own = size[unit] > LONG_UNIT
     done_u, done_p, done_i = [unit[:0]], [place[:0]], [symbols[:0]]
     for u in np.flatnonzero(size > LONG_UNIT):
-        got = np.array(agenda(p, symbols[at[u]:at[u + 1]].tolist(), keys[u], share))
+        own_met: list | None = [] if met is not None else None
+        got = np.array(agenda(p, symbols[at[u]:at[u + 1]].tolist(), keys[u], share, own_met))
+        if own_met:
+            met.append((np.full(len(own_met), u), *np.array(own_met, np.int64).T))
         done_u.append(np.full(len(got), u))
         done_p.append(np.arange(len(got)))
         done_i.append(got)
@@ -172,9 +185,12 @@ def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, sh
         """What symbol i and the next would merge to."""
         j = np.minimum(i + 1, len(ids) - 1)
         m = np.where((j > i) & (unit[j] == unit[i]), p.union(ids[i], ids[j]), NONE)
-        if share > 0:
+        if share > 0 or met is not None:
             k = np.flatnonzero(m != NONE)
-            m[k[dropped(keys[unit[i[k]]], place[i[k]], m[k], share)]] = NONE
+            if met is not None:
+                met.append((unit[i[k]], place[i[k]], m[k]))
+            if share > 0:
+                m[k[dropped(keys[unit[i[k]]], candidate_key(place[i[k]], m[k]), share)]] = NONE
         return m
 
     cand = candidate(np.arange(len(ids))) if len(ids) else ids.copy()
@@ -213,6 +229,21 @@ def _spread(values: np.ndarray, at: np.ndarray, which: np.ndarray):
     return values[np.arange(n.sum()) + np.repeat(at[which] - edge, n)], n
 
 
+def _skipping(n: int, met: list, code: np.ndarray, keys: np.ndarray, share: float) -> np.ndarray:
+    """The occurrences of which some candidate met without dropout is skipped; ``code`` is the unit of each, of ``n`` units."""
+    unit, place, piece = [np.concatenate(c) for c in zip(*met)] if met else [np.zeros(0, np.int64)] * 3
+    order = np.argsort(unit, kind="stable")
+    own = candidate_key(place[order], piece[order])
+    at = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=n))])
+    total, hit = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[code])]), np.zeros(len(code), bool)
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(total[:-1] // LOOKED_AT) != 0)), len(code))
+    for a, b in zip(edges[:-1], edges[1:]):
+        asked, sizes = _spread(own, at, code[a:b])
+        who = np.repeat(np.arange(a, b), sizes)
+        hit[who[dropped(keys[who], asked, share)]] = True
+    return np.flatnonzero(hit)
+
+
 def _characters(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets) of units whose last byte is a mark, odd if a space is to go before the unit."""
     last = edge[1:] - 1
@@ -229,8 +260,11 @@ def _characters(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.insert(points, at[:-1][opens], 32), at + np.concatenate([[0], np.cumsum(opens)])
 
 
-def encode_batch(p: Pieces, texts, streams: np.ndarray, seed: int, share: float):
-    """(ids, offsets): the pieces of each text. A space sign that is in the text is encoded byte by byte."""
+def encode_batch(p: Pieces, texts, owners: np.ndarray, seed: int, share: float):
+    """(ids, offsets): the pieces of each text. A space sign that is in the text is encoded byte by byte.
+
+    ``owners`` is a number for each text that goes into the keys of its units.
+    """
     buf, off = T.flat(texts)
     n = len(off) - 1
     # A unit begins where a space follows something else, at a text's first byte, and around a line break that is no piece.
@@ -251,15 +285,22 @@ def encode_batch(p: Pieces, texts, streams: np.ndarray, seed: int, share: float)
     # The sign before a text's first character makes its first unit one of its own kind.
     opens = start == off[:-1][doc]
     own, at = T.pieces(buf, start, end, b"\x00")
-    own[at[1:] - 1] = streams[doc] * 2 + opens
+    own[at[1:] - 1] = opens
     coded = T.binary(own, np.diff(at)).dictionary_encode()
     code = np.asarray(coded.indices).astype(np.int64)
     data, edge = T.flat(coded.dictionary.view(pa.large_string()))
     points, unit_at = _characters(data, edge)
     known = p.of_char[points]
     known = np.where(known == NONE, -2 - points, known)      # an unknown character keeps its number
-    keys = T.mix(T.hash_spans(data, edge[:-1], edge[1:]) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    ids, at = segment(p, known, unit_at, keys, share)
+    met: list | None = [] if share > 0 else None
+    ids, at = segment(p, known, unit_at, np.zeros(len(unit_at) - 1, U64), 0.0, met)
+    if share > 0:
+        keys = T.mix(T.mix(np.asarray(owners).astype(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[doc] + (start - off[doc]).astype(U64))
+        again = _skipping(len(unit_at) - 1, met, code, keys, share)
+        symbols, sizes = _spread(known, unit_at, code[again])
+        cut, cut_at = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), keys[again], share)
+        code[again] = len(at) - 1 + np.arange(len(again))
+        ids, at = np.concatenate([ids, cut]), np.concatenate([at, at[-1] + cut_at[1:]])
     if (ids < 0).any():                          # byte by byte
         odd = {int(v): p.byte_ids[list(chr(-2 - int(v)).encode("utf-8", "surrogatepass"))] for v in np.unique(ids[ids < 0])}
         size = np.ones(len(ids), np.int64)
@@ -285,31 +326,33 @@ def decode_batch(p: Pieces, ids: np.ndarray, at: np.ndarray) -> pa.Array:
     return T.binary(data[keep], size - lead, pa.large_string())
 
 
-def stream_of(ids, seed: int, streams: int) -> np.ndarray:
+def owners_of(ids, texts) -> np.ndarray:
+    """A number for each row, by its id and its text's bytes, so that rows without an id or with the same one differ too."""
+    buf, off = T.flat(texts)
     own = np.asarray(pc.fill_null(ids, -1)).astype(np.int64).view(U64)
-    return (T.mix(own ^ T.mix(np.full(len(own), seed & (1 << 64) - 1, U64))) % U64(streams)).astype(np.int64)
+    return T.mix(T.hash_spans(buf, off[:-1], off[1:], seed=2) + T.mix(own))
 
 
 ENCODED = "id long, n_pieces long, ids binary, lossless boolean"
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, streams: int = STREAMS, id_col: str = "doc_id",
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids, lossless) of every row; ``ids`` are 32-bit little-endian numbers, see ``as_array``.
 
     ``dropout`` is the share of candidate merges that are skipped, by a hash under ``seed``. ``lossless``: decoding gives the
-    text back. Null and empty texts have no pieces. Rows that repeat an id and text get the same pieces.
-    Texts are encoded whole; other columns are not read. ``streams`` is 100 at most.
+    text back. Null and empty texts have no pieces. Rows that repeat an id and text get the same pieces; else every
+    occurrence of a word draws its own. Texts are encoded whole; other columns are not read.
     """
-    if not 0 <= dropout <= 1 or not 1 <= streams <= 100:
-        raise ValueError("dropout: from 0 to 1; streams: from 1 to 100")
+    if not 0 <= dropout <= 1:
+        raise ValueError("dropout: from 0 to 1")
 
     def run(batches):
         p = pieces(model)
         for batch in batches:
             for a, b in T.parts(batch["text"], PART_BYTES):
                 part = batch.slice(a, b - a)
-                ids, at = encode_batch(p, part["text"], stream_of(part["id"], seed, streams), seed, dropout)
+                ids, at = encode_batch(p, part["text"], owners_of(part["id"], part["text"]), seed, dropout)
                 back = decode_batch(p, ids, at)
                 same = pc.equal(back, pc.fill_null(part["text"], "").cast(pa.large_string()))
                 packed = T.binary(ids.astype("<i4").view(np.uint8), 4 * np.diff(at))

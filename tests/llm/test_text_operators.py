@@ -313,6 +313,38 @@ def test_encode_and_decode_frames(odd, clashing, nothing):
     assert sentencepiece_codec.encode(nothing).count() == 0
 
 
+def test_every_occurrence_draws_its_own_dropout(spark):
+    p = sentencepiece_codec.pieces(sentencepiece_codec.MODEL)
+    df = spark.createDataFrame([*[(i, "understanding") for i in range(300)], (1000, "understanding " * 300), (1, "understanding"),
+                                (None, "understanding things"), (None, "understanding other things"), (None, "understanding things")],
+                               "doc_id long, text string")
+    rows = [(r.doc_id, r.n_pieces, bytes(r["ids"])) for r in sentencepiece_codec.encode(df, dropout=0.2).collect()]
+    copies = {i: ids for i, _, ids in rows if i is not None and i < 300}
+    assert len(set(copies.values())) > 20                     # the variety grows with the copies
+    assert [ids for i, _, ids in rows if i == 1] == [copies[1]] * 2
+    long = next(np.frombuffer(ids, "<i4") for i, _, ids in rows if i == 1000)
+    first = [k for k, x in enumerate(long) if p.data[p.at[x]:p.at[x] + 1].tobytes() == b" "]
+    words = {tuple(long[a:b]) for a, b in zip(first, first[1:])}
+    assert len(words) > 20                                    # and with the places in one text
+    assert len({ids for i, _, ids in rows if i is None}) == 2
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.3, 1.0])
+def test_dropout_is_that_of_segmenting_each_unit(monkeypatch, share):
+    p = sentencepiece_codec.pieces(sentencepiece_codec.MODEL)
+    rng = random.Random(5)
+    words = ["international", "understanding", "of", "aaaaaaaaab", "naïve", "日本語", "x" * 90, "a"]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)] + ["", "one", None, "understanding"]
+    owners = np.array([7, 7, -1, 9, 1, 2, 3, 7])
+    got, at = sentencepiece_codec.encode_batch(p, pa.array(texts), owners, 3, share)
+    monkeypatch.setattr(sentencepiece_codec, "_skipping", lambda n, met, code, keys, share: np.arange(len(code)))
+    whole, whole_at = sentencepiece_codec.encode_batch(p, pa.array(texts), owners, 3, share)
+    assert got.tolist() == whole.tolist() and at.tolist() == whole_at.tolist()
+    monkeypatch.undo()
+    monkeypatch.setattr(sentencepiece_codec, "LOOKED_AT", 5)
+    assert sentencepiece_codec.encode_batch(p, pa.array(texts), owners, 3, share)[0].tolist() == got.tolist()
+
+
 # ------------------------------------------------------------------ quality
 def plain_counts(text):
     text = text or ""
