@@ -20,6 +20,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MOST_BITS, LEAST_BYTES = 8.0, 20
 
 
+def row_key():
+    """A number for each row by all its columns, so that stages decide by row: ids may be null or repeat."""
+    return F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in nothing like a learned language, go. A missing language is filled in."""
     docs = small_batches(docs)
@@ -45,12 +50,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold ten words in a row of a benchmark item go."""
-    docs = small_batches(docs)
+    """Texts that hold ten words in a row of a benchmark item go, row by row, whatever their id."""
+    docs = small_batches(docs).select(*COLUMNS).withColumn("_row", row_key())
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.decontaminate(docs, items)
-    gone = stored(found.filter("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    found = decontamination.decontaminate(docs, items, id_col="_row")
+    gone = stored(found.filter("n_hit > 0").select("_row").distinct(), "contaminated")
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

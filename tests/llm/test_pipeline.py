@@ -76,6 +76,22 @@ def test_stages(spark, small):
     assert sorted(map(str, run.collect())) == sorted(map(str, after.collect()))
 
 
+@pytest.fixture(scope="module")
+def benchmark(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("benchmark"))
+    spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_decontamination_decides_by_row(spark, benchmark, odd):
+    held = "before " + " ".join(f"b{k}" for k in range(12)) + " behind"
+    rows = [(None, held, "en", "a", 1), (None, "a clean text", "en", "a", 1), (7, held, "en", "a", 1), (7, "another clean text", "en", "a", 1),
+            (8, None, "en", "a", 1), (None, None, None, None, None), (9, "clean", None, "a", None), (9, "clean", None, "a", None)]
+    after = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, odd.schema), benchmark)
+    assert after.columns == COLUMNS
+    assert sorted(map(str, map(tuple, after.collect()))) == sorted(str(r) for r in rows if r[1] != held)
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
