@@ -7,7 +7,6 @@ Every stage takes (spark, docs, sf_dir) and returns a frame that is written as P
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventcal.llm import decontamination, jaccard_join, language, secrets, sentencepiece_codec
@@ -36,17 +35,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that link, directly or not, the one of least id stays; of rows that repeat an id, one."""
-    docs = small_batches(docs)
-    groups = jaccard_join.jaccard_components(docs)
-    gone = stored(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    again = stored(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
+    """Of each group of texts that link, directly or not, one row of least id stays; of equal rows, one. Rows without an id stay."""
+    docs = small_batches(docs).select(*COLUMNS).withColumn("_row", row_key())
+    known = docs.filter(F.col("doc_id").isNotNull())
+    groups = stored(jaccard_join.jaccard_components(known, id_col="_row").select("_row", "component_id").distinct(), "groups")
+    others = groups.filter(F.col("component_id") != F.col("_row"))
+    # The row that gives a group its number joins the others; a group is never sent anywhere as a whole.
+    heads = groups.filter(F.col("component_id") == F.col("_row")).join(others.select("component_id").distinct(), "component_id", "left_semi")
+    linked = others.unionByName(heads)
+    ids = known.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    linked = stored(linked.join(ids.select("_row", "doc_id"), "_row"), "linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    gone = stored(linked.select("_row").join(first.select("_row"), "_row", "left_anti"), "copies")
+    left = docs.join(gone, "_row", "left_anti").select(*COLUMNS)
+    if stored(ids.filter("n > 1").select("_row"), "again").isEmpty():
         return left
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]])
-    one = left.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return left.join(again, "doc_id", "left_anti").unionByName(one)
+    return left.filter(F.col("doc_id").isNotNull()).distinct().unionByName(left.filter(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

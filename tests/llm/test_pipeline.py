@@ -92,6 +92,16 @@ def test_decontamination_decides_by_row(spark, benchmark, odd):
     assert sorted(map(str, map(tuple, after.collect()))) == sorted(str(r) for r in rows if r[1] != held)
 
 
+def test_near_copies_decide_by_row(spark, odd):
+    text = lambda a: " ".join(f"v{a}x{k}" for k in range(40))
+    keep = [(5, text(1), "en", "a", 1), (5, text(2), "en", "a", 1), (3, text(3), "en", "a", 1), (None, text(1), "en", "a", 1),
+            (7, None, "en", "a", 1), (7, "", "en", "a", 1), (2, text(4), "de", "b", None)]
+    drop = [(6, text(1), "en", "a", 1), (5, text(3) + " end", "en", "a", 1), (9, text(4), "de", "b", None), (5, text(2), "en", "a", 1)]
+    after = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(keep + drop, odd.schema), "")
+    assert after.columns == COLUMNS
+    assert sorted(map(str, map(tuple, after.collect()))) == sorted(map(str, keep))
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
