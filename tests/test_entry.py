@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-COUNT = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(k.startswith('op') or k == 'pipeline' for k in q), set(e.oracle_sql()) <= set(q))"
+COUNT = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(k[:2] == 'op' and k[2:3].isdigit() or k == 'pipeline' for k in q), set(e.oracle_sql()) <= set(q))"
 
 
 def run(folder, code=COUNT):
