@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcal.llm import (decontamination, jaccard_join, language, license_scan, oracles, quality, secrets, sentencepiece_codec,
-                          substring_dedup, suffix_dedup, text, token_counts)
+from eventcal.llm import (decontamination, jaccard_join, language, license_scan, oracles, periodic_runs, quality, secrets,
+                          sentencepiece_codec, substring_dedup, suffix_dedup, text, token_counts)
 
 _QUERIES: dict = {}
 
@@ -93,5 +93,27 @@ def op2_license_scan(spark, sf_dir):
                       F.array_join("licenses", ",").alias("licenses"), "places")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, of which about every tenth repeats some of its words to its end, by a checksum of its id; a null id plants none."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size(words).cast("long"), F.floor(hashed / 10)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    own = F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(w))
+    chosen = F.coalesce(hashed % 10 == 0, F.lit(False)) & F.col("text").isNotNull()
+    return docs.withColumn("text", F.when(chosen, F.when(n > 0, F.array_join(own, " ")).otherwise(F.col("text"))).otherwise(F.col("text")))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    out = periodic_runs.find_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = periodic_runs.longest()
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("best")["length"] * 1000 / F.col("best")["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed().cast("binary"), 256).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"))
+
+
 def oracle_sql() -> dict[str, str]:
     return oracles.oracle_sql()
