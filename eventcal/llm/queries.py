@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcal.llm import (decontamination, jaccard_join, language, license_scan, oracles, periodic_runs, quality, secrets,
-                          sentencepiece_codec, substring_dedup, suffix_dedup, text, token_counts)
+                          sentencepiece_codec, substring_dedup, suffix_dedup, text, token_counts, whitening)
 
 _QUERIES: dict = {}
 
@@ -93,6 +93,12 @@ def op2_license_scan(spark, sf_dir):
                       F.array_join("licenses", ",").alias("licenses"), "places")
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents, of which about every tenth repeats some of its words to its end, by a checksum of its id; a null id plants none."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
