@@ -102,13 +102,14 @@ def op11_whitening(spark, sf_dir):
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents, of which about every tenth repeats some of its words to its end, by a checksum of its id; a null id plants none."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, g = F.size(words).cast("long"), F.floor(hashed / 10)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    own = F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(w))
     chosen = F.coalesce(hashed % 10 == 0, F.lit(False)) & F.col("text").isNotNull()
-    return docs.withColumn("text", F.when(chosen, F.when(n > 0, F.array_join(own, " ")).otherwise(F.col("text"))).otherwise(F.col("text")))
+    # Columns of their own: a lambda would work out again for each word what stands in it.
+    docs = docs.withColumn("_words", F.when(chosen, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    docs = docs.withColumns({"_n": F.size("_words").cast("long"), "_g": F.floor(hashed / 10)})
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    docs = docs.withColumn("_p", F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)))
+    own = F.transform("_words", lambda w, i: F.when(i >= F.col("_a"), F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))).otherwise(w))
+    return docs.withColumn("text", F.when(F.col("_n") > 0, F.array_join(own, " ")).otherwise(F.col("text")))
 
 
 @query
