@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcal.llm import (decontamination, jaccard_join, language, license_scan, oracles, periodic_runs, quality, secrets,
-                          sentencepiece_codec, substring_dedup, suffix_dedup, text, token_counts, whitening)
+                          sentencepiece_codec, substring_dedup, suffix_dedup, text, token_counts, weighted_sampling, whitening)
 
 _QUERIES: dict = {}
 
@@ -99,6 +99,11 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+@query
+def op12_fingerprints(spark, sf_dir):
+    return weighted_sampling.compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents, of which about every tenth repeats some of its words to its end, by a checksum of its id; a null id plants none."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
