@@ -1,26 +1,30 @@
 """Spatio-temporal clusters, hulls and strata.
 
-Density clustering is exact and never lists the pairs inside a crowded place. Positions are put
-on a grid whose cells have the diagonal ``eps``: whatever lies in one cell is mutually within
-reach, so a cell of ``min_pts`` or more is all core and acts as a single node. Only positions of
-sparse cells, of which a cell has fewer than ``min_pts``, are compared one by one. Two crowded
-cells are compared by their bounding boxes, which are split further only while the boxes leave
-the answer open.
+Density clustering is exact. Tiles of moderate content are solved each by itself (``tiles``) and only ties between their
+labels meet. Crowded tiles are solved together by a method that never lists the pairs inside a crowded place: positions are
+put on a grid whose cells have the diagonal ``eps``: whatever lies in one cell is mutually within reach, so a cell of
+``min_pts`` or more is all core and acts as a single node. Only positions of sparse cells, of which a cell has
+fewer than ``min_pts``, are compared one by one. Two crowded cells are compared by their bounding boxes, which are
+split further only while the boxes leave the answer open.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventcal import schema as S
+from eventcal.operators import tiles as TL
 from eventcal.operators.series import over
 from eventcal.session import stored
 
 HOT_BUCKET = 20_000
+#: A tile is crowded when the squares of its buckets' positions add up to more.
+CROWDED = 20_000_000
+#: Positions for one group of tiles, and points of a cluster for one part of its hull.
+GROUP_SPOTS, HULL_POINTS = 25_000, 4096
 SPLIT = 4
 AXES = ("x", "y", "t")
 
@@ -156,19 +160,14 @@ def _near(sparse: DataFrame, points: DataFrame, eps: float) -> DataFrame:
             .agg(F.sum("w").alias("w")))
 
 
-def dbscan(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float = 12) -> DataFrame:
-    """The record's clustered rows with ``cluster`` (its first core position) and ``core``.
+def _found_together(spots: DataFrame, eps: float, min_pts: int) -> DataFrame:
+    """Rows of ``tiles.FOUND`` from the positions of crowded tiles, of which ``own`` marks those that lie in one.
 
-    A position counts itself. A border position joins the cluster with the smallest first core
-    position among those in reach; noise is left out.
+    A position further out may seem no core, since not all around it is there, but what seems a core is one.
     """
-    place = ["time", "lat", "lon"]
     side = eps / math.sqrt(3) * (1 - 1e-9)
-    spots = project(record, eps, hours).groupBy(*place).agg(
-        F.count("*").alias("w"), *[F.first(a).alias(a) for a in AXES])
-    spots = spots.withColumn("pid", F.monotonically_increasing_id())
     spots = stored(spots.withColumns({f"f{a}": F.col(a) / side for a in AXES})
-                       .withColumns({f"c{a}": F.floor(F.col(a) / side) for a in AXES}))
+                        .withColumns({f"c{a}": F.floor(F.col(a) / side) for a in AXES}))
     grid = [f"c{a}" for a in AXES]
     cells = spots.groupBy(*grid).agg(
         F.sum("w").alias("_cw"), F.min("pid").alias("node"),
@@ -184,15 +183,53 @@ def dbscan(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float =
     from_core = near.join(core.select(F.col("node").alias("p")), "p", "left_semi").join(core, "node", "left_semi")
     edges = from_core.filter(F.col("p") != F.col("node")).select(F.col("p").alias("u"), F.col("node").alias("v"))
     labels = components(core, edges.union(_link_dense(points.filter("dense"), crowded, eps)))
+    fringe = near.join(core.select(F.col("node").alias("p")), "p", "left_anti").join(labels, "node")
+    cores = points.join(labels, "node").withColumn("role", F.when(F.col("own"), F.lit(TL.CORE)).otherwise(F.lit(TL.SHARED)))
+    border = points.filter("own").join(fringe.select(F.col("p").alias("pid"), "label").distinct(), "pid")
+    border = border.withColumn("role", F.lit(TL.BORDER))
+    columns = ["pid", "label", "role", *TL.PLACE]
+    return cores.select(*columns).union(border.select(*columns))
 
-    core_points = points.join(labels, "node").select("pid", *place, "label")
-    first = core_points.groupBy("label").agg(F.min(F.struct(*place)).alias("cluster"))
-    core_points = core_points.join(first, "label").select(*place, "cluster", F.lit(True).alias("core"))
-    named = labels.join(first, "label").select("node", "cluster")
-    fringe = near.join(core.select(F.col("node").alias("p")), "p", "left_anti").join(named, "node")
-    fringe = fringe.groupBy("p").agg(F.min("cluster").alias("cluster"))
-    border = points.join(fringe, F.col("pid") == F.col("p")).select(*place, "cluster", F.lit(False).alias("core"))
-    return record.join(core_points.union(border), place)
+
+def dbscan(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float = 12) -> DataFrame:
+    """The record's clustered rows with ``cluster`` (its first core position) and ``core``.
+
+    A position counts itself. A border position joins the cluster with the smallest first core
+    position among those in reach; noise is left out.
+    """
+    place = ["time", "lat", "lon"]
+    spots = project(record, eps, hours).groupBy(*place).agg(
+        F.count("*").alias("w"), *[F.first(a).alias(a) for a in AXES])
+    spots = spots.select(F.monotonically_increasing_id().alias("pid"), F.unix_micros("time").alias("us"), "lat", "lon", "w", *AXES)
+    spots = stored(TL.with_buckets(spots, eps))
+    work = spots.groupBy(*TL.TILE, *[f"g{a}" for a in AXES]).agg(F.count("*").alias("n")).groupBy(*TL.TILE).agg(
+        F.sum(F.col("n") * F.col("n")).alias("work"))
+    crowded = stored(work.filter(F.col("work") > CROWDED).select(*TL.TILE))
+    seen, tiles = TL.seen_by(spots), [*TL.TILE]
+    if crowded.isEmpty():
+        together = None
+    else:
+        inside = seen.join(crowded, tiles, "left_semi").groupBy("pid").agg(F.max("own").alias("own"))
+        together = _found_together(spots.join(inside, "pid"), eps, min_pts)
+        seen = seen.join(crowded, tiles, "left_anti")
+    groups = max(1, -(-spots.count() // GROUP_SPOTS))
+    found = TL.found_in_tiles(seen, eps, min_pts, groups)
+    found = stored(found if together is None else found.union(together))
+
+    cores = found.filter(F.col("role") == TL.CORE)
+    ties = found.filter(F.col("role") == TL.SHARED).select("pid", F.col("label").alias("u")).join(
+        cores.select("pid", F.col("label").alias("v")), "pid").filter(F.col("u") != F.col("v")).select("u", "v").distinct()
+    ties = stored(ties)
+    roots = components(ties.select(F.col("u").alias("node")).union(ties.select("v")).distinct(), ties)
+    rooted = found.filter(F.col("role") != TL.SHARED).join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "label")))
+    at = [F.timestamp_micros("us").alias("time"), F.col("lat"), F.col("lon")]
+    first = rooted.filter(F.col("role") == TL.CORE).groupBy("root").agg(F.min(F.struct(*at)).alias("cluster"))
+    named = rooted.select("root", "pid", (F.col("role") == TL.CORE).alias("core"), *at).join(first, "root")
+    # A border position has a row for each label in reach.
+    members = named.filter("core").select(*place, "cluster", "core").union(
+        named.filter(~F.col("core")).groupBy(*place).agg(F.min("cluster").alias("cluster")).select(*place, "cluster", F.lit(False).alias("core")))
+    return record.join(members, place)
 
 
 # ------------------------------------------------------------------ summaries
@@ -222,7 +259,7 @@ def largest(summary: DataFrame, limit: int | None = 300) -> DataFrame:
 
 
 def convex_hull(points: list[tuple]) -> list[tuple]:
-    """Corners of the hull of (lat, lon) pairs, counter-clockwise in lon/lat; all points if flat."""
+    """Corners of the hull of a few (lat, lon) pairs, counter-clockwise in lon/lat; all points if flat."""
     pts = sorted({(lon, lat) for lat, lon in points})
 
     def half(seq):
@@ -240,30 +277,52 @@ def convex_hull(points: list[tuple]) -> list[tuple]:
     return [(lat, lon) for lon, lat in corners]
 
 
-def _reduce_points(batches):
-    """Corners of each batch's part of a cluster: corners of the whole are corners of a part."""
-    for batch in batches:
-        parts = []
-        for cid, group in batch.groupby("id"):
-            corners = convex_hull(list(zip(group["lat"], group["lon"])))
-            parts.append(pd.DataFrame({"id": cid, "lat": [a for a, _ in corners], "lon": [b for _, b in corners]}))
-        yield pd.concat(parts) if parts else batch[["id", "lat", "lon"]]
+_CORNER = "array<struct<lon:double,lat:double>>"
+
 
+def _chain(points: Column) -> Column:
+    """One half of a hull: of points in order, those at which a walk along them turns left.
 
-def _finish_hull(group: pd.DataFrame) -> pd.DataFrame:
-    corners = convex_hull(list(zip(group["lat"], group["lon"])))
-    return pd.DataFrame({"id": [group["id"].iloc[0]],
-                         "hull": [[{"lat": a, "lon": b} for a, b in corners]]})
+    The corners kept so far turn left everywhere, so those that a new point makes useless are the last ones.
+    """
+    def add(chain: Column, p: Column) -> Column:
+        def stays(c: Column, i: Column) -> Column:
+            before = F.get(chain, i - 1)
+            return (i == 0) | ((c["lon"] - before["lon"]) * (p["lat"] - before["lat"]) - (c["lat"] - before["lat"]) * (p["lon"] - before["lon"]) > 0)
+
+        return F.concat(F.filter(chain, stays), F.array(p))
+
+    return F.aggregate(points, F.array().cast(_CORNER), add)
+
+
+def _corners(df: DataFrame, by: list[str]) -> DataFrame:
+    """The hull of each group's points, as an array ``hull`` from the least lon on, counter-clockwise."""
+    df = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lon", "lat"))).alias("_p"))
+    df = df.withColumns({"_low": _chain(F.col("_p")), "_high": _chain(F.reverse("_p"))})
+    cut = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    # Of a single point both halves are it alone, and cutting the last of each would leave nothing.
+    return df.select(*by, F.when(F.size("_p") < 2, F.col("_p")).otherwise(F.concat(cut("_low"), cut("_high"))).alias("hull"))
 
 
 def with_hulls(members: DataFrame, picked: DataFrame) -> DataFrame:
-    """Hulls of the picked clusters only, from corners that shrink before they meet."""
-    ids = picked.select("id", "cluster")
-    points = members.join(ids, "cluster").select("id", "lat", "lon")
-    corners = points.mapInPandas(_reduce_points, "id int, lat double, lon double").distinct()
-    hulls = corners.groupBy("id").applyInPandas(
-        _finish_hull, "id int, hull array<struct<lat: double, lon: double>>")
-    return picked.join(hulls, "id")
+    """Hulls of the picked clusters only, as hulls of hulls.
+
+    Of each longitude only the outermost latitudes can be corners. What is left of a large cluster is dealt to salts, each salt
+    gives the corners of its own part, and only those meet. Flat clusters show all their places.
+    """
+    ids = picked.select("id", "cluster", F.greatest(F.ceil(F.col("n") / HULL_POINTS), F.lit(1)).alias("_salts"))
+    points = members.join(ids, "cluster").select("id", "_salts", "lat", "lon")
+    outer = points.groupBy("id", "_salts", "lon").agg(F.min("lat").alias("_a"), F.max("lat").alias("_b"))
+    outer = outer.select("id", "lon", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("lat"),
+                         F.pmod(F.xxhash64("lon"), F.col("_salts")).alias("_salt"))
+    parts = _corners(outer, ["id", "_salt"]).select("id", F.explode("hull").alias("_c")).select("id", "_c.lon", "_c.lat")
+    hulls = stored(_corners(parts, ["id"]).select("id", "hull"), "hulls")
+    flat = points.join(hulls.filter(F.size("hull") < 3).select("id"), "id", "left_semi").select("id", "lon", "lat").distinct()
+    flat = flat.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lon", "lat"))).alias("_all"))
+    shape = "array<struct<lat:double,lon:double>>"
+    swapped = lambda c: F.transform(c, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).cast(shape)
+    return picked.join(hulls, "id").join(flat, "id", "left").withColumn(
+        "hull", F.coalesce(swapped("_all"), swapped("hull"))).drop("_all")
 
 
 def clusters(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float = 12,

@@ -377,7 +377,7 @@ WHERE NOT EXISTS (SELECT 1 FROM dc WHERE dc.cell = tl.cell AND dc.date >= tl.w A
     DBSCAN = ("WITH RECURSIVE" + BASE[len("WITH"):] + """,
 m0 AS (SELECT avg(lat) AS lat0 FROM det),
 pt AS (SELECT row_number() OVER (ORDER BY time, lat, lon, sensor) AS i, det.*, lon * 111320 * cos(radians(lat0)) AS x,
-  lat * 110540 AS y, epoch(time) / 3600 / 16 * 550 AS t FROM det, m0),
+  lat * 110540 AS y, epoch(time) / 3600 / 48 * 550 AS t FROM det, m0),
 gr AS (SELECT *, CAST(floor(x / 550) AS BIGINT) AS gx, CAST(floor(y / 550) AS BIGINT) AS gy,
   CAST(floor(t / 550) AS BIGINT) AS gt FROM pt),
 o3 AS (SELECT CAST(unnest(range(-1, 2)) AS BIGINT) AS o),
@@ -406,6 +406,31 @@ SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, min((cluster_time, cluste
  {r("avg(lat)", 4)} AS lat, {r("avg(lon)", 4)} AS lon, strftime(min(time), '%Y-%m-%d %H:%M:%S') AS start,
  strftime(max(time), '%Y-%m-%d %H:%M:%S') AS "end", {r("(epoch(max(time)) - epoch(min(time))) / 3600", 4)} AS duration_h
 FROM cl GROUP BY cluster"""
+    # Hulls: of each longitude the outermost latitudes, then both halves of a monotone chain, a point a round.
+    q["clusters_with_hulls"] = DBSCAN + f""",
+sm AS (SELECT cluster, count(*) AS n, sum(frp) AS frp, avg(lat) AS lat, avg(lon) AS lon, min(time) AS s, max(time) AS e,
+  string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, count(*) OVER () AS total,
+  row_number() OVER (ORDER BY count(*) DESC, min((cluster_time, cluster_lat, cluster_lon))) AS id FROM cl GROUP BY cluster),
+tp AS (SELECT * FROM sm WHERE id <= 300),
+mp AS (SELECT DISTINCT id, cl.lon, cl.lat FROM cl JOIN tp USING (cluster)),
+ex2 AS (SELECT id, lon, unnest([min(lat), max(lat)]) AS lat FROM mp GROUP BY id, lon),
+up AS (SELECT DISTINCT id, lon, lat FROM ex2),
+sq AS (SELECT id, 0 AS d, row_number() OVER (PARTITION BY id ORDER BY lon, lat) AS r, lon, lat FROM up UNION ALL
+  SELECT id, 1, row_number() OVER (PARTITION BY id ORDER BY lon DESC, lat DESC), lon, lat FROM up),
+ch AS (SELECT id, d, r, [{{'lon': lon, 'lat': lat}}] AS c FROM sq WHERE r = 1 UNION ALL
+  SELECT ch.id, ch.d, sq.r, list_append(list_filter(c, lambda x, i: i = 1 OR (x.lon - c[i - 1].lon) * (sq.lat - c[i - 1].lat)
+    - (x.lat - c[i - 1].lat) * (sq.lon - c[i - 1].lon) > 0), {{'lon': sq.lon, 'lat': sq.lat}})
+  FROM ch JOIN sq ON sq.id = ch.id AND sq.d = ch.d AND sq.r = ch.r + 1),
+hf AS (SELECT id, d, arg_max(c, r) AS c, max(r) AS n FROM ch GROUP BY 1, 2),
+hl AS (SELECT a.id, CASE WHEN a.n = 1 THEN a.c ELSE list_concat(a.c[:len(a.c) - 1], b.c[:len(b.c) - 1]) END AS c
+  FROM hf a JOIN hf b ON a.id = b.id AND a.d = 0 AND b.d = 1),
+al AS (SELECT id, list({{'lon': lon, 'lat': lat}} ORDER BY lon, lat) AS c FROM mp GROUP BY 1),
+hw AS (SELECT hl.id, CASE WHEN len(hl.c) < 3 THEN al.c ELSE hl.c END AS c FROM hl JOIN al USING (id))
+SELECT CAST(tp.id AS BIGINT) AS id, cluster, n, total, {r("frp", 4)} AS frp, {r("lat", 4)} AS lat, {r("lon", 4)} AS lon,
+ strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", sensors,
+ {r("(epoch(e) - epoch(s)) / 3600", 4)} AS duration_h,
+ '[' || array_to_string(list_transform(c, lambda x: printf('{{"lat":%.4f,"lon":%.4f}}', x.lat, x.lon)), ',') || ']' AS hull
+FROM tp JOIN hw ON hw.id = tp.id"""
     q["cell_doy_grid"] = BASE + f" SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2"
     SHAPES = DAILY + f""",
 cg AS (SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2),

@@ -487,29 +487,31 @@ def _cluster_text(c: str = "cluster"):
 @query
 def dbscan_members(spark, sf_dir):
     """Cluster and role of every clustered detection of the whole record."""
-    m = C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=16)
+    m = C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48)
     return shown(m.select("lat", "lon", "time", "sensor", "core", _cluster_text().alias("cluster")))
 
 
 @query
 def cluster_summary(spark, sf_dir):
     """A19."""
-    s = C.cluster_summary(C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=16))
+    s = C.cluster_summary(C.dbscan(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48))
     return shown(s.withColumn("cluster", _cluster_text()).withColumn("sensors", F.array_join("sensors", ",")))
 
 
 @query
 def clusters_with_hulls(spark, sf_dir):
-    """Rows only, since SQL has no convex hull."""
-    c = C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=16)
+    """The largest clusters and the corners of their hulls."""
+    c = C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48)
+    corner = lambda p: F.format_string('{"lat":%.4f,"lon":%.4f}', p["lat"], p["lon"])
+    hull = F.concat(F.lit("["), F.array_join(F.transform("hull", corner), ","), F.lit("]"))
     return shown(c.withColumn("cluster", _cluster_text()).withColumn("sensors", F.array_join("sensors", ","))
-                 .withColumn("hull", F.to_json("hull")))
+                 .withColumn("hull", hull), 4)
 
 
 @query
 def cluster_features(spark, sf_dir):
     """Clusters as GeoJSON rings and lines."""
-    return E.cluster_features(C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=16))
+    return E.cluster_features(C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48))
 
 
 @query
@@ -956,7 +958,7 @@ def live_clusters(spark, sf_dir):
     """Q10: the clusters of the record delivered twice, all of them, without their hulls."""
     record = T.detections(spark, sf_dir)
     feeds = R.union_records(record, record.withColumn("src_file", F.lit("again")))
-    found = AN.live_snapshot(feeds, hours=16, limit=None)["clusters"]()
+    found = AN.live_snapshot(feeds, hours=48, limit=None)["clusters"]()
     return shown(found.select("id", "total", "n", "frp", "lat", "lon", "start", "end", "duration_h"), 4)
 
 

@@ -138,3 +138,57 @@ def test_strata(spark):
     assert [r.total_frp for r in out] == sorted((r.total_frp for r in out), reverse=True)
     assert out[0].kind == "Forest" and all(r.spread_km > 0 for r in out)
     assert C.kmeans_strata(frame.limit(11), restarts=1).count() == 0
+
+
+# ------------------------------------------------------------------ tiles, crowded tiles, hulls of hulls
+def wide(seed, n=260):
+    """Chains that cross the edges of tiles, a crowd on one of them, and stragglers."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b = (i * 0.0031) % 0.31, (i * 0.0017) % 0.23
+        rows.append((round(10 + a + float(rng.normal(0, 0.001)), 5), round(20 + b, 5), T0 + dt.timedelta(minutes=int(i * 41 % 4000)), "MODIS"))
+    return rows + [(round(10.08 + 0.0004 * (i % 9), 5), round(20.08 + 0.0004 * (i // 9), 5), T0 + dt.timedelta(minutes=i), "VIIRS") for i in range(60)]
+
+
+@pytest.mark.parametrize("crowded", [-1, 30, 10 ** 9])
+def test_all_some_or_no_tiles_are_crowded(spark, monkeypatch, crowded):
+    monkeypatch.setattr(C, "CROWDED", crowded)
+    want = check(spark, wide(3), 550, 3, 12)
+    assert len({cluster for _, (cluster, _) in want}) > 3
+
+
+def test_tiles_in_many_groups_and_pairs_in_blocks(spark, monkeypatch):
+    from eventcal.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIRS", 50)
+    monkeypatch.setattr(C, "GROUP_SPOTS", 40)
+    check(spark, wide(4) + scatter(5, 150, 0.01, 24, centres=3), 550, 4, 12)
+
+
+def test_a_third_of_all_rows_at_one_place(spark):
+    rows = scatter(8, 120, 0.01, 24, centres=2)
+    df = record(spark, rows + [(10.0, 20.0, T0, "MODIS")] * 60)
+    got = C.dbscan(df, 550, 30, 12).collect()
+    assert sum((r.lat, r.lon, r.time) == (10.0, 20.0, T0) for r in got) == 60 and all(r.core for r in got if r.lat == 10.0 and r.lon == 20.0)
+
+
+@pytest.mark.parametrize("points", [3, 4096])
+def test_hulls_of_hulls(spark, monkeypatch, points):
+    monkeypatch.setattr(C, "HULL_POINTS", points)
+    rng = np.random.default_rng(2)
+    shapes = {1: [(round(float(a), 3), round(float(b), 3)) for a, b in rng.normal(0, 1, (200, 2))], 2: [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0)],
+              3: [(5.0, 1.0), (6.0, 1.0), (7.0, 1.0)], 4: [(1.0, 5.0), (1.0, 6.0), (1.0, 7.0)], 5: [(4.0, 4.0)] * 3, 6: [(1.0, 2.0), (3.0, 4.0)],
+              7: [(float(i % 5), float(i // 5)) for i in range(25)], 8: [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0)]}
+    members = spark.createDataFrame([(k, a, b) for k, v in shapes.items() for a, b in v], "cluster int, lat double, lon double")
+    picked = members.groupBy("cluster").count().selectExpr("cluster", "cluster id", "count n")
+    out = C.with_hulls(members, picked)
+    for r in out.collect():
+        assert [(p.lat, p.lon) for p in r.hull] == C.convex_hull(shapes[r.id]), r.id
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_cluster_without_members_is_left_out(spark):
+    members = spark.createDataFrame([], "cluster int, lat double, lon double")
+    assert C.with_hulls(members, members.groupBy("cluster").count().selectExpr("cluster", "cluster id", "count n")).count() == 0
