@@ -29,10 +29,10 @@ def _or_null(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def typed(raw: DataFrame, geometry: bool = True) -> DataFrame:
+def typed(raw: DataFrame, geometry: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """Parse a raw export into record columns without dropping anything.
 
-    Every row is labelled from its own ``instrument``, so a frame that mixes products is
+    ``carried`` names columns that go along as they are. Every row is labelled from its own ``instrument``, so a frame that mixes products is
     labelled correctly; a missing label falls back on which brightness column is filled.
     """
     df = X.clean_headers(raw)
@@ -43,7 +43,7 @@ def typed(raw: DataFrame, geometry: bool = True) -> DataFrame:
         default = F.lit("VIIRS" if "bright_ti4" in df.columns else "MODIS")
     # In steps, so that what later columns build on is computed once per row and the generated
     # code of each step stays small enough to be compiled.
-    named = {c: F.col(c) for c in ("src_file",) if c in df.columns}
+    named = {c: F.col(c) for c in ("src_file", *carried) if c in df.columns}
     parsed = df.select(
         X.lenient_double("latitude").alias("lat"),
         X.lenient_double("longitude").alias("lon"),
@@ -154,7 +154,12 @@ def platform_counts(record: DataFrame) -> DataFrame:
 
 def file_report(raw: DataFrame) -> DataFrame:
     """What each file contributed, or why it contributed nothing."""
-    rows = typed(raw, geometry=False).withColumn("_kept", F.coalesce(countable(), F.lit(False)))
+    return counted_by_file(typed(raw, geometry=False))
+
+
+def counted_by_file(rows: DataFrame) -> DataFrame:
+    """The same of rows that are typed already."""
+    rows = rows.withColumn("_kept", F.coalesce(countable(), F.lit(False)))
     counted = rows.groupBy("src_file").agg(
         F.count("*").alias("rows"), F.count_if(F.col("_kept")).alias("kept"))
     return counted.select(

@@ -161,6 +161,7 @@ def oracle_sql() -> dict:
         **{c: r(c) for c in ("lat", "lon", "conf", "frp", "bt", "scan", "track", "esfp", "pixel_km2")})
     q["harmonize_record"] = f"WITH harm AS ({HARM}) SELECT {record_cols}, '0' AS daynight FROM harm"
     q["dedupe_record"] = BASE + f" SELECT {record_cols} FROM det"
+    q["ingest_csv"] = q["dedupe_record"]
     q["record_summary"] = BASE + f"""
 SELECT count(*) AS n, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS "end",
  {r("min(lat)", 3)} AS minlat, {r("min(lon)", 3)} AS minlon, {r("max(lat)", 3)} AS maxlat, {r("max(lon)", 3)} AS maxlon,
@@ -176,6 +177,7 @@ SELECT a.src_file, a.rows, coalesce(b.kept, 0) AS kept,
   'no usable rows: every row was low-confidence, out of range or incomplete' END AS reason
 FROM (SELECT src_file, count(*) AS rows FROM ({RAW}) GROUP BY 1) a
 LEFT JOIN (SELECT src_file, count(*) AS kept FROM harm GROUP BY 1) b USING (src_file)"""
+    q["ingest_report"] = q["file_report"]
     q["calendar_daily"] = DAILY + f"""
 SELECT CAST(date AS VARCHAR) AS date, {r("count")} AS count, raw, {r("frp")} AS frp FROM ser"""
     q["sensor_factors"] = DAILY + f"""

@@ -21,6 +21,7 @@ from eventcal.operators import spatial as G
 from eventcal.sources import archive as V
 from eventcal.sources import driver_tables as T
 from eventcal.sources import export as E
+from eventcal.sources import readers as RD
 from eventcal.sources import windows as WN
 from eventcal.streaming import streams as ST
 
@@ -96,6 +97,37 @@ def file_report(spark, sf_dir):
     return R.file_report(T.raw_detections(spark, sf_dir))
 
 
+_EXPORTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _export_files(spark, sf_dir):
+    """The stand-in exports written as CSV files, one product with a header of its own and some in UTF-16; (path, src_file) of each."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXPORTS:
+        raw, root = T.raw_detections(spark, sf_dir), scratch_path(spark, "exports")
+        options = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        first = F.col("src_file").contains("M-C61")
+        for part, dropped, encoding in ((first, "bright_ti4", "UTF-8"), (~first & ~F.col("src_file").contains("_nrt_"), "brightness", "UTF-16"),
+                                        (~first & F.col("src_file").contains("_nrt_"), "brightness", "UTF-8")):
+            raw.filter(part).drop(dropped).write.mode("append").partitionBy("src_file").options(**options, encoding=encoding).csv(root)
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root).select("path", "src_file")
+        _EXPORTS[key] = stored(listing, "exports")
+    return _EXPORTS[key]
+
+
+@query
+def ingest_csv(spark, sf_dir):
+    """The record from export files of two headers and two encodings, read once."""
+    record, _ = RD.ingest(spark, _export_files(spark, sf_dir))
+    return shown(record.drop("daynight"))
+
+
+@query
+def ingest_report(spark, sf_dir):
+    """What each export file contributed, by the same scan."""
+    return RD.ingest(spark, _export_files(spark, sf_dir))[1]
+
+
 # ------------------------------------------------------------------ calendars
 @query
 def calendar_daily(spark, sf_dir):

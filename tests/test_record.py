@@ -154,3 +154,73 @@ def test_swing_and_heat(spark):
     heat = spark.createDataFrame([(0.0,), (0.01,), (100.0,), (25.0,)], "c double").select(
         X.heat_level(F.col("c"), F.lit(100.0)).alias("h")).collect()
     assert [r.h for r in heat] == [0, 1, 5, 3]
+
+
+# ------------------------------------------------------------------ one scan
+def wide_rows(n, sat="NOAA-20"):
+    return "".join(f"{(i % 160) - 80}.5,{i % 170}.25,2022-03-{1 + i % 28:02d},{i % 24:02d}15,80,{i}.5,320,{sat}\r\n" for i in range(n))
+
+
+@pytest.mark.parametrize("order", ["utf-16-le", "utf-16-be"])
+def test_utf16_files_split(spark, tmp_path, order):
+    """A file far larger than a split, of characters whose halves look like line feeds, gives each row once."""
+    mark = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}[order]
+    put(tmp_path, "wide.csv", mark + (AREA.replace("\n", "\r\n") + wide_rows(3000, "Ċഊ\U0001f525")).encode(order))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20001")
+        rows, _ = readers.read_exports(spark, files(spark, tmp_path))
+        got = rows.select("frp", "sat", "conf").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r.frp for r in got) == [i + 0.5 for i in range(3000)]
+    assert {r.sat for r in got} == {"Ċഊ\U0001f525"} and {r.conf for r in got} == {80.0}
+
+
+def test_lines_that_are_no_utf16_are_rows_without_use(spark, tmp_path):
+    put(tmp_path, "broken.csv", b"\xff\xfe" + (AREA + wide_rows(2)).encode("utf-16-le") + b"\x00\xd8\n\x00" + wide_rows(1).encode("utf-16-le"))
+    record, report = readers.ingest(spark, files(spark, tmp_path))
+    assert report.first().rows == 4 and report.first().kept == 3 and record.count() == 2
+
+
+def test_an_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    """One line is also valid UTF-8; another line of the same file says that it is not UTF-8."""
+    head = AREA.encode()
+    put(tmp_path, "mixed.csv", head + "1.0,2.0,2022-02-02,0900,80,1,340,Ã©\n".encode("cp1252") + "2.0,2.0,2022-02-02,0900,80,1,340,\xe9\n".encode("cp1252"))
+    put(tmp_path, "utf8.csv", head + "3.0,2.0,2022-02-02,0900,80,1,340,é\n".encode())
+    put(tmp_path, "eight.csv", AREA.replace("satellite", "satellité").encode("latin-1") + b"4.0,2.0,2022-02-02,0900,80,1,340,\x81\n")
+    record, report = readers.ingest(spark, files(spark, tmp_path))
+    assert {r.lat: r.sat for r in record.collect()} == {1.0: "Ã©", 2.0: "é", 3.0: "é", 4.0: "MODIS"}
+    assert {r.src_file: (r.rows, r.kept) for r in report.collect()} == {"mixed.csv": (2, 2), "utf8.csv": (1, 1), "eight.csv": (1, 1)}
+
+
+def test_blank_lines_repeated_headers_names_and_clashing_columns(spark, tmp_path):
+    head = AREA.strip() + ",raw,utf8,group\n"
+    put(tmp_path, "a.csv", head + "\n1.0,2.0,2022-02-02,0900,80,1,340,A,x,y,z\n\n" + head + "2.0,2.0,2022-02-02,0900,80,1,340,\"B, C\",x\n" + head)
+    put(tmp_path, "only.csv", head)
+    named = files(spark, tmp_path).withColumn("src_file", F.concat(F.lit("named-"), F.element_at(F.split("path", "/"), -1)))
+    record, report = readers.ingest(spark, named)
+    assert {r.lat: (r.sat, r.src_file) for r in record.collect()} == {1.0: ("A", "named-a.csv"), 2.0: ("B, C", "named-a.csv")}
+    assert {r.src_file: (r.rows, r.kept, r.reason) for r in report.collect()} == {
+        "named-a.csv": (4, 2, None), "named-only.csv": (0, 0, "no rows read")}
+
+
+def test_the_scan_stands_once_in_the_plan(spark, tmp_path):
+    put(tmp_path, "m.csv", MODIS)
+    record, report = readers.ingest(spark, files(spark, tmp_path))
+    for df in (record, report):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Format: Text" not in plan and "Format: CSV" not in plan and "FileScan text" not in plan and "FileScan csv" not in plan
+
+
+def test_read_any(spark, tmp_path):
+    put(tmp_path, "m.csv", MODIS)
+    put(tmp_path, "junk.csv", "a,b,c\n1,2,3\n")
+    rows = readers.read_any(spark, str(tmp_path / "m.csv"))
+    assert rows.count() == 2 and set(S.RECORD_COLUMNS) <= set(rows.columns)
+    rows.write.parquet(f"{tmp_path}/record.parquet")
+    assert readers.read_any(spark, f"{tmp_path}/record.parquet").count() == 2
+    spark.createDataFrame([("1.5", "2.5", "2022-02-02", "0900", "80", "340")], "latitude string, longitude string, acq_date string, acq_time string, confidence string, brightness string").write.parquet(f"{tmp_path}/raw.parquet")
+    assert readers.read_any(spark, f"{tmp_path}/raw.parquet").first().lat == 1.5
+    with pytest.raises(R.MissingColumns, match="latitude"):
+        readers.read_any(spark, str(tmp_path / "junk.csv"))
