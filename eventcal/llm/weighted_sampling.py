@@ -19,11 +19,11 @@ from eventcal.session import stored
 
 #: Samples of a fingerprint, and words of a term.
 SAMPLES, WORDS = 32, 5
-#: The rank lies in the upper 33 bits of a sample, in steps of 2^-25 from -128 on, and a hash of term and t in the lower 30.
-RANK_STEP, RANK_FROM, OWN_BITS = 1 << 25, 128, 30
-HEX = 8
+#: The rank lies in the upper 39 bits of a sample, in steps of 2^-31 from -128 on, and a hash of term and t in the lower 24.
+RANK_STEP, RANK_FROM, OWN_BITS = 1 << 31, 128, 24
+HEX = OWN_BITS // 4
 #: The sample of a text without words.
-EMPTY = "f" * HEX
+EMPTY = "-" * HEX
 
 
 # ------------------------------------------------------------------ terms
@@ -106,7 +106,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _key, _own, text, n_rows): each different (id, text) once; ``_key`` orders null ids first, ``_own`` is a hash of the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"_key": F.coalesce("_id", F.lit(-(1 << 63))), "_own": F.xxhash64("text", F.col("_id").isNull())})
-    return rows.groupBy("_key", "_own").agg(F.max("_id").alias("_id"), F.any_value("text").alias("text"), F.count("*").alias("n_rows"))
+    rows = rows.groupBy("_key", "_own").agg(F.max("_id").alias("_id"), F.any_value("text").alias("text"), F.count("*").alias("n_rows"))
+    # True of every row. It keeps all columns in use wherever the frame is, so that Spark sees that it is the same one and shuffles texts once.
+    return rows.filter((F.col("n_rows") > 0) & (F.coalesce("_id", "_key") == F.col("_key")))
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,18 +156,18 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES, words: int = WORD
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull()).alias("_own"),
                         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
     order = stored(neighbours(sizes.groupBy("_key", "_own").agg(F.max("n_chars").alias("n_chars"))), "neighbours")
+    each = each.join(order.drop("n_chars"), ["_key", "_own"])
     # Each text sends what the one before it needs.
-    begin = each.join(order.drop("n_chars"), ["_key", "_own"]).select(
-        F.col("p_key").alias("_key"), F.col("p_own").alias("_own"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("begin"))
+    begin = each.select(F.col("p_key").alias("_key"), F.col("p_own").alias("_own"), F.substring(
+        F.col("text"), F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("begin"))
     n = F.char_length("text")
-    both = each.join(begin, ["_key", "_own"]).select("_key", "_own", "_id", "n_rows", n.cast("long").alias("n_chars"), "text", F.concat(
+    both = each.join(begin, ["_key", "_own"]).select("_key", "_own", "_id", "n_rows", "p_key", "p_own", n.cast("long").alias("n_chars"), "text", F.concat(
         F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), "begin").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keys = ["_key", "_own", "_id", "n_rows", "n_chars", "edited_sha256"]
+    keys = ["_key", "_own", "_id", "n_rows", "p_key", "p_own", "n_chars", "edited_sha256"]
     both = _with_terms(_with_terms(both, F.col("text"), "_a", words), F.col("edited"), "_b", words).select(*keys, "_a", "_b")
     found = stored(_fingerprints(both, ["_a", "_b"], keys, samples, ["fingerprint", "edited_fingerprint"]), "fingerprints")
-    after = found.select("_key", "_own", "fingerprint").join(order, ["_key", "_own"]).select(
-        F.col("p_key").alias("_key"), F.col("p_own").alias("_own"), F.col("fingerprint").alias("_next"))
+    after = found.select(F.col("p_key").alias("_key"), F.col("p_own").alias("_own"), F.col("fingerprint").alias("_next"))
     return found.join(after, ["_key", "_own"]).select(
         F.col("_id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),

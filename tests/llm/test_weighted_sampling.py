@@ -81,7 +81,8 @@ def test_samples_are_those_of_the_formula(spark):
         b = (row[f"b{k}"] % 2 ** 31) / 2.0 ** 31
         t = math.floor(math.log(weight) / r + b)
         rank = math.log(c) - r * (t - b + 1)
-        assert abs((row[f"s{k}"] >> 30) - (rank + 128) * 2 ** 25) < 8 and row[f"s{k}"] % 2 ** 30 == (two ^ t) % 2 ** 30
+        assert abs((row[f"s{k}"] >> ws.OWN_BITS) / ws.RANK_STEP - (rank + 128)) < 1e-8
+        assert row[f"s{k}"] % (1 << ws.OWN_BITS) == (two ^ t) % (1 << ws.OWN_BITS)
 
 
 @pytest.mark.parametrize("table", ["odd", "clashing"])
