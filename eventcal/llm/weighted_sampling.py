@@ -129,8 +129,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     Rows are dealt by range and ordered in their parts, then the last row of each part goes to the next one: no task
     holds more than its share, and only a row for each part meets in one.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(rows.repartitionByRange(n, "_key", "_own").withColumn("_part", F.spark_partition_id()), "order")
+    dealt = stored(rows.repartitionByRange("_key", "_own").withColumn("_part", F.spark_partition_id()), "order")
     row = F.struct("_key", "_own", "n_chars")
     lasts = dealt.groupBy("_part").agg(F.max(row).alias("_last"))
     parts = Window.orderBy("_part")                          # a row for each part
