@@ -12,6 +12,8 @@ in one task from one row, so the aggregates need no exchange of terms.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ EMPTY = "-" * HEX
 # ------------------------------------------------------------------ terms
 def words_of(text: Column) -> Column:
     """What stands between ASCII white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def terms_of(words: Column, size: int = WORDS) -> Column:
@@ -69,12 +71,16 @@ def _with_entries(df: DataFrame, sides: list[str]) -> DataFrame:
 
 def _sample(term: Column, log_weight: Column, k: int) -> Column:
     """Rank and hash of the term's sample k; null if the weight is."""
-    low = F.lit((1 << 32) - 1)
-    unit = lambda x: (x + F.lit(0.5)) * F.lit(2.0 ** -32)
+    # Of each hash 27 bits go to one uniform number and 27 to another, and the last 10 of both together to a third.
+    mask, last = F.lit((1 << 27) - 1), F.lit((1 << 10) - 1)
     first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.ln(unit(F.shiftrightunsigned(first, 32)) * unit(first.bitwiseAND(low)))
-    log_c = F.ln(-F.ln(unit(F.shiftrightunsigned(second, 32)) * unit(second.bitwiseAND(low))))
-    b = F.hash(term, F.lit(k)).bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(2.0 ** -31)
+
+    def gamma(x: Column) -> Column:
+        upper, lower = F.shiftrightunsigned(x, 37), F.shiftrightunsigned(x, 10).bitwiseAND(mask)
+        return F.lit(54 * math.log(2)) - F.ln((upper + F.lit(0.5)) * (lower + F.lit(0.5)))
+
+    r, log_c = gamma(first), F.ln(gamma(second))
+    b = (F.shiftleft(first.bitwiseAND(last), 10).bitwiseOR(second.bitwiseAND(last)) + F.lit(0.5)) * F.lit(2.0 ** -20)
     t = F.floor(log_weight / r + b)
     rank = log_c - r * (t - b + F.lit(1.0))
     own = second.bitwiseXOR(t).bitwiseAND(F.lit((1 << OWN_BITS) - 1))        # second names term and k already

@@ -71,14 +71,11 @@ def test_samples_are_those_of_the_formula(spark):
     """Ranks and samples recomputed in Python from the same hashes."""
     term, weight = 123456789012345, 3.0
     row = spark.range(1).select(*[ws._sample(F.lit(term), F.ln(F.lit(weight)), k).alias(f"s{k}") for k in range(8)],
-                                *[F.xxhash64(F.lit(term), F.lit(j)).alias(f"h{j}") for j in range(16)],
-                                *[F.hash(F.lit(term), F.lit(k)).alias(f"b{k}") for k in range(8)]).first()
+                                *[F.xxhash64(F.lit(term), F.lit(j)).alias(f"h{j}") for j in range(16)]).first()
     for k in range(8):
-        unit = lambda x: (x + 0.5) * 2.0 ** -32
         one, two = row[f"h{2 * k}"] % 2 ** 64, row[f"h{2 * k + 1}"] % 2 ** 64
-        r = -math.log(unit(one >> 32) * unit(one % 2 ** 32))
-        c = -math.log(unit(two >> 32) * unit(two % 2 ** 32))
-        b = (row[f"b{k}"] % 2 ** 31) / 2.0 ** 31
+        gamma = lambda x: -math.log(((x >> 37) + 0.5) * 2.0 ** -27 * ((x >> 10) % 2 ** 27 + 0.5) * 2.0 ** -27)
+        r, c, b = gamma(one), gamma(two), (one % 1024 * 1024 + two % 1024 + 0.5) / 2 ** 20
         t = math.floor(math.log(weight) / r + b)
         rank = math.log(c) - r * (t - b + 1)
         assert abs((row[f"s{k}"] >> ws.OWN_BITS) / ws.RANK_STEP - (rank + 128)) < 1e-8
