@@ -8,8 +8,10 @@ and every segmentation decodes to the text.
 
 No piece has a space sign behind another character, so nothing merges across the beginning of a word: a unit is a
 run of space signs and what follows to the next one. Each different unit of a batch is segmented once without dropout, which lists
-the candidates that it meets; an occurrence none of whose candidates is skipped is cut just so. Only the others are segmented on
-their own, all of them step by step together; units of many characters take an agenda of their own.
+the candidates that it meets; an occurrence none of whose candidates is skipped is cut just so. The others are put together
+by their unit and the candidates that they skip, and each such group is segmented once without these, which may bring up candidates not met
+before; occurrences that skip some of those form the groups of the next round. So each occurrence keeps its own draws, and
+equal outcomes are worked out once. Units of many characters take an agenda of their own.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ from eventcal.llm.text import U64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text segmented at a time.
-PART_BYTES = 1_000_000
+PART_BYTES = 500_000
+#: Symbols of units that are segmented step by step together.
+BLOCK = 150_000
 #: Candidates of occurrences that are looked at together.
-LOOKED_AT = 2_000_000
+LOOKED_AT = 250_000
 #: Units of more characters have an agenda of their own.
 LONG_UNIT = 64
+#: Candidates that a group may bring up in a round, one bit for each; occurrences of the few others are segmented one by one.
+BITS = 62
 NONE = -1
 
 
@@ -106,7 +112,7 @@ def pieces(path: str) -> Pieces:
     if (byte_ids == NONE).any():
         raise ValueError("the model has no byte fallback, so not every text would decode")
     order = sorted(ids.values(), key=lambda i: (-model.get_score(i), i))
-    rank = np.full(n, n)
+    rank = np.full(n, n, np.int32)
     rank[order] = np.arange(len(order))
     found = sorted((ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
     shown = [b"" if special[i] else bytes([int(names[i][1:-1], 16)]) if is_byte[i] else names[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -161,65 +167,93 @@ def agenda(p: Pieces, symbols: list[int], key: U64, share: float, met: list | No
     return [x for x, g in zip(ids, gone) if not g]
 
 
-def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None = None):
+def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None = None, skips=None):
     """(ids, offsets) of the pieces of each unit symbols[at[i]:at[i+1]], unknown characters left as they are.
 
-    ``met`` takes (units, places, pieces) of every candidate that came up.
+    ``met`` takes (units, places, pieces) of every candidate that came up. ``skips`` says of such arrays which candidates of
+    units that are not long are skipped; else they are drawn by ``keys`` and ``share``.
     """
+    if skips is None and share > 0:
+        def skips(u, i, m):
+            return dropped(keys[u], candidate_key(i, m), share)
+
+    cuts = np.flatnonzero(np.diff(at[:-1] // BLOCK, prepend=0))
+    if len(cuts):                                # blocks of symbols that stay close to the processor
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(at) - 1]):
+            own_met = [] if met is not None else None
+            own_skips = None if skips is None else lambda u, i, m, a=a: skips(u + a, i, m)
+            out.append(_segment(p, symbols[at[a]:at[b]], at[a:b + 1] - at[a], keys[a:b], share, own_met, own_skips))
+            if met is not None:
+                met.extend((u + a, i, m) for u, i, m in own_met)
+        sizes = np.concatenate([np.diff(x) for _, x in out])
+        return np.concatenate([x for x, _ in out]), np.concatenate([[0], np.cumsum(sizes)])
+    return _segment(p, symbols, at, keys, share, met, skips)
+
+
+def _segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None, skips):
     size = np.diff(at)
-    unit = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(symbols)) - at[:-1][unit]
-    own = size[unit] > LONG_UNIT
-    done_u, done_p, done_i = [unit[:0]], [place[:0]], [symbols[:0]]
-    for u in np.flatnonzero(size > LONG_UNIT):
+    unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    first = at[:-1]
+    own = size > LONG_UNIT
+    # Each symbol keeps the number it began with, which says its unit and place to the end.
+    done_n, done_i = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for u in np.flatnonzero(own):
         own_met: list | None = [] if met is not None else None
         got = np.array(agenda(p, symbols[at[u]:at[u + 1]].tolist(), keys[u], share, own_met))
         if own_met:
             met.append((np.full(len(own_met), u), *np.array(own_met, np.int64).T))
-        done_u.append(np.full(len(got), u))
-        done_p.append(np.arange(len(got)))
-        done_i.append(got)
-    unit, place, ids = unit[~own], place[~own], symbols[~own].copy()
-
-    def candidate(i: np.ndarray) -> np.ndarray:
-        """What symbol i and the next would merge to."""
+        done_n.append((first[u] + np.arange(len(got))).astype(np.int32))
+        done_i.append(got.astype(np.int32))
+    number = np.flatnonzero(~own[unit]).astype(np.int32) if own.any() else np.arange(len(symbols), dtype=np.int32)
+    ids, of = symbols[number].astype(np.int32), unit[number]
+    worst = np.int32(p.n + 1)
+
+    def candidate(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What symbol i and the next would merge to, and its rank."""
         j = np.minimum(i + 1, len(ids) - 1)
-        m = np.where((j > i) & (unit[j] == unit[i]), p.union(ids[i], ids[j]), NONE)
-        if share > 0 or met is not None:
-            k = np.flatnonzero(m != NONE)
+        m = p.union(ids[i].astype(np.int64), np.where((j > i) & (of[j] == of[i]), ids[j], NONE).astype(np.int64))
+        k = np.flatnonzero(m != NONE)
+        if len(k) and (skips is not None or met is not None):
+            whose, piece = of[i[k]].astype(np.int64), m[k]
+            place = number[i[k]] - first[whose]
             if met is not None:
-                met.append((unit[i[k]], place[i[k]], m[k]))
-            if share > 0:
-                m[k[dropped(keys[unit[i[k]]], candidate_key(place[i[k]], m[k]), share)]] = NONE
-        return m
-
-    cand = candidate(np.arange(len(ids))) if len(ids) else ids.copy()
-    worst = p.n + 1
+                met.append((whose, place, piece))
+            if skips is not None:
+                gone = skips(whose, place, piece)
+                m[k[gone]] = NONE
+                k = k[~gone]
+        rank = np.full(len(i), worst)
+        rank[k] = p.rank[m[k]]
+        return m.astype(np.int32), rank
+
+    cand, rank = candidate(np.arange(len(ids))) if len(ids) else (ids, ids)
     while len(ids):
-        head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        rank = np.where(cand == NONE, worst, p.rank[cand])
+        head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         best = np.minimum.reduceat(rank, head)
-        live = np.repeat(best < worst, np.diff(np.append(head, len(ids))))
-        if not live.all():                       # units with nothing to merge are finished
-            rest = ~live
-            done_u.append(unit[rest]); done_p.append(place[rest]); done_i.append(ids[rest])
-            unit, place, ids, cand, rank = unit[live], place[live], ids[live], cand[live], rank[live]
+        open_ = best < worst
+        length = np.diff(np.append(head, len(ids)))
+        if not open_.all():                      # units with nothing to merge are finished
+            live = np.repeat(open_, length)
+            done_n.append(number[~live])
+            done_i.append(ids[~live])
+            number, of, ids, cand, rank = number[live], of[live], ids[live], cand[live], rank[live]
             if not len(ids):
                 break
-            best = best[best < worst]
-            head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        hits = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(head, len(ids)))))
-        hits = hits[np.append(True, unit[hits][1:] != unit[hits][:-1])]       # the leftmost of each unit
+            best, length = best[open_], length[open_]
+        hits = np.flatnonzero(rank == np.repeat(best, length))
+        hits = hits[np.append(True, of[hits][1:] != of[hits][:-1])]           # the leftmost of each unit
         ids[hits] = cand[hits]
         stay = np.ones(len(ids), bool)
         stay[hits + 1] = False
-        moved = (np.cumsum(stay) - 1)[hits]
-        unit, place, ids, cand = unit[stay], place[stay], ids[stay], cand[stay]
+        moved = hits - np.arange(len(hits))      # one symbol went in each unit before
+        number, of, ids, cand, rank = number[stay], of[stay], ids[stay], cand[stay], rank[stay]
         redo = np.concatenate([moved, moved[moved > 0] - 1])
-        cand[redo] = candidate(redo)
-    unit, place, ids = np.concatenate(done_u), np.concatenate(done_p), np.concatenate(done_i)
-    order = np.lexsort((place, unit))
-    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(size)))])
+        cand[redo], rank[redo] = candidate(redo)
+    number, ids = np.concatenate(done_n), np.concatenate(done_i)
+    order = np.argsort(number, kind="stable")
+    count = np.bincount(unit[number], minlength=len(size)) if len(number) else np.zeros(len(size), np.int64)
+    return ids[order].astype(np.int64), np.concatenate([[0], np.cumsum(count)])
 
 
 def _spread(values: np.ndarray, at: np.ndarray, which: np.ndarray):
@@ -229,6 +263,30 @@ def _spread(values: np.ndarray, at: np.ndarray, which: np.ndarray):
     return values[np.arange(n.sum()) + np.repeat(at[which] - edge, n)], n
 
 
+def _listed(met: list, n: int) -> np.ndarray:
+    """The different candidates met, as numbers (unit, place, piece) in order; places are below LONG_UNIT."""
+    if not met:
+        return np.zeros(0, np.int64)
+    unit, place, piece = (np.concatenate(c).astype(np.int64) for c in zip(*met))
+    number = np.sort((unit * LONG_UNIT + place) * n + piece)
+    return number[np.append(True, number[1:] != number[:-1])] if len(number) else number
+
+
+def _drawn(p: Pieces, listed: np.ndarray, groups: int, group: np.ndarray, keys: np.ndarray, share: float):
+    """(bits, offsets of each group's candidates): which of its group's candidates each occurrence skips, a bit for each."""
+    at = np.searchsorted(listed, np.arange(groups + 1) * (LONG_UNIT * p.n))
+    own = candidate_key(listed // p.n % LONG_UNIT, listed % p.n)
+    bit = np.arange(len(listed)) - np.repeat(at[:-1], np.diff(at))
+    total, bits = np.concatenate([[0], np.cumsum(np.diff(at)[group])]), np.zeros(len(group), np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(total[:-1] // LOOKED_AT) != 0)), len(group))
+    for a, b in zip(edges[:-1], edges[1:]):
+        which, sizes = _spread(np.arange(len(listed)), at, group[a:b])
+        who = np.repeat(np.arange(a, b), sizes)
+        hit = dropped(keys[who], own[which], share)
+        np.bitwise_or.at(bits, who[hit], np.int64(1) << bit[which[hit]])
+    return bits, at
+
+
 def _skipping(n: int, met: list, code: np.ndarray, keys: np.ndarray, share: float) -> np.ndarray:
     """The occurrences of which some candidate met without dropout is skipped; ``code`` is the unit of each, of ``n`` units."""
     unit, place, piece = [np.concatenate(c) for c in zip(*met)] if met else [np.zeros(0, np.int64)] * 3
@@ -244,6 +302,79 @@ def _skipping(n: int, met: list, code: np.ndarray, keys: np.ndarray, share: floa
     return np.flatnonzero(hit)
 
 
+def _with_dropout(p: Pieces, known: np.ndarray, unit_at: np.ndarray, met: list, code: np.ndarray, keys: np.ndarray, share: float):
+    """(ids, offsets, (occurrences, groups)) of each round: the pieces of its groups, and which occurrences are cut like which.
+
+    Occurrences that skip nothing without dropout are in none.
+    ``met``: candidates of each unit without dropout; ``code``: the unit of each occurrence.
+    """
+    units = len(unit_at) - 1
+    short = (np.diff(unit_at) <= LONG_UNIT)
+    listed = _listed([[x[short[m[0]]] for x in m] for m in met], p.n)
+    again = _skipping(units, met, code, keys, share)
+    alone = [again[~short[code[again]]]]                     # segmented one by one
+    again = again[short[code[again]]]
+    # Groups of occurrences: the unit of each, the candidates skipped so far, those asked about so far; all in order.
+    unit, skipped, asked = np.arange(units), np.zeros(0, np.int64), listed
+    who, group = again, code[again]
+    ids, at, final = [], [], []
+    pieces_so_far = None                                     # of the groups; without dropout they are known
+    while len(who):
+        many = np.diff(np.searchsorted(listed, np.arange(len(unit) + 1) * (LONG_UNIT * p.n))) > BITS
+        if many.any():
+            alone.append(who[many[group]])
+            who, group = who[~many[group]], group[~many[group]]
+            listed = listed[~many[listed // (LONG_UNIT * p.n)]]
+        bits, edge = _drawn(p, listed, len(unit), group, keys[who], share)
+        if pieces_so_far is not None:
+            done = bits == 0
+            ids.append(pieces_so_far[0])
+            at.append(pieces_so_far[1])
+            final.append((who[done], group[done]))
+            who, group, bits = who[~done], group[~done], bits[~done]
+        if not len(who):
+            break
+        order = np.lexsort((bits, group))
+        who, group, bits = who[order], group[order], bits[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (bits[1:] != bits[:-1]))
+        parent, mask = group[new], bits[new]
+        group = np.cumsum(new) - 1
+        # What a group has skipped and been asked about: its parent's, and its own bits.
+        shift = LONG_UNIT * p.n
+
+        def inherited(of: np.ndarray) -> np.ndarray:
+            values, sizes = _spread(of % shift, np.searchsorted(of, np.arange(len(unit) + 1) * shift), parent)
+            return values + np.repeat(np.arange(len(parent)), sizes) * shift
+
+        own, sizes = _spread(np.arange(len(listed)), edge, parent)
+        owner = np.repeat(np.arange(len(parent)), sizes)
+        set_ = (mask[owner] >> (own - edge[parent[owner]])) & 1 == 1
+        fresh = listed[own[set_]] % shift + owner[set_] * shift
+        skipped = np.sort(np.concatenate([inherited(skipped), fresh]))
+        asked = inherited(asked)
+        unit = unit[parent]
+        symbols, sizes = _spread(known, unit_at, unit)
+        found: list = []
+
+        def skips(u, i, m, skipped=skipped):
+            number = (u.astype(np.int64) * LONG_UNIT + i) * p.n + m
+            return skipped[np.minimum(np.searchsorted(skipped, number), len(skipped) - 1)] == number if len(skipped) else number < 0
+
+        pieces_so_far = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(unit), U64), 0.0, found, skips)
+        listed = _listed(found, p.n)
+        if len(asked):
+            listed = listed[asked[np.minimum(np.searchsorted(asked, listed), len(asked) - 1)] != listed]
+        asked = np.sort(np.concatenate([asked, listed]))
+    rest = np.concatenate(alone)
+    if len(rest):
+        symbols, sizes = _spread(known, unit_at, code[rest])
+        cut, cut_at = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), keys[rest], share)
+        ids.append(cut)
+        at.append(cut_at)
+        final.append((rest, np.arange(len(rest))))
+    return ids, at, final
+
+
 def _characters(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets) of units whose last byte is a mark, odd if a space is to go before the unit."""
     last = edge[1:] - 1
@@ -296,11 +427,10 @@ def encode_batch(p: Pieces, texts, owners: np.ndarray, seed: int, share: float):
     ids, at = segment(p, known, unit_at, np.zeros(len(unit_at) - 1, U64), 0.0, met)
     if share > 0:
         keys = T.mix(T.mix(np.asarray(owners).astype(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[doc] + (start - off[doc]).astype(U64))
-        again = _skipping(len(unit_at) - 1, met, code, keys, share)
-        symbols, sizes = _spread(known, unit_at, code[again])
-        cut, cut_at = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), keys[again], share)
-        code[again] = len(at) - 1 + np.arange(len(again))
-        ids, at = np.concatenate([ids, cut]), np.concatenate([at, at[-1] + cut_at[1:]])
+        code = code.copy()
+        for cut, cut_at, (who, group) in zip(*_with_dropout(p, known, unit_at, met, code, keys, share)):
+            code[who] = len(at) - 1 + group
+            ids, at = np.concatenate([ids, cut]), np.concatenate([at, at[-1] + cut_at[1:]])
     if (ids < 0).any():                          # byte by byte
         odd = {int(v): p.byte_ids[list(chr(-2 - int(v)).encode("utf-8", "surrogatepass"))] for v in np.unique(ids[ids < 0])}
         size = np.ones(len(ids), np.int64)

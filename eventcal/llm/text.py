@@ -50,8 +50,12 @@ def give_back() -> None:
     """Return what Arrow and the allocator keep for later to the system.
 
     Workers live on from one step to the next, and what they no longer use counts against the executor. Where the
-    C library cannot trim its heap, only Arrow's part goes back.
+    C library cannot trim its heap, only Arrow's part goes back. A long table of powers, made anew in little time, goes too.
     """
+    global _LARGEST
+    if _LARGEST > 1 << 18:
+        _LARGEST = 0
+        _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     trim = _trimmer()
     if trim is not None:
@@ -124,7 +128,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int):
-    """The base to 0..n and its inverse to 0..n, modulo 2^64; one array that only ever grows serves all."""
+    """The base to 0..n and its inverse to 0..n, modulo 2^64; one array that grows until ``give_back`` serves all."""
     global _LARGEST
     _LARGEST = max(_LARGEST, 1 << max(10, int(n).bit_length()))
     up, down = _powers(_LARGEST)

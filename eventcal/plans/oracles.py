@@ -361,6 +361,12 @@ SELECT bud.src_file, bytes, budget, coalesce(t.n, 0) AS rows_read, t.n IS NULL A
 FROM bud LEFT JOIN (SELECT src_file, count(*) AS n FROM mg GROUP BY 1) t ON t.src_file = bud.src_file"""
     q["archive_scan_cells"] = BASE + f"""
 SELECT {CELL_OF} AS cell, CAST(date AS VARCHAR) AS date, sensor, count(*) AS n FROM det GROUP BY ALL"""
+    q["archive_scan_days"] = BASE + f"""
+SELECT CAST(date AS VARCHAR) AS date, sensor, count(*) AS n, {r("sum(frp)")} AS frp FROM det GROUP BY ALL"""
+    q["archive_scan_doy"] = BASE + f" SELECT {CELL_OF} AS cell, CAST(dayofyear(date) AS BIGINT) AS doy, count(*) AS n FROM det GROUP BY ALL"
+    q["archive_scan_sensors"] = BASE + """
+SELECT sensor, count(*) AS n, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS "end" FROM det GROUP BY sensor"""
+    q["year_from_row_groups"] = BASE + f" SELECT {key}, {r('frp')} AS frp FROM det WHERE year(date) = 1999"
     q["export_resume"] = BASE + f" SELECT {key} FROM det WHERE NOT date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
     q["export_manifest"] = BASE + """
 SELECT count(*) AS rows, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -469,6 +471,41 @@ def archive_scan_cells(spark, sf_dir):
     return shown(V.archive_scan(T.detections(spark, sf_dir))["cell_days"])
 
 
+@query
+def archive_scan_days(spark, sf_dir):
+    """S17."""
+    return shown(V.archive_scan(T.detections(spark, sf_dir))["days"])
+
+
+@query
+def archive_scan_doy(spark, sf_dir):
+    """S17."""
+    return shown(V.archive_scan(T.detections(spark, sf_dir))["cell_doy"])
+
+
+@query
+def archive_scan_sensors(spark, sf_dir):
+    """S17."""
+    return shown(V.archive_scan(T.detections(spark, sf_dir))["sensors"])
+
+
+def _archive_files(spark, sf_dir):
+    """The record as an archive by time: files of many row groups."""
+    root = scratch_path(spark, "archive")
+    record = T.detections(spark, sf_dir)
+    record.repartitionByRange(4, "time").sortWithinPartitions("time").write.option("parquet.block.size", 64 * 1024).option(
+        "parquet.page.size", 16 * 1024).option("parquet.page.row.count.limit", 500).parquet(root)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select("path")
+
+
+@query
+def year_from_row_groups(spark, sf_dir):
+    """One year of an archive, from the row groups whose footers say that they may hold some of it."""
+    groups = V.row_groups(_archive_files(spark, sf_dir))
+    held = V.groups_between(groups, dt.datetime(1999, 1, 1), dt.datetime(1999, 12, 31, 23, 59, 59, 999999))
+    return shown(V.of_year(V.read_row_groups(spark, held), 1999).select("lat", "lon", "time", "sensor", "frp"))
+
+
 @query
 def export_resume(spark, sf_dir):
     """What a second export run still has to write after one window is stored."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -208,14 +209,116 @@ def open_year(record: DataFrame, judged: DataFrame, year: int) -> DataFrame:
     return of_year(record, year).join(chosen.select("src_file"), "src_file", "left_semi")
 
 
+# ------------------------------------------------------------------ row groups
+ROW_GROUPS = "path string, row_group int, first_row long, n_rows long, lo timestamp, hi timestamp"
+#: Separate stretches of time that go to the scan as a filter; beyond them only the first and last moment do.
+MOST_STRETCHES = 200
+
+
+def row_groups(files: DataFrame, column: str = "time") -> DataFrame:
+    """Of each Parquet file in ``path`` the row groups with the least and greatest time in them, from the footers alone.
+
+    Null times where a footer has no statistics of the column.
+    """
+    def read(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                filesystem, inner = fs.FileSystem.from_uri(path)
+                with pq.ParquetFile(inner, filesystem=filesystem) as file:
+                    meta, first = file.metadata, 0
+                    names = file.schema_arrow.names
+                    for g in range(meta.num_row_groups):
+                        group = meta.row_group(g)
+                        found = [group.column(i).statistics for i in range(group.num_columns) if group.column(i).path_in_schema == column]
+                        stats = found[0] if found and column in names else None
+                        known = stats is not None and stats.has_min_max
+                        out.append((path, g, first, group.num_rows, *(_utc(v) for v in ((stats.min, stats.max) if known else (None, None)))))
+                        first += group.num_rows
+            yield pd.DataFrame(out, columns=["path", "row_group", "first_row", "n_rows", "lo", "hi"]).astype({"lo": "datetime64[us]", "hi": "datetime64[us]"})
+
+    return files.select("path").mapInPandas(read, ROW_GROUPS)
+
+
+def _utc(value):
+    stamp = pd.Timestamp(value) if value is not None else pd.NaT
+    return stamp.tz_convert("UTC").tz_localize(None) if stamp is not pd.NaT and stamp.tzinfo else stamp
+
+
+def groups_between(groups: DataFrame, start, end) -> DataFrame:
+    """The row groups that may hold a time from ``start`` to ``end``; those without statistics may."""
+    return groups.filter(F.col("lo").isNull() | F.col("hi").isNull() | ((F.col("lo") <= F.lit(end)) & (F.col("hi") >= F.lit(start))))
+
+
+def spread_groups(groups: DataFrame, steps: int = SPREAD_STEPS_MAX) -> DataFrame:
+    """Of each file about ``steps`` row groups spread over its time, as column ``step``; all where there are no more.
+
+    Bins of equal time give, one after another, their first group not yet taken, or any other one. A file with a group without
+    statistics, or without any extent in time, gives every so-manieth group by position.
+    """
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row_group").reset_index(drop=True)
+        n = len(part)
+        if n <= steps:
+            return part.assign(step=range(n))
+        lo, hi = part["lo"].min(), part["hi"].max()
+        if part["lo"].isna().any() or part["hi"].isna().any() or hi <= lo:
+            return part.loc[[k * n // steps for k in range(steps)]].assign(step=range(steps))
+        left, chosen = list(range(n)), []
+        for k in range(steps):
+            start, end = lo + (hi - lo) * k / steps, lo + (hi - lo) * (k + 1) / steps
+            fits = [g for g in left if part["lo"][g] <= end and part["hi"][g] >= start]
+            chosen.append((fits or left)[0])
+            left.remove(chosen[-1])
+        return part.loc[chosen].assign(step=range(steps))
+
+    return groups.groupBy("path").applyInPandas(pick, f"{ROW_GROUPS}, step int")
+
+
+def read_row_groups(spark: SparkSession, chosen: DataFrame, column: str = "time") -> DataFrame:
+    """The rows of the chosen row groups and no others; groups outside their stretches of time are not read.
+
+    The stretches go to the scan as a filter, which skips row groups by their statistics; the number of a row in its
+    file then tells exactly which rows are of a chosen group.
+    """
+    chosen = stored(chosen.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "first_row", "n_rows", "lo", "hi"), "rowgroups")
+    paths = [r.path for r in chosen.select("path").distinct().collect()]
+    if not paths:
+        raise ValueError("no row group is chosen")
+    by_time = Window.orderBy("lo", "hi")                     # rows of footers, not of data
+    islands = chosen.withColumn("_top", F.max("hi").over(by_time.rowsBetween(Window.unboundedPreceding, -1)))
+    islands = islands.withColumn("_island", F.sum(F.coalesce((F.col("lo") > F.col("_top")).cast("int"), F.lit(0))).over(by_time))
+    stretches = islands.groupBy("_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("lo").limit(MOST_STRETCHES + 1).collect()
+    rows = spark.read.parquet(*paths)
+    columns = rows.columns
+    if not chosen.filter(F.col("lo").isNull() | F.col("hi").isNull()).isEmpty():
+        within = F.lit(True)                                 # nothing is known of some
+    elif len(stretches) > MOST_STRETCHES:
+        ends = chosen.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        within = F.col(column).between(F.lit(ends.lo), F.lit(ends.hi)) | F.col(column).isNull()
+    else:
+        within = reduce(Column.__or__, [F.col(column).between(F.lit(r.lo), F.lit(r.hi)) for r in stretches]) | F.col(column).isNull()
+    numbered = rows.select(*columns, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_path"),
+                           F.col("_metadata.row_index").alias("_row")).filter(within)
+    own = (F.col("_path") == F.col("path")) & (F.col("_row") >= F.col("first_row")) & (F.col("_row") < F.col("first_row") + F.col("n_rows"))
+    return numbered.join(chosen.select("path", "first_row", "n_rows"), own).select(*columns)
+
+
 # ------------------------------------------------------------------ full scans
 def archive_scan(record: DataFrame) -> dict[str, DataFrame]:
-    """The reductions a training scan leaves behind, all from one record frame."""
-    cell = X.cell_id().alias("cell")
+    """The reductions a training scan leaves behind, from one scan of the record.
+
+    The scan is reduced to cells, days and sensors, and stored; the others are sums of that.
+    """
+    finest = stored(record.groupBy(X.cell_id().alias("cell"), "date", "sensor").agg(
+        F.count("*").alias("n"), F.sum("frp").alias("frp")), "scan")
     return {
-        "days": record.groupBy("date", "sensor").agg(F.count("*").alias("n"), F.sum("frp").alias("frp")),
-        "cell_doy": record.groupBy(cell, F.dayofyear("date").alias("doy")).agg(F.count("*").alias("n")),
-        "cell_days": record.groupBy(cell, "date", "sensor").agg(F.count("*").alias("n")),
-        "sensors": record.groupBy("sensor").agg(
-            F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end")),
+        "days": finest.groupBy("date", "sensor").agg(F.sum("n").alias("n"), F.sum("frp").alias("frp")),
+        "cell_doy": finest.groupBy("cell", F.dayofyear("date").alias("doy")).agg(F.sum("n").alias("n")),
+        "cell_days": finest.select("cell", "date", "sensor", "n"),
+        "sensors": finest.groupBy("sensor").agg(
+            F.sum("n").alias("n"), F.min("date").alias("start"), F.max("date").alias("end")),
     }

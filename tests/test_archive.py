@@ -182,3 +182,97 @@ def test_append_clips_and_counts_once(spark):
     more = record(spark, [(37.0, -120.0, t, "MODIS"), (38.0, -120.0, t, "MODIS"), (13.0, 100.0, t, "MODIS")])
     assert E.append_window(store, more, (32.5, -124.4, 42.0, -114.1)).count() == 2
     assert E.append_window(store, more, (32.5, -124.4, 42.0, -114.1), replace=True).count() == 2
+
+
+# ------------------------------------------------------------------ row groups
+T0 = dt.datetime(2020, 1, 1)
+
+@pytest.fixture
+def grouped(spark, tmp_path):
+    """Files of many row groups in order of time, one of them without times at all, and the rows in them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t0, rows = dt.datetime(2020, 1, 1), []
+    for f in range(3):
+        times = [t0 + dt.timedelta(hours=f * 5000 + i * 5) for i in range(1000)]
+        table = pa.table({"time": pa.array(times, pa.timestamp("us", "UTC")), "n": list(range(f * 1000, f * 1000 + 1000))})
+        pq.write_table(table, tmp_path / f"part{f}.parquet", row_group_size=50)
+        rows += list(zip(times, range(f * 1000, f * 1000 + 1000)))
+    return spark.createDataFrame([(f"file:{p}",) for p in sorted(tmp_path.iterdir())], "path string"), rows
+
+
+def scanned(df):
+    """Rows that the scans of the data gave, by the metrics of the executed plan."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if name.startswith("Scan parquet") and " n#" in plan.output().mkString(" ", ",", "").replace(",", " ") else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_footers_tell_row_groups(grouped, spark):
+    files, rows = grouped
+    groups = V.row_groups(files).orderBy("path", "row_group").collect()
+    assert len(groups) == 60 and all(g.n_rows == 50 for g in groups) and [g.first_row for g in groups[:3]] == [0, 50, 100]
+    assert groups[1].lo == rows[50][0] and groups[1].hi == rows[99][0]
+
+
+def test_only_row_groups_of_the_stretch_are_read(grouped, spark):
+    files, rows = grouped
+    lo, hi = dt.datetime(2020, 3, 1), dt.datetime(2020, 3, 20)
+    held = V.groups_between(V.row_groups(files), lo, hi)
+    df = V.read_row_groups(spark, held)
+    want = {n for t, n in rows if lo <= t <= hi}
+    got = {r.n for r in df.collect()}
+    assert want <= got and len(got) == 50 * held.count() < 200
+    assert 0 < scanned(df) <= 50 * held.count()
+
+
+def test_spread_over_time_and_by_position(grouped, spark):
+    files, rows = grouped
+    groups = V.row_groups(files)
+    picked = V.spread_groups(groups, 5).orderBy("path", "step").collect()
+    assert len(picked) == 15 and [r.row_group for r in picked[:5]] == [0, 4, 8, 12, 16]
+    df = V.read_row_groups(spark, V.spread_groups(groups, 5))
+    assert df.count() == 15 * 50 and 0 < scanned(df) < 3000
+    blind = groups.withColumn("lo", F.when(F.col("row_group") != 3, F.col("lo")))
+    assert [r.row_group for r in V.spread_groups(blind, 5).orderBy("path", "step").collect()[:5]] == [0, 4, 8, 12, 16]
+    assert V.read_row_groups(spark, V.spread_groups(blind, 20)).count() == 3000
+    uneven = spark.createDataFrame([("p", g, 0, 1, T0 + dt.timedelta(days=d), T0 + dt.timedelta(days=d + 1)) for g, d in enumerate((0, 1, 2, 3, 90, 99))], V.ROW_GROUPS)
+    assert sorted(r.row_group for r in V.spread_groups(uneven, 3).collect()) == [0, 1, 4]
+
+
+def test_many_stretches_read_all_between_them(grouped, spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_STRETCHES", 2)
+    files, _ = grouped
+    chosen = V.row_groups(files).filter("row_group % 4 = 1")
+    assert V.read_row_groups(spark, chosen).count() == 15 * 50
+    with pytest.raises(ValueError, match="no row group"):
+        V.read_row_groups(spark, chosen.limit(0))
+
+
+def test_no_statistics_at_all(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"time": pa.array([T0, None], pa.timestamp("us", "UTC")), "n": [1, 2]}), tmp_path / "a.parquet", write_statistics=False)
+    groups = V.row_groups(spark.createDataFrame([(f"file:{tmp_path}/a.parquet",)], "path string"))
+    assert groups.first().lo is None and V.groups_between(groups, T0, T0).count() == 1
+    assert V.read_row_groups(spark, groups).count() == 2
+
+
+def test_all_sinks_of_a_scan_from_one_frame(spark):
+    from helpers import record
+
+    rows = [(10.0, 20.0, T0 + dt.timedelta(days=i % 3), "MODIS" if i % 2 else "VIIRS") for i in range(12)]
+    sinks = V.archive_scan(record(spark, rows))
+    assert sinks["days"].agg(F.sum("n")).first()[0] == sinks["cell_doy"].agg(F.sum("n")).first()[0] == 12
+    assert {(r.sensor, r.n) for r in sinks["sensors"].collect()} == {("MODIS", 6), ("VIIRS", 6)} and sinks["cell_days"].count() == 6
