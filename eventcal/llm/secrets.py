@@ -7,6 +7,9 @@ of credentials is a secret if the cost is high: ``password: sunshine1`` is not,
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 import json
 import math
 import re
@@ -35,7 +38,8 @@ CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"cred", b"auth",
 CONTEXT = re.compile(
     rb"""(?<![A-Za-z0-9])(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth|secret)[_-]?key|credentials?|auth|login)"""
     rb"""(?:["']?[\x20\t]*(?:[:=]|->|(?<=[\x20\t])is(?=[\x20\t]))[\x20\t]*["']?)([^\x00-\x20"'<>]{6,})""")
-URL = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20:/@]+:([^\x00-\x20@/]{6,})@")
+SCHEME, NO_LETTER = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in "+.-"), b"0123456789+.-"
+LOGIN = re.compile(rb"://[^\x00-\x20:/@]+:([^\x00-\x20@/]{6,})@")
 
 # Rows of a keyboard, and alphabets that are walked.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -73,54 +77,64 @@ def _alphabet(c: str) -> float:
 
 def _matches(value: str, words: dict[str, float]):
     """(from, to, log10 of guesses) of every piece that has a pattern; of repeats, walks and sequences the longest."""
-    n, low = len(value), value.lower()
+    low = value.lower()
     plain = low.translate(LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if form in words:
-                    own = value[i:j]
-                    case = 0.0 if own == own.lower() else 0.3 if own[1:] == own[1:].lower() or own == own.upper() else 1.0
-                    yield i, j, words[form] + extra + case
-                    break
-        for pattern, size in zip(DATES, (365 * 160, 365 * 160, 160)):
-            if m := pattern.match(value, i):
-                yield i, m.end(), math.log10(size) + (0.6 if m.lastindex and m[1] else 0)
-        for block in range(1, min(8, (n - i) // 2) + 1):      # a block and its repeats
-            if i and value[i - 1:i - 1 + block] == value[i - 1 + block:i - 1 + 2 * block]:
-                continue
-            j = i + block
-            while value.startswith(value[i:i + block], j):
-                j += block
-            if j - i >= max(3, 2 * block):
-                yield i, j, sum(map(_alphabet, value[i:i + block])) + math.log10((j - i) // block)
+    for i in range(len(value)):
+        for j, cost in _pieces_from(value, low, plain, i, words, math.inf):
+            yield i, j, cost
+
+
+def _pieces_from(value: str, low: str, plain: str, i: int, words: dict[str, float], most: float):
+    """(to, log10 of guesses) of the pieces that begin at a place; walks that cost ``most`` or more are left out."""
+    n, near = len(value), _neighbours()
+    for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+            if form in words:
+                own = value[i:j]
+                case = 0.0 if own == own.lower() else 0.3 if own[1:] == own[1:].lower() or own == own.upper() else 1.0
+                yield j, words[form] + extra + case
+                break
+    for pattern, size in zip(DATES, (365 * 160, 365 * 160, 160)):
+        if m := pattern.match(value, i):
+            yield m.end(), math.log10(size) + (0.6 if m.lastindex and m[1] else 0)
+    for block in range(1, min(8, (n - i) // 2) + 1):          # a block and its repeats
+        if i and value[i - 1:i - 1 + block] == value[i - 1 + block:i - 1 + 2 * block]:
+            continue
+        j, own = i + block, value[i:i + block]
+        while value.startswith(own, j):
+            j += block
+        if j - i >= max(3, 2 * block):
+            yield j, sum(map(_alphabet, own)) + math.log10((j - i) // block)
+    if not (i and low[i] in near.get(low[i - 1], ())):        # a walk over the keyboard
         j, turns = i + 1, 0
-        if i and low[i] in _neighbours().get(low[i - 1], ()):
-            j = n
-        while j < n and low[j] in _neighbours().get(low[j - 1], ()):
-            turns += j - i < 2 or low[j] not in _neighbours()[low[j - 1]] or abs(_key(low[j]) - _key(low[j - 1])) != abs(_key(low[j - 1]) - _key(low[j - 2]))
+        while j < n and low[j] in near.get(low[j - 1], ()) and turns * math.log10(4.6) < most:
+            turns += j - i < 2 or low[j] not in near[low[j - 1]] or abs(_key(low[j]) - _key(low[j - 1])) != abs(_key(low[j - 1]) - _key(low[j - 2]))
             j += 1
-        if j - i >= 3 and not (i and low[i] in _neighbours().get(low[i - 1], ())):
-            yield i, j, math.log10(47 * (j - i)) + turns * math.log10(4.6)
-        for row in SEQUENCES:
-            for step in (1, -1):
-                j = i + 1
-                if i and low[i - 1] in row and low[i] in row and row.index(low[i]) - row.index(low[i - 1]) == step:
-                    continue
-                while j < n and low[j - 1] in row and low[j] in row and row.index(low[j]) - row.index(low[j - 1]) == step:
-                    j += 1
-                if j - i >= 3:
-                    yield i, j, math.log10(len(row) * (j - i))
+        if j - i >= 3:
+            yield j, math.log10(47 * (j - i)) + turns * math.log10(4.6)
+    for row in SEQUENCES:
+        for step in (1, -1):
+            j = i + 1
+            if i and low[i - 1] in row and low[i] in row and row.index(low[i]) - row.index(low[i - 1]) == step:
+                continue
+            while j < n and low[j - 1] in row and low[j] in row and row.index(low[j]) - row.index(low[j - 1]) == step:
+                j += 1
+            if j - i >= 3:
+                yield j, math.log10(len(row) * (j - i))
+
+
+_PLACES = {c: 100 * y + x for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 
 
 def _key(c: str) -> int:
-    return next((100 * y + row.index(c) for y, row in enumerate(KEYBOARD) if c in row), -1000)
+    return _PLACES.get(c, -1000)
 
 
 def guess_cost(value: str, words: dict[str, float]) -> float:
     """log10 of the guesses that the cheapest division of the value takes.
 
-    A division into k pieces costs the sum of theirs and log10 of k factorial, for the order is not known.
+    A division into k pieces costs the sum of theirs and log10 of k factorial, for the order is not known. Takes time with the
+    square of the value's length; of a place's divisions those above the least by more than 10^40 are left out.
     """
     n = len(value)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -152,6 +166,61 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     return min((c + math.lgamma(k + 1) / math.log(10) for k, c in best[n].items()), default=0.0)
 
 
+def costs_at_least(value: str, words: dict[str, float], least: float) -> bool:
+    """Does every division of the value take 10 to the ``least`` guesses or more?
+
+    Divisions are followed only from places that some pieces reach below that, in order of place. More pieces and longer ones
+    only add to the cost, so once no such place is left the answer is yes, however long the value is.
+    """
+    n, low = len(value), value.lower()
+    plain = low.translate(LEET)
+    order = [math.lgamma(k + 1) / math.log(10) for k in range(min(n, 1000) + 2)]
+    free: dict[int, dict[int, float]] = {0: {0: 0.0}}        # by place: pieces so far -> least sum
+    loose: dict[int, dict[int, float]] = {}                  # the same, where the last piece is brute force
+    open_ = [0]
+
+    def reach(to: dict, place: int, k: int, cost: float) -> None:
+        if cost + order[min(k, len(order) - 1)] >= least:
+            return
+        if place not in free and place not in loose:
+            heapq.heappush(open_, place)
+        here = to.setdefault(place, {})
+        if cost < here.get(k, math.inf):
+            here[k] = cost
+
+    while open_:
+        i = heapq.heappop(open_)
+        ends, goes_on = free.pop(i, {}), loose.pop(i, {})
+        for k, c in goes_on.items():
+            ends[k] = min(c, ends.get(k, math.inf))
+        if i == n:
+            return False                         # reached below the cost
+        step = _alphabet(value[i])
+        for k, c in ends.items():
+            reach(loose, i + 1, k + 1, c + step)
+        for k, c in goes_on.items():
+            reach(loose, i + 1, k, c + step)
+        for j, cost in _pieces_from(value, low, plain, i, words, least):
+            for k, c in ends.items():
+                reach(free, j, k + 1, c + cost)
+    return True
+
+
+def logins(text: bytes):
+    """(start, match) of ``scheme://user:password@``, from the left and without overlap; the password is group 1.
+
+    The scheme is what stands before ``://``, from its first letter on. Found from there back, a long run of letters is read once.
+    """
+    low = at = 0
+    while (at := text.find(b"://", at)) >= 0:
+        run = text[low:at]
+        scheme = run[len(run.rstrip(SCHEME)):].lstrip(NO_LETTER)
+        m = LOGIN.match(text, at) if scheme else None
+        if m:
+            yield at - len(scheme), m
+        low = at = m.end() if m else at + 3
+
+
 def base_spans(text: bytes) -> list[tuple[int, str, int]]:
     """(start, kind, end) in bytes of the assign and access matches."""
     low = text.lower()
@@ -172,14 +241,18 @@ def guessed_spans(text: bytes, taken: list[tuple[int, str, int]], words: dict[st
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out = []
-    for pattern in (CONTEXT, URL):
-        for m in pattern.finditer(text):
+    for matches in (CONTEXT.finditer(text), (m for _, m in logins(text))):
+        # Those of one pattern do not overlap; what covers a value was there before.
+        known = sorted((s, e) for s, _, e in [*taken, *out])
+        starts, reach = [s for s, _ in known], list(itertools.accumulate((e for _, e in known), max))
+        for m in matches:
             a, shown = m.start(1), m[1].rstrip(b".,;:!?)")
             b = a + len(shown)
-            if any(s <= a and b <= e for s, _, e in [*taken, *out]):
+            k = bisect.bisect_right(starts, a)
+            if k and reach[k - 1] >= b:
                 continue
             value = shown.decode("utf-8", "replace")
-            if len(value) >= 6 and guess_cost(value, words) >= least:
+            if len(value) >= 6 and costs_at_least(value, words, least):
                 out.append((a, "guess", b))
     return out
 

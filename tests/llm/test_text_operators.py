@@ -392,3 +392,39 @@ def test_expectation_maximisation_finds_accuracies():
     for j, name in enumerate("abcd"):
         assert abs(w.rules[name][0] - math.log(right[0, j] / (1 - right[1, j]))) < 0.35
         assert abs(w.rules[name][1] - math.log((1 - right[0, j]) / right[1, j])) < 0.35
+
+
+def secret_values(rng, n):
+    """Values of words, walks, repeats, dates and noise."""
+    parts = ["password", "Sunshine", "dragon", "qwerty", "asdfgh", "1234567", "aaaaaaa", "abab", "1999-12-31", "2024", "p4ssw0rd", "zyxw", "!", "#%"]
+    for _ in range(n):
+        yield "".join(rng.choice(parts) if rng.random() < .6 else "".join(rng.choice("aZ09$_xQ") for _ in range(rng.randrange(1, 6)))
+                      for _ in range(rng.randrange(1, 5)))
+
+
+def test_the_cost_is_judged_like_the_whole_division():
+    words, rng = secrets.dictionary(secrets.VOCABULARY), random.Random(8)
+    for value in secret_values(rng, 400):
+        cost = secrets.guess_cost(value, words)
+        for least in (3.0, 6.0, 10.0, 14.0):
+            assert secrets.costs_at_least(value, words, least) == (cost >= least), (value, cost, least)
+
+
+def test_logins_are_those_of_one_pattern():
+    url, rng = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20:/@]+:([^\x00-\x20@/]{6,})@"), random.Random(4)
+    for _ in range(3000):
+        text = b"".join(rng.choice((b"://", b"http", b"a", b"1", b"+.", b":", b"/", b"@", b" ", b"user", b"secret99", b"\xc3\xa4")) for _ in range(rng.randrange(1, 25)))
+        assert [(s, m.start(1), m.end(1), m.end()) for s, m in secrets.logins(text)] == [(m.start(), m.start(1), m.end(1), m.end()) for m in url.finditer(text)]
+
+
+@pytest.mark.parametrize("text, found", [
+    (b"key " + b"x" * 1_000_000, 0), (b"key " + b"x1+" * 330_000 + b"://u:Xk9vQ2!rT7$wZp@h", 1),
+    (b"password: " + bytes(random.Random(1).choices(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#", k=1_000_000)) + b"! end", 1),
+    (b"pwd=" + b"a" * 1_000_000, 0), (b"pwd=" + b"qw" * 500_000, 0), (b"pass: (Xk9vQ2!rT7$wZp) " * 20_000, 20_000), (b"secret :" + b" " * 1_000_000, 0)])
+def test_very_long_values_and_runs_take_little_time(text, found):
+    import time
+
+    words = secrets.dictionary(secrets.VOCABULARY)
+    start = time.process_time()
+    spans = secrets.guessed_spans(text, secrets.base_spans(text), words, 10.0)
+    assert len(spans) == found and time.process_time() - start < 4
