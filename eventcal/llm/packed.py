@@ -1,6 +1,6 @@
 """Corpus-wide repeats of hashed items without a row for each item.
 
-Texts are dealt into chunks of a few MB by their id. A chunk sends its distinct hashes as sorted
+Texts are dealt into chunks of a few MB by their id and text, so that many rows with one id or none spread too. A chunk sends its distinct hashes as sorted
 32-bit remainders to the buckets that own them (the upper half of the hash names the bucket), and a
 bucket answers each chunk with those that occur elsewhere. A hash takes about four bytes on the wire,
 arrives at most once from a chunk however often it occurs there, and the number of buckets grows
@@ -31,9 +31,9 @@ def corpus_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def chunked(docs: DataFrame, n_bytes: int, id_col: str = "doc_id", text_col: str = "text",
             chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, id, text); other columns are left out."""
+    """(chunk, id, text); other columns are left out. Rows that repeat id and text meet in one chunk."""
     n = max(1, -(-n_bytes // chunk_bytes))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("chunk"),
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).alias("chunk"),
                        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
