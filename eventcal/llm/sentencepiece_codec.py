@@ -11,7 +11,8 @@ run of space signs and what follows to the next one. Each different unit of a ba
 the candidates that it meets; an occurrence none of whose candidates is skipped is cut just so. The others are put together
 by their unit and the candidates that they skip, and each such group is segmented once without these, which may bring up candidates not met
 before; occurrences that skip some of those form the groups of the next round. So each occurrence keeps its own draws, and
-equal outcomes are worked out once. Units of many characters take an agenda of their own.
+equal outcomes are worked out once. Units that hardly occur twice are segmented with their draws straight away; those of many
+characters take an agenda of their own.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BLOCK = 150_000
 LOOKED_AT = 250_000
 #: Units of more characters have an agenda of their own.
 LONG_UNIT = 64
+#: Units that occur so often or less in a part are segmented one by one as well: there is little to share.
+FEW = 2
 #: Candidates that a group may bring up in a round, one bit for each; occurrences of the few others are segmented one by one.
 BITS = 62
 NONE = -1
@@ -49,9 +52,9 @@ class Pieces:
     ids: dict[str, int]
     byte_ids: np.ndarray         # of each byte
     of_char: np.ndarray          # the id of each character, or NONE
-    pairs: np.ndarray            # left id * n + right id, by slot; NONE where a slot is free
-    merged: np.ndarray           # the id of the union, by slot
+    pairs: np.ndarray            # (left id * n + right id) << 16 | id of the union, by slot; NONE where a slot is free
     rank: np.ndarray             # of each id, 0 for the best score
+    by_rank: np.ndarray          # the id of each rank
     n: int
     data: np.ndarray             # what each id decodes to, one after the other
     at: np.ndarray
@@ -61,13 +64,14 @@ class Pieces:
         key = np.where((left >= 0) & (right >= 0), left * self.n + right, -2)
         slot = _slot(key, len(self.pairs))
         found = self.pairs[slot]
-        out = np.where(found == key, self.merged[slot], NONE)
-        rest = np.flatnonzero((found != key) & (found != NONE))
+        held = found >> 16
+        out = np.where(held == key, found & 0xFFFF, NONE)
+        rest = np.flatnonzero((held != key) & (found != NONE))
         while len(rest):
             slot[rest] = (slot[rest] + 1) & (len(self.pairs) - 1)
             found = self.pairs[slot[rest]]
-            same = found == key[rest]
-            out[rest[same]] = self.merged[slot[rest[same]]]
+            same = found >> 16 == key[rest]
+            out[rest[same]] = found[same] & 0xFFFF
             rest = rest[~same & (found != NONE)]
         return out
 
@@ -77,20 +81,20 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
 
 
 def _slots(pairs: list[tuple[int, int]]):
-    """(keys, values) by slot, at most a quarter of them used."""
+    """Keys and 16-bit values in one number by slot, at most a quarter of them used."""
     size = 1 << max(4, (4 * len(pairs)).bit_length())
-    keys, values = np.full(size, NONE, np.int64), np.full(size, NONE, np.int64)
+    held = np.full(size, NONE, np.int64)
     key, value = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.int64)
     slot = _slot(key, size)
     while len(key):
-        free = keys[slot] == NONE
+        free = held[slot] == NONE
         _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
         put = first[free[first]]
-        keys[slot[put]], values[slot[put]] = key[put], value[put]
+        held[slot[put]] = key[put] << 16 | value[put]
         rest = np.setdiff1d(np.arange(len(key)), put)
         key, value, slot = key[rest], value[rest], slot[rest]
-        slot = np.where(keys[slot] != NONE, (slot + 1) & (size - 1), slot)
-    return keys, values
+        slot = np.where(held[slot] != NONE, (slot + 1) & (size - 1), slot)
+    return held
 
 
 @lru_cache(2)
@@ -99,6 +103,8 @@ def pieces(path: str) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.vocab_size()
+    if n > 1 << 16:
+        raise ValueError("the model has more than 65,536 pieces")
     names = [model.id_to_piece(i) for i in range(n)]
     special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
     is_byte = [model.is_byte(i) for i in range(n)]
@@ -122,7 +128,7 @@ def pieces(path: str) -> Pieces:
             of_char[ord(piece)] = i
     # A space is its sign; the sign itself, which would decode to a space, is written byte by byte.
     of_char[32], of_char[ord(SPACE)] = ids[SPACE], NONE
-    return Pieces(ids, byte_ids, of_char, *_slots(found), rank, n, np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in shown])]))
+    return Pieces(ids, byte_ids, of_char, _slots(found), rank, np.array(order, np.int32), n, np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in shown])]))
 
 
 def candidate_key(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -170,7 +176,7 @@ def agenda(p: Pieces, symbols: list[int], key: U64, share: float, met: list | No
 def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None = None, skips=None):
     """(ids, offsets) of the pieces of each unit symbols[at[i]:at[i+1]], unknown characters left as they are.
 
-    ``met`` takes (units, places, pieces) of every candidate that came up. ``skips`` says of such arrays which candidates of
+    ``met`` takes (units, places, pieces) of every candidate that came up and is not skipped. ``skips`` says of such arrays which candidates of
     units that are not long are skipped; else they are drawn by ``keys`` and ``share``.
     """
     if skips is None and share > 0:
@@ -191,69 +197,91 @@ def segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, sh
     return _segment(p, symbols, at, keys, share, met, skips)
 
 
+#: Units are segmented together with others of about their number of characters.
+CLASSES = (1, 2, 3, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64)
+
+
 def _segment(p: Pieces, symbols: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, met: list | None, skips):
     size = np.diff(at)
-    unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    first = at[:-1]
-    own = size > LONG_UNIT
-    # Each symbol keeps the number it began with, which says its unit and place to the end.
-    done_n, done_i = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for u in np.flatnonzero(own):
+    found = []                                   # (units, pieces of each, these one after the other)
+    for u in np.flatnonzero(size > LONG_UNIT):
         own_met: list | None = [] if met is not None else None
         got = np.array(agenda(p, symbols[at[u]:at[u + 1]].tolist(), keys[u], share, own_met))
         if own_met:
             met.append((np.full(len(own_met), u), *np.array(own_met, np.int64).T))
-        done_n.append((first[u] + np.arange(len(got))).astype(np.int32))
-        done_i.append(got.astype(np.int32))
-    number = np.flatnonzero(~own[unit]).astype(np.int32) if own.any() else np.arange(len(symbols), dtype=np.int32)
-    ids, of = symbols[number].astype(np.int32), unit[number]
-    worst = np.int32(p.n + 1)
-
-    def candidate(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What symbol i and the next would merge to, and its rank."""
-        j = np.minimum(i + 1, len(ids) - 1)
-        m = p.union(ids[i].astype(np.int64), np.where((j > i) & (of[j] == of[i]), ids[j], NONE).astype(np.int64))
+        found.append((np.array([u]), np.array([len(got)]), got))
+    low = 0
+    for high in CLASSES:
+        units = np.flatnonzero((size > low) & (size <= min(high, LONG_UNIT)))
+        low = high
+        if len(units):
+            found.append((units, *_merged(p, symbols, at[units], size[units], high, units, met, skips)))
+    count = np.zeros(len(size), np.int64)
+    for units, n, _ in found:
+        count[units] = n
+    edge = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(edge[-1], np.int64)
+    for units, n, ids in found:
+        out[np.repeat(edge[units] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return out, edge
+
+
+def _merged(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, high: int, units: np.ndarray, met: list | None, skips):
+    """(number of pieces of each unit, these one after the other) of units of at most ``high`` symbols.
+
+    A column for each unit and a row for each place, with an empty row before the first and behind the last. A step merges the
+    best candidate of every column: the least of its keys, which are ranks before places, so the leftmost of equals.
+    """
+    wide, none = len(units), np.int32(1 << 30)
+    place = np.arange(high + 2)[:, None] - 1
+    inside = (place >= 0) & (place < size)
+    ids = np.where(inside, symbols[np.clip(start + place, 0, len(symbols) - 1)], NONE).astype(np.int32)
+    after = np.repeat(np.arange(1, high + 3, dtype=np.int32)[:, None], wide, 1)
+    before = np.repeat(np.arange(-1, high + 1, dtype=np.int32)[:, None], wide, 1)
+    key = np.full((high + 2, wide), none)
+    alive = inside.copy()
+    flat_ids, flat_after, flat_before, flat_key, flat_alive = (x.reshape(-1) for x in (ids, after, before, key, alive))
+
+    def offer(row: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Put the keys of what the symbols of these rows and the next ones would merge to."""
+        m = p.union(left.astype(np.int64), right.astype(np.int64))
         k = np.flatnonzero(m != NONE)
-        if len(k) and (skips is not None or met is not None):
-            whose, piece = of[i[k]].astype(np.int64), m[k]
-            place = number[i[k]] - first[whose]
-            if met is not None:
-                met.append((whose, place, piece))
-            if skips is not None:
-                gone = skips(whose, place, piece)
-                m[k[gone]] = NONE
-                k = k[~gone]
-        rank = np.full(len(i), worst)
-        rank[k] = p.rank[m[k]]
-        return m.astype(np.int32), rank
-
-    cand, rank = candidate(np.arange(len(ids))) if len(ids) else (ids, ids)
-    while len(ids):
-        head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        best = np.minimum.reduceat(rank, head)
-        open_ = best < worst
-        length = np.diff(np.append(head, len(ids)))
-        if not open_.all():                      # units with nothing to merge are finished
-            live = np.repeat(open_, length)
-            done_n.append(number[~live])
-            done_i.append(ids[~live])
-            number, of, ids, cand, rank = number[live], of[live], ids[live], cand[live], rank[live]
-            if not len(ids):
-                break
-            best, length = best[open_], length[open_]
-        hits = np.flatnonzero(rank == np.repeat(best, length))
-        hits = hits[np.append(True, of[hits][1:] != of[hits][:-1])]           # the leftmost of each unit
-        ids[hits] = cand[hits]
-        stay = np.ones(len(ids), bool)
-        stay[hits + 1] = False
-        moved = hits - np.arange(len(hits))      # one symbol went in each unit before
-        number, of, ids, cand, rank = number[stay], of[stay], ids[stay], cand[stay], rank[stay]
-        redo = np.concatenate([moved, moved[moved > 0] - 1])
-        cand[redo], rank[redo] = candidate(redo)
-    number, ids = np.concatenate(done_n), np.concatenate(done_i)
-    order = np.argsort(number, kind="stable")
-    count = np.bincount(unit[number], minlength=len(size)) if len(number) else np.zeros(len(size), np.int64)
-    return ids[order].astype(np.int64), np.concatenate([[0], np.cumsum(count)])
+        put = np.full(len(m), none)
+        if len(k):
+            piece, where = m[k], row[k] - 1
+            if met is not None or skips is not None:
+                whose = units[column[k]]
+                if skips is not None:
+                    stay = ~skips(whose, where, piece)
+                    k, piece, where, whose = k[stay], piece[stay], where[stay], whose[stay]
+                if met is not None:
+                    met.append((whose, where, piece))
+            put[k] = (p.rank[piece] << 6) | where
+        flat_key[row * wide + column] = put
+
+    row, column = np.nonzero(inside[:-1] & inside[1:])
+    offer(row, column, ids[row, column], ids[row + 1, column])
+    columns = np.arange(wide)
+    while len(columns):
+        best = key.min(0)[columns] if len(columns) > wide // 4 else key[:, columns].min(0)
+        live = best < none
+        columns, best = columns[live], best[live]
+        if not len(columns):
+            break
+        row, m = (best & 63).astype(np.int64) + 1, p.by_rank[best >> 6]
+        here = row * wide + columns
+        gone = flat_after[here].astype(np.int64) * wide + columns
+        last = flat_after[gone].astype(np.int64)
+        flat_ids[here], flat_key[gone], flat_alive[gone] = m, none, False
+        flat_after[here] = last
+        behind = last * wide + columns
+        flat_before[behind] = row
+        front = flat_before[here].astype(np.int64)
+        offer(row, columns, m, flat_ids[behind])
+        inner = front > 0
+        front, columns_in = front[inner], columns[inner]
+        offer(front, columns_in, flat_ids[front * wide + columns_in], m[inner])
+    return alive.sum(0), ids.T[alive.T]
 
 
 def _spread(values: np.ndarray, at: np.ndarray, which: np.ndarray):
@@ -287,92 +315,76 @@ def _drawn(p: Pieces, listed: np.ndarray, groups: int, group: np.ndarray, keys:
     return bits, at
 
 
-def _skipping(n: int, met: list, code: np.ndarray, keys: np.ndarray, share: float) -> np.ndarray:
-    """The occurrences of which some candidate met without dropout is skipped; ``code`` is the unit of each, of ``n`` units."""
-    unit, place, piece = [np.concatenate(c) for c in zip(*met)] if met else [np.zeros(0, np.int64)] * 3
-    order = np.argsort(unit, kind="stable")
-    own = candidate_key(place[order], piece[order])
-    at = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=n))])
-    total, hit = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[code])]), np.zeros(len(code), bool)
-    edges = np.append(np.flatnonzero(np.append(True, np.diff(total[:-1] // LOOKED_AT) != 0)), len(code))
-    for a, b in zip(edges[:-1], edges[1:]):
-        asked, sizes = _spread(own, at, code[a:b])
-        who = np.repeat(np.arange(a, b), sizes)
-        hit[who[dropped(keys[who], asked, share)]] = True
-    return np.flatnonzero(hit)
+def _skipping(n: int, bits: np.ndarray, code: np.ndarray, keys: np.ndarray, share: float) -> np.ndarray:
+    """The occurrences that skip one of the candidates met without dropout."""
+    return np.flatnonzero(bits)
 
 
-def _with_dropout(p: Pieces, known: np.ndarray, unit_at: np.ndarray, met: list, code: np.ndarray, keys: np.ndarray, share: float):
-    """(ids, offsets, (occurrences, groups)) of each round: the pieces of its groups, and which occurrences are cut like which.
+def _with_dropout(p: Pieces, known: np.ndarray, unit_at: np.ndarray, code: np.ndarray, keys: np.ndarray, share: float):
+    """[(ids, offsets, occurrences, groups)]: the pieces of some units or groups, and which occurrences are cut like which.
 
-    Occurrences that skip nothing without dropout are in none.
-    ``met``: candidates of each unit without dropout; ``code``: the unit of each occurrence.
+    ``code``: the unit of each occurrence. Each occurrence is in one of the parts.
     """
-    units = len(unit_at) - 1
-    short = (np.diff(unit_at) <= LONG_UNIT)
-    listed = _listed([[x[short[m[0]]] for x in m] for m in met], p.n)
-    again = _skipping(units, met, code, keys, share)
-    alone = [again[~short[code[again]]]]                     # segmented one by one
-    again = again[short[code[again]]]
-    # Groups of occurrences: the unit of each, the candidates skipped so far, those asked about so far; all in order.
-    unit, skipped, asked = np.arange(units), np.zeros(0, np.int64), listed
-    who, group = again, code[again]
-    ids, at, final = [], [], []
-    pieces_so_far = None                                     # of the groups; without dropout they are known
+    units, shift = len(unit_at) - 1, LONG_UNIT * p.n
+    times = np.bincount(code, minlength=units)
+    direct = (np.diff(unit_at) > LONG_UNIT) | (times <= FEW)
+    # Without dropout each unit once, which lists its candidates; a unit with too many for the bits goes one by one too.
+    picked = np.flatnonzero(~direct)
+    met: list = []
+    symbols, sizes = _spread(known, unit_at, picked)
+    base = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(picked), U64), 0.0, met)
+    listed = _listed(met, p.n)
+    many = np.bincount(listed // shift, minlength=len(picked)) > BITS
+    direct[picked[many]] = True
+    alone = direct[code]
+    who = np.flatnonzero(~alone)
+    group = np.searchsorted(picked, code[who])
+    bits, edge = _drawn(p, listed, len(picked), group, keys[who], share)
+    again = np.zeros(len(who), bool)
+    again[_skipping(units, bits, code[who], keys[who], share)] = True
+    out = [(*base, who[~again], group[~again])]
+    rest = [np.flatnonzero(alone)]
+    # Groups of occurrences: the unit of each, and the candidates that it skips, all in order.
+    unit, skipped = picked, np.zeros(0, np.int64)
+    who, group, bits = who[again], group[again], bits[again]
     while len(who):
-        many = np.diff(np.searchsorted(listed, np.arange(len(unit) + 1) * (LONG_UNIT * p.n))) > BITS
-        if many.any():
-            alone.append(who[many[group]])
-            who, group = who[~many[group]], group[~many[group]]
-            listed = listed[~many[listed // (LONG_UNIT * p.n)]]
-        bits, edge = _drawn(p, listed, len(unit), group, keys[who], share)
-        if pieces_so_far is not None:
-            done = bits == 0
-            ids.append(pieces_so_far[0])
-            at.append(pieces_so_far[1])
-            final.append((who[done], group[done]))
-            who, group, bits = who[~done], group[~done], bits[~done]
-        if not len(who):
-            break
         order = np.lexsort((bits, group))
         who, group, bits = who[order], group[order], bits[order]
         new = np.append(True, (group[1:] != group[:-1]) | (bits[1:] != bits[:-1]))
         parent, mask = group[new], bits[new]
         group = np.cumsum(new) - 1
-        # What a group has skipped and been asked about: its parent's, and its own bits.
-        shift = LONG_UNIT * p.n
-
-        def inherited(of: np.ndarray) -> np.ndarray:
-            values, sizes = _spread(of % shift, np.searchsorted(of, np.arange(len(unit) + 1) * shift), parent)
-            return values + np.repeat(np.arange(len(parent)), sizes) * shift
-
+        # Their parent's and their own bits.
+        before, sizes = _spread(skipped % shift, np.searchsorted(skipped, np.arange(len(unit) + 1) * shift), parent)
+        before += np.repeat(np.arange(len(parent)), sizes) * shift
         own, sizes = _spread(np.arange(len(listed)), edge, parent)
         owner = np.repeat(np.arange(len(parent)), sizes)
         set_ = (mask[owner] >> (own - edge[parent[owner]])) & 1 == 1
-        fresh = listed[own[set_]] % shift + owner[set_] * shift
-        skipped = np.sort(np.concatenate([inherited(skipped), fresh]))
-        asked = inherited(asked)
+        skipped = np.sort(np.concatenate([before, listed[own[set_]] % shift + owner[set_] * shift]))
         unit = unit[parent]
         symbols, sizes = _spread(known, unit_at, unit)
-        found: list = []
 
         def skips(u, i, m, skipped=skipped):
             number = (u.astype(np.int64) * LONG_UNIT + i) * p.n + m
             return skipped[np.minimum(np.searchsorted(skipped, number), len(skipped) - 1)] == number if len(skipped) else number < 0
 
-        pieces_so_far = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(unit), U64), 0.0, found, skips)
-        listed = _listed(found, p.n)
-        if len(asked):
-            listed = listed[asked[np.minimum(np.searchsorted(asked, listed), len(asked) - 1)] != listed]
-        asked = np.sort(np.concatenate([asked, listed]))
-    rest = np.concatenate(alone)
-    if len(rest):
-        symbols, sizes = _spread(known, unit_at, code[rest])
-        cut, cut_at = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), keys[rest], share)
-        ids.append(cut)
-        at.append(cut_at)
-        final.append((rest, np.arange(len(rest))))
-    return ids, at, final
+        met = []
+        cut = segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(unit), U64), 0.0, met, skips)
+        # Draws of candidates asked about before come out as they did: not skipped.
+        listed = _listed(met, p.n)
+        many = np.bincount(listed // shift, minlength=len(unit)) > BITS
+        if many.any():
+            rest.append(who[many[group]])
+            who, group = who[~many[group]], group[~many[group]]
+            listed = listed[~many[listed // shift]]
+        bits, edge = _drawn(p, listed, len(unit), group, keys[who], share)
+        done = bits == 0
+        out.append((*cut, who[done], group[done]))
+        who, group, bits = who[~done], group[~done], bits[~done]
+    last = np.concatenate(rest)
+    if len(last):
+        symbols, sizes = _spread(known, unit_at, code[last])
+        out.append((*segment(p, symbols, np.concatenate([[0], np.cumsum(sizes)]), keys[last], share), last, np.arange(len(last))))
+    return out
 
 
 def _characters(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,14 +435,16 @@ def encode_batch(p: Pieces, texts, owners: np.ndarray, seed: int, share: float):
     points, unit_at = _characters(data, edge)
     known = p.of_char[points]
     known = np.where(known == NONE, -2 - points, known)      # an unknown character keeps its number
-    met: list | None = [] if share > 0 else None
-    ids, at = segment(p, known, unit_at, np.zeros(len(unit_at) - 1, U64), 0.0, met)
     if share > 0:
         keys = T.mix(T.mix(np.asarray(owners).astype(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[doc] + (start - off[doc]).astype(U64))
-        code = code.copy()
-        for cut, cut_at, (who, group) in zip(*_with_dropout(p, known, unit_at, met, code, keys, share)):
+        parts = _with_dropout(p, known, unit_at, code, keys, share)
+        code = np.zeros(len(code), np.int64)
+        ids, at = np.concatenate([x[0] for x in parts]), np.zeros(1, np.int64)
+        for _, part_at, who, group in parts:
             code[who] = len(at) - 1 + group
-            ids, at = np.concatenate([ids, cut]), np.concatenate([at, at[-1] + cut_at[1:]])
+            at = np.concatenate([at, at[-1] + part_at[1:]])
+    else:
+        ids, at = segment(p, known, unit_at, np.zeros(len(unit_at) - 1, U64), 0.0)
     if (ids < 0).any():                          # byte by byte
         odd = {int(v): p.byte_ids[list(chr(-2 - int(v)).encode("utf-8", "surrogatepass"))] for v in np.unique(ids[ids < 0])}
         size = np.ones(len(ids), np.int64)
