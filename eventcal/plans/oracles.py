@@ -368,6 +368,7 @@ SELECT CAST(date AS VARCHAR) AS date, sensor, count(*) AS n, {r("sum(frp)")} AS
 SELECT sensor, count(*) AS n, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS "end" FROM det GROUP BY sensor"""
     q["year_from_row_groups"] = BASE + f" SELECT {key}, {r('frp')} AS frp FROM det WHERE year(date) = 1999"
     q["export_resume"] = BASE + f" SELECT {key} FROM det WHERE NOT date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
+    q["seen_keys"] = BASE + f" SELECT {key} FROM det WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-03-31'"
     q["export_manifest"] = BASE + """
 SELECT count(*) AS rows, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day,
  string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensors, 'lat,lon,time,sensor' AS dedupe,

@@ -24,6 +24,7 @@ from eventcal.sources import archive as V
 from eventcal.sources import driver_tables as T
 from eventcal.sources import export as E
 from eventcal.sources import readers as RD
+from eventcal.sources import seen as SN
 from eventcal.sources import windows as WN
 from eventcal.streaming import streams as ST
 
@@ -514,6 +515,17 @@ def export_resume(spark, sf_dir):
     return shown(E.not_exported(record, stored).select("lat", "lon", "time", "sensor"))
 
 
+@query
+def seen_keys(spark, sf_dir):
+    """U4: the union of the keys that three overlapping windows brought, the last of them twice."""
+    record, path, key = T.detections(spark, sf_dir), scratch_path(spark, "keys"), ["lat", "lon", "time", "sensor"]
+    for number, (start, end) in enumerate((("1995-01-01", "1996-06-30"), ("1996-01-01", "1997-12-31"), ("1997-12-01", "1998-03-31"))):
+        rows = R.subset(record, None, start, end)
+        for _ in range(1 + (number == 2)):
+            SN.remember(SN.unseen(rows, path, key, "time", batch=number), path, key, number, "time")
+    return shown(SN.seen(spark, path).select(*key))
+
+
 @query
 def export_manifest(spark, sf_dir):
     """S22."""

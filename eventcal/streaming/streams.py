@@ -8,6 +8,7 @@ watermark has passed them. Checkpoints take the place of a progress ledger.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -15,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from eventcal import schema as S
 from eventcal.operators import record as R
 from eventcal.session import scratch_path, tune
+from eventcal.sources import seen
+from eventcal.sources.export import read_record
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -219,44 +222,78 @@ def streaks(stream: DataFrame, key: str, time: str = "ts", level: int = 3, delay
 
 
 # ------------------------------------------------------------------ sinks
-def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str] = list(S.IDENTITY)):
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str] = list(S.IDENTITY), day: str | None = None):
     """Append each batch's unseen rows to a parquet record; a replayed batch adds nothing.
 
     Each batch is written to its own folder by batch id and overwritten on replay, so a batch that
-    failed half-way leaves no copies.
+    failed half-way leaves no copies. What the record holds is asked of a store of its keys (``sources.seen``), of which a
+    batch reads the parts it touches; a column ``day`` of the key narrows these to the batch's months. A record without that
+    store gets it with the first batch.
     """
+    keys = f"{path}/_keys"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key)
-        stored = _other_batches(spark, path, batch_id, key)
-        if stored is not None:
-            rows = rows.join(stored, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if seen.seen(spark, keys) is None and (before := read_record(spark, path)) is not None:
+            for (number,) in before.select("batch").distinct().collect():
+                seen.remember(before.filter(F.col("batch") == number), keys, key, number, day)
+        batch = batch.persist()
+        try:
+            seen.unseen(batch, keys, key, day, batch=batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            seen.remember(spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}"), keys, key, batch_id, day)
+        finally:
+            batch.unpersist()
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _other_batches(spark: SparkSession, path: str, batch_id: int, key: list[str]) -> DataFrame | None:
-    from eventcal.sources.export import read_record
+class _Dropped(StreamingQueryListener):
+    """Rows that the watermark dropped, over all batches of each run; a query itself remembers its last batches only."""
 
-    stored = read_record(spark, path)
-    return None if stored is None else stored.filter(F.col("batch") != batch_id).select(*key)
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def watch(self, run: str) -> threading.Event:
+        return self.ended.setdefault(str(run), threading.Event())
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        run, states = str(event.progress.runId), event.progress.stateOperators
+        self.rows[run] = self.rows.get(run, 0) + sum(s.numRowsDroppedByWatermark for s in states)
+
+    def onQueryTerminated(self, event):
+        self.watch(event.runId).set()
+
+
+#: Seconds that the news of a query's end may take after it.
+NEWS = 60
 
 
 def drain(stream: DataFrame, label: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there now into parquet on the shared folder, and read it back.
 
-    A row that came too late for the watermark would be missing from the result, so it is an error.
+    A row that came too late for the watermark, in whatever batch, would be missing from the result, so it is an error.
     """
     spark = stream.sparkSession
     out, marks = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-marks")
-    query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", marks).trigger(availableNow=True).start())
-    query.awaitTermination()
-    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-    if late:
+    dropped = _Dropped()
+    spark.streams.addListener(dropped)
+    try:
+        query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+                 .option("checkpointLocation", marks).trigger(availableNow=True).start())
+        query.awaitTermination()
+        if not dropped.watch(query.runId).wait(NEWS):
+            raise RuntimeError("the stream's progress was not told to the end")
+    finally:
+        spark.streams.removeListener(dropped)
+    if late := dropped.rows.get(str(query.runId), 0):
         raise RuntimeError(f"{late} rows came later than the watermark allows")
     result = spark.read.schema(stream.schema).parquet(out)
     return then(result) if then else result

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 
@@ -94,3 +95,76 @@ def test_file_drop_splits_corrupt_lines(spark, tmp_path):
     assert {r.lat for r in ST.drain(ST.record_stream(lines), "t").collect()} == {1.0, 3.0}
     rejected = ST.drain(bad, "t").collect()
     assert [(r.src_file, r.line, r.fields) for r in rejected] == [("a.csv", "1.0,2.0,2024-01-01", 3)]
+
+
+# ------------------------------------------------------------------ many batches, and the store of keys
+def test_a_late_row_in_an_early_batch_of_many_is_told(spark, tmp_path):
+    """More batches than a query remembers; only the second brings a row too late."""
+    src = tmp_path / "in"
+    src.mkdir()
+    t0 = dt.datetime(2024, 1, 1)
+    for i in range(112):
+        times = [t0 + dt.timedelta(hours=6 * i)] + ([t0 - dt.timedelta(days=40)] if i == 2 else [])
+        (src / f"{i:04d}.json").write_text("\n".join('{"time": "%s", "k": "a"}' % t.isoformat() for t in times))
+        os.utime(src / f"{i:04d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("time timestamp, k string").option("maxFilesPerTrigger", 1).json(str(src))
+    out = stream.withWatermark("time", "1 day").groupBy(F.window("time", "1 day"), "k").count()
+    with pytest.raises(RuntimeError, match="1 rows came later"):
+        ST.drain(out.select("window.start", "k", "count"), "late")
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "k string, at timestamp, v int")
+
+
+def test_keys_of_batches_and_their_union(spark, tmp_path):
+    from eventcal.sources import seen
+
+    path, t0 = str(tmp_path / "keys"), dt.datetime(2024, 1, 5)
+    first = rows_of(spark, [("a", t0, 1), ("b", t0, 2), (None, t0, 3), ("a", None, 4)])
+    assert seen.seen(spark, path) is None and seen.union(spark, path, ["k", "at"]) is None and seen.unseen(first, path, ["k", "at"], "at").count() == 4
+    for _ in range(2):                                       # a batch written twice counts once
+        seen.remember(first, path, ["k", "at"], 0, "at")
+    assert seen.seen(spark, path).count() == 4
+    again = rows_of(spark, [("a", t0, 9), ("c", t0, 9), (None, t0, 9), (None, t0, 8), ("a", None, 9), ("a", t0 + dt.timedelta(days=60), 9)])
+    new = seen.unseen(again, path, ["k", "at"], "at")
+    assert sorted((r.k, r.at) for r in new.collect()) == [("a", t0 + dt.timedelta(days=60)), ("c", t0)]
+    seen.remember(new, path, ["k", "at"], 1, "at")
+    assert seen.union(spark, path, ["k", "at"]).count() == 6
+    assert seen.unseen(again, path, ["k", "at"], "at", batch=1).count() == 2      # its own batch does not count
+    assert seen.unseen(again.limit(0), path, ["k", "at"], "at").count() == 0
+
+
+def test_a_batch_reads_the_parts_it_touches_and_shuffles_no_stored_key(spark, tmp_path):
+    from eventcal.sources import seen
+
+    path, t0 = str(tmp_path / "keys"), dt.datetime(2024, 1, 5)
+    seen.remember(rows_of(spark, [(str(i), t0 + dt.timedelta(days=i), i) for i in range(400)]), path, ["k", "at"], 0, "at")
+    batch = rows_of(spark, [("7", t0 + dt.timedelta(days=7), 0), ("x", t0, 0)])
+    old = seen.held(batch, path, ["k", "at"], "at")
+    assert [r.k for r in old.collect()] == ["7"]
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-01" in plan and "BroadcastHashJoin" in plan
+    assert " Exchange " not in plan and "SortMergeJoin" not in plan
+
+    def files(node):                                         # read by the scan, by its own count
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return files(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return files(node.plan())
+        own = node.metrics().apply("numFiles").value() if node.nodeName().startswith("Scan parquet") and "PartitionFilters: [" in node.toString() else 0
+        return own + sum(files(node.children().apply(i)) for i in range(node.children().size()))
+
+    assert 0 < files(old._jdf.queryExecution().executedPlan()) <= 2 * seen.PARTS + 8 < 57
+
+
+def test_a_record_without_its_store_of_keys_gets_it(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "record")
+    src.mkdir()
+    spark.createDataFrame([("a", 1)], "k string, v int").write.parquet(f"{out}/batch=99")
+    (src / "0.json").write_text('{"k": "a", "v": 5}\n{"k": "b", "v": 6}')
+    stream = spark.readStream.schema("k string, v int").json(str(src))
+    ST.append_once(stream, out, str(tmp_path / "marks-a"), ["k"]).awaitTermination()
+    (src / "1.json").write_text('{"k": "b", "v": 7}\n{"k": "c", "v": 8}')
+    ST.append_once(stream, out, str(tmp_path / "marks-a"), ["k"]).awaitTermination()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 6), ("c", 8)]
