@@ -333,26 +333,114 @@ def clusters(record: DataFrame, eps: float = 550, min_pts: int = 3, hours: float
     return with_hulls(members, stored(largest(cluster_summary(members), limit)))
 
 
-def kmeans_strata(record: DataFrame, k: int = 4, restarts: int = 10, seed: int = 0) -> DataFrame:
-    """Strata of place and power, the most powerful first.
+# ------------------------------------------------------------------ strata
+ROUNDS, STILL = 100, 1e-6
 
-    Of several restarts the one with the least cost is kept. Fewer than 3 rows per stratum give
-    no strata. Kinds are handed out by rank of total power.
+
+def _passed(points: DataFrame, part, shape: str) -> list:
+    """What one pass over all points gives: of each task an array by ``part``, its first axis as rows; a bounded collect.
+
+    ``part`` gets the coordinates and row hashes of a batch and the array of the one before it.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        total = None
+        for batch in batches:
+            total = part(batch[["x", "y", "z"]].to_numpy(), batch["h"].to_numpy(), total)
+        if total is not None:
+            yield pd.DataFrame({"task": [0] * len(total), "v": [np.asarray(t, float).ravel().tolist() for t in total]})
+
+    return [r.v for r in points.mapInPandas(run, shape).collect()]
+
+
+def nearest_centres(points: DataFrame, k: int, restarts: int, seed: int = 0):
+    """(centres, cost) of the best of several K-means fits of columns x, y, z; all of them advance in the same passes.
 
+    Centres begin far apart: each next one is drawn with a chance by its squared distance from those there, by a hash
+    of the row (column ``h``) and the restart. A pass moves the centres of every restart; those of a restart that stand still stay.
+    """
+    import numpy as np
+
+    def far(x, centres):                                     # rows x restarts: squared distance to the nearest centre
+        return ((x[:, None, None, :] - centres[None]) ** 2).sum(3).min(2)
+
+    def drawn(step):
+        def part(x, h, best):
+            weight = np.ones((len(x), restarts)) if not step else far(x, centres[:, :step])
+            u = np.stack([_unit(h, 1009 * seed + 101 * step + r) for r in range(restarts)], 1)
+            # The least of exponential draws over the weights falls on a row with a chance by its weight.
+            draw = np.where(weight > 0, -np.log(u) / np.maximum(weight, 1e-300), np.inf)
+            at = draw.argmin(0)
+            own = np.column_stack([draw[at, np.arange(restarts)], x[at]])
+            return own if best is None else np.where(own[:, :1] < best[:, :1], own, best)
+
+        return part
+
+    centres = np.zeros((restarts, k, 3))
+    for step in range(k):
+        found = np.array(_passed(points, drawn(step), "task int, v array<double>")).reshape(-1, restarts, 4)
+        centres[:, step] = found[found[:, :, 0].argmin(0), np.arange(restarts), 1:]
+
+    def summed(x, h, total):
+        gap = ((x[:, None, None, :] - centres[None]) ** 2).sum(3)
+        own = gap.argmin(2)
+        out = np.zeros((restarts, k, 5))
+        for r in range(restarts):
+            out[r, :, 0] = np.bincount(own[:, r], minlength=k)
+            out[r, :, 4] = np.bincount(own[:, r], gap[np.arange(len(x)), r, own[:, r]], minlength=k)
+            for c in range(3):
+                out[r, :, 1 + c] = np.bincount(own[:, r], x[:, c], minlength=k)
+        return out if total is None else total + out
+
+    for _ in range(ROUNDS):
+        parts = np.array(_passed(points, summed, "task int, v array<double>")).reshape(-1, restarts, k, 5)
+        total = np.sort(parts, axis=0).sum(0)                # in an order of its own, so that no task's place matters
+        n = total[:, :, :1]
+        moved = np.where(n > 0, total[:, :, 1:4] / np.maximum(n, 1), centres)
+        step = np.abs(moved - centres).max()
+        cost = total[:, :, 4].sum(1)
+        best = int(cost.argmin())
+        if step <= STILL * max(1.0, float(np.abs(centres).max())):
+            break
+        centres = moved
+    return centres[best], float(cost[best])
+
+
+def _unit(h, salt: int):
+    """A number from (0, 1) by a row's hash and a salt."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = h.astype(np.int64).view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53 + 2.0 ** -54
+
+
+def strata_members(record: DataFrame, k: int = 4, restarts: int = 10, seed: int = 0) -> DataFrame:
+    """The record's rows with x, y, z (kilometres and power), ``prediction``, their stratum, and ``gaps``, their squared
+    distance from the centre of each. Fewer than 3 rows for each stratum give none."""
     centre = record.agg(F.avg("lat").alias("_lat0"), F.count("*").alias("_n"))
-    vector = array_to_vector(F.array(
-        F.col("lon") * 111.32 * F.cos(F.radians("_lat0")), F.col("lat") * 110.57, F.col("frp")))
     ready = stored(record.join(centre, F.lit(True)).filter(F.col("_n") >= k * 3).select(
-        "lat", "lon", "frp", vector.alias("features")), "strata-input")
+        "lat", "lon", "frp", (F.col("lon") * 111.32 * F.cos(F.radians("_lat0"))).alias("x"), (F.col("lat") * 110.57).alias("y"),
+        F.col("frp").alias("z"), F.xxhash64("time", "lat", "lon", "sensor").alias("h")), "strata-input")
     if ready.isEmpty():
-        labelled = ready.withColumn("prediction", F.lit(0))
-    else:
-        fits = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(ready) for i in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(ready)
+        return ready.drop("h").withColumns({"gaps": F.array().cast("array<double>"), "prediction": F.lit(0)})
+    centres, _ = nearest_centres(ready.select("x", "y", "z", "h"), k, restarts, seed)
+    gap = lambda c: sum(((F.col(a) - F.lit(float(v))) * (F.col(a) - F.lit(float(v))) for a, v in zip("xyz", c)), F.lit(0.0))
+    out = ready.drop("h").withColumn("gaps", F.array(*[gap(c) for c in centres]))
+    return out.withColumn("prediction", (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int"))
+
+
+def kmeans_strata(record: DataFrame, k: int = 4, restarts: int = 10, seed: int = 0) -> DataFrame:
+    """Strata of place and power, the most powerful first.
+
+    Of several restarts the one with the least cost is kept. Fewer than 3 rows per stratum give
+    no strata. Kinds are handed out by rank of total power.
+    """
+    labelled = strata_members(record, k, restarts, seed)
     strata = labelled.groupBy("prediction").agg(
         F.count("*").alias("n"), F.avg("frp").alias("mean_frp"), F.sum("frp").alias("total_frp"),
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),

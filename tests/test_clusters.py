@@ -192,3 +192,29 @@ def test_hulls_of_hulls(spark, monkeypatch, points):
 def test_a_cluster_without_members_is_left_out(spark):
     members = spark.createDataFrame([], "cluster int, lat double, lon double")
     assert C.with_hulls(members, members.groupBy("cluster").count().selectExpr("cluster", "cluster id", "count n")).count() == 0
+
+
+def test_restarts_together_find_what_one_by_one_fits_find(spark):
+    """Well apart groups are found; the cost is that of the best of many plain fits."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1.0, (80, 3)) for c in ((0, 0, 0), (30, 0, 5), (0, 40, 9), (25, 25, 60))])
+    df = spark.createDataFrame([(*map(float, p), int(rng.integers(-2 ** 62, 2 ** 62))) for p in x], "x double, y double, z double, h long").repartition(3)
+    centres, cost = C.nearest_centres(df, 4, 8, seed=1)
+
+    def plain(seed):
+        own = np.random.default_rng(seed)
+        c = x[own.choice(len(x), 4, replace=False)]
+        for _ in range(100):
+            label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(4)])
+        return ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+    assert cost == pytest.approx(min(plain(s) for s in range(40)), rel=1e-9)
+    again, _ = C.nearest_centres(df.repartition(7), 4, 8, seed=1)
+    assert np.abs(np.sort(centres, 0) - np.sort(again, 0)).max() < 1e-9
+
+
+def test_copies_of_few_places_have_no_more_centres_than_places(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, i) for i in range(30)] + [(2.0, 2.0, 2.0, 50)], "x double, y double, z double, h long")
+    centres, cost = C.nearest_centres(df, 4, 3)
+    assert cost == 0.0 and {tuple(c) for c in centres} == {(1.0, 1.0, 1.0), (2.0, 2.0, 2.0)}
