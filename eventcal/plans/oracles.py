@@ -440,6 +440,19 @@ SELECT CAST(tp.id AS BIGINT) AS id, cluster, n, total, {r("frp", 4)} AS frp, {r(
  {r("(epoch(e) - epoch(s)) / 3600", 4)} AS duration_h,
  '[' || array_to_string(list_transform(c, lambda x: printf('{{"lat":%.4f,"lon":%.4f}}', x.lat, x.lon)), ',') || ']' AS hull
 FROM tp JOIN hw ON hw.id = tp.id"""
+    # Numbers as the JSON writer shows doubles: below a thousandth by their exponent.
+    num = lambda x: f"CASE WHEN abs({x}) < 1e-3 AND {x} <> 0 THEN printf('%.1fE-4', {x} * 1e4) ELSE CAST({x} AS VARCHAR) END"
+    q["cluster_features"] = q["clusters_with_hulls"].split("SELECT CAST(tp.id")[0].rstrip() + f""",
+ft AS (SELECT tp.n, {r("frp", 4)} AS frp, c, len(list_distinct(c)) AS kinds FROM tp JOIN hw ON hw.id = tp.id),
+rg AS (SELECT n, frp, kinds, list_transform(CASE WHEN kinds >= 3 AND c[1] <> c[len(c)] THEN list_append(c, c[1]) ELSE c END,
+  lambda x: '[' || {num("x.lon")} || ',' || {num("x.lat")} || ']') AS ring FROM ft WHERE kinds >= 3 OR len(c) > 1)
+SELECT '{{"type":"Feature","properties":{{"kind":"CLUSTER","count":' || n || ',"frp":' || {num("frp")} || '}},"geometry":{{"type":"' ||
+ CASE WHEN kinds >= 3 THEN 'Polygon","coordinates":[[' ELSE 'LineString","coordinates":[' END || array_to_string(ring, ',') ||
+ CASE WHEN kinds >= 3 THEN ']]' ELSE ']' END || '}}}}' AS text FROM rg"""
+    q["point_features"] = BASE + f""",
+pf AS (SELECT sensor, {r("lat", 4)} AS lat, {r("lon", 4)} AS lon, {r("frp", 4)} AS frp FROM det)
+SELECT '{{"type":"Feature","properties":{{"kind":"' || CASE WHEN sensor = 'VIIRS' THEN 'VIIRS' ELSE 'MODIS' END || '","frp":' || {num("frp")} ||
+ '}},"geometry":{{"type":"Point","coordinates":[' || {num("lon")} || ',' || {num("lat")} || ']}}}}' AS text FROM pf"""
     # Every row has one of the four strata, and none stands nearer to another's centre.
     q["strata_assignment"] = BASE + " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced, CAST(4 AS BIGINT) AS strata FROM det"
     q["cell_doy_grid"] = BASE + f" SELECT {CELL_OF} AS cell, dayofyear(date) AS doy, count(*) AS n FROM det GROUP BY 1, 2"

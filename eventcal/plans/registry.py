@@ -556,7 +556,7 @@ def window_tiling(spark, sf_dir):
 def point_features(spark, sf_dir):
     """Every detection as a GeoJSON feature."""
     return E.point_features(T.detections(spark, sf_dir).select(
-        F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("frp", 4).alias("frp"), "sensor"))
+        *[X.steady_round(c, 4).alias(c) for c in ("lat", "lon", "frp")], "sensor"))
 
 
 # ------------------------------------------------------------------ clusters
@@ -592,7 +592,8 @@ def clusters_with_hulls(spark, sf_dir):
 @query
 def cluster_features(spark, sf_dir):
     """Clusters as GeoJSON rings and lines."""
-    return E.cluster_features(C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48))
+    c = C.clusters(T.detections(spark, sf_dir), eps=550, min_pts=3, hours=48)
+    return E.cluster_features(c.withColumn("frp", X.steady_round("frp", 4)))
 
 
 @query
