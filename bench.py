@@ -2,8 +2,8 @@
 
     BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8)
 
-Each query runs to its last row (``noop`` sink). One warm-up run of the scan precedes the clock,
-so that JVM start-up is not charged to the first query.
+Each query runs to its last row (``noop`` sink). ``record_build`` is the first query of all, with the start of the JVM's
+work, the parsing of the source and the writing of the stored record.
 """
 
 from __future__ import annotations
@@ -38,16 +38,18 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    # The first query writes the stored record that the others read; that costs a line of its own.
+    start = time.perf_counter()
     run("record_summary")
-    seconds = {}
+    seconds = {} if sys.argv[1:] else {"record_build": round(time.perf_counter() - start, 3)}
     for name in picked:
         seconds[name] = round(run(name), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline_queries_total", "value": round(sum(v for k, v in seconds.items() if k != "record_build"), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": cpus,
-        "rows_per_sec_scan_to_prior": round(rows / seconds["prior_for_boxes"]) if "prior_for_boxes" in seconds else None,
+        "rows_per_sec_scan_to_prior": round(rows / (seconds["record_build"] + seconds["prior_for_boxes"])) if "record_build" in seconds else None,
     }))
 
 
