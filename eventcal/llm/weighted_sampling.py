@@ -34,26 +34,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def terms_of(words: Column, size: int = WORDS) -> Column:
-    """A hash for each run of ``size`` words; of fewer words, for all of them as one; without words none."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_h") - size), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(size)]))
-    return hashed, F.when(F.size("_h") >= size, runs).when(F.size("_h") > 0, F.array(F.xxhash64(F.col("_h")))).otherwise(
-        F.array().cast("array<bigint>"))
+def _with_terms(df: DataFrame, text: Column, name: str, size: int, side: int = 0) -> DataFrame:
+    """A column of a hash for each run of ``size`` words; of fewer words, for all of them as one; without words none.
 
+    The lowest bit of a hash names the side.
+    """
+    def marked(*values) -> Column:
+        hashed = F.xxhash64(*values)
+        return hashed.bitwiseOR(F.lit(1)) if side else hashed.bitwiseAND(F.lit(-2))
 
-def _with_terms(df: DataFrame, text: Column, name: str, size: int) -> DataFrame:
-    hashed, runs = terms_of(words_of(text), size)
-    return df.withColumn("_h", hashed).withColumn(name, runs).drop("_h")
+    runs = F.transform(F.slice("_h", 1, F.size("_h") - (size - 1)), lambda h, i: marked(h, *[F.get("_h", i + k) for k in range(1, size)]))
+    whole = F.when(F.size("_h") > 0, F.array(marked(F.col("_h")))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_h", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    return df.withColumn(name, F.when(F.size("_h") >= size, runs).otherwise(whole)).drop("_h")
 
 
 def _with_entries(df: DataFrame, sides: list[str]) -> DataFrame:
     """The terms of one or two sides, ordered; an entry for each different term with its weight on each side, 0 where it is not.
 
-    The lowest bit of a term names the side, so that those of one term stand together and those of the second side last.
+    Those of one term stand together, and those of the second side last, since the lowest bit names it.
     """
-    marked = [F.transform(c, mark) for c, mark in zip(sides, (lambda h: h.bitwiseAND(F.lit(-2)), lambda h: h.bitwiseOR(F.lit(1))))]
-    df = df.withColumn("_v", F.sort_array(F.concat(*marked) if len(marked) > 1 else marked[0])).drop(*sides)
+    df = df.withColumn("_v", F.sort_array(F.concat(*sides) if len(sides) > 1 else F.col(sides[0]))).drop(*sides)
     of = lambda i: F.shiftright(F.get("_v", i), 1)           # noqa: E731
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_v"), F.lit(1)) - 1), lambda i: (i == 0) | (of(i - 1) != of(i)))
     df = df.withColumn("_at", F.when(F.size("_v") > 0, F.concat(starts, F.array(F.size("_v")))).otherwise(F.array(F.lit(0))))
@@ -170,7 +171,7 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES, words: int = WORD
         F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), "begin").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["_key", "_own", "_id", "n_rows", "p_key", "p_own", "n_chars", "edited_sha256"]
-    both = _with_terms(_with_terms(both, F.col("text"), "_a", words), F.col("edited"), "_b", words).select(*keys, "_a", "_b")
+    both = _with_terms(_with_terms(both, F.col("text"), "_a", words), F.col("edited"), "_b", words, 1).select(*keys, "_a", "_b")
     found = stored(_fingerprints(both, ["_a", "_b"], keys, samples, ["fingerprint", "edited_fingerprint"]), "fingerprints")
     after = found.select(F.col("p_key").alias("_key"), F.col("p_own").alias("_own"), F.col("fingerprint").alias("_next"))
     return found.join(after, ["_key", "_own"]).select(
