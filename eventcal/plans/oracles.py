@@ -673,6 +673,14 @@ d AS (SELECT s, e, event_type, count(*) AS n, sum(value) AS total FROM w GROUP B
 st AS (SELECT event_type, avg(n) AS mu, stddev_pop(n) AS sd FROM d GROUP BY 1)
 SELECT {at('s')} AS start, {at('e')} AS "end", d.event_type, n, {r("total")} AS total, {r("(n - mu) / sd")} AS z
 FROM d JOIN st ON st.event_type = d.event_type WHERE (n - mu) / sd >= 1"""
+    q["record_stream_alerts"] = BASE + f""",
+d AS (SELECT sensor, date, count(*) AS n FROM det GROUP BY 1, 2),
+o AS (SELECT unnest(range(-7, 8)) AS o),
+sp AS (SELECT sensor, (dayofyear(date) - 1 + o + 366) % 366 + 1 AS doy, year(date) AS y, n FROM d, o),
+zz AS (SELECT d.sensor, d.date, d.n, count(*) AS k, avg(sp.n) AS mu, stddev_pop(sp.n) AS sd
+  FROM d JOIN sp ON sp.sensor = d.sensor AND sp.doy = dayofyear(d.date) AND sp.y <> year(d.date) GROUP BY 1, 2, 3)
+SELECT sensor, strftime(date, '%Y-%m-%d %H:%M:%S') AS start, n, {r("mu")} AS mu, {r("sd")} AS sd, {r("(n - mu) / sd")} AS z
+FROM zz WHERE k > 1 AND sd > 1e-9 AND (n - mu) / sd >= 2"""
     q["events_stream_streaks"] = TUM + f""",
 d AS (SELECT user_id, CAST(s AS DATE) AS d, count(*) AS v FROM w GROUP BY 1, 2 HAVING count(*) >= 3),
 o AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY user_id ORDER BY d) <= 2 THEN 0 ELSE 1 END AS opens FROM d),

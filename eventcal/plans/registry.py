@@ -997,6 +997,18 @@ def events_stream_alerts(spark, sf_dir):
     return shown(_drained(ST.alerts(stream, stats, ["event_type"], z=1.0).drop("mu", "sd"), "r6", last))
 
 
+@query
+def record_stream_alerts(spark, sf_dir):
+    """Days of the streamed record against the days of year around them in other years, by sensor."""
+    record = T.detections(spark, sf_dir).select("time", "sensor", "frp")
+    days = record.groupBy("sensor", F.date_trunc("day", "time").alias("start")).agg(F.count("*").alias("n"))
+    stats = stored(ST.day_statistics(days, ["sensor"]), "stats")
+    s, delay, last = ST.replay(record, "time")
+    stream = ST.tumbling(s, ["sensor"], "time", value="frp", delay=delay)
+    out = _drained(ST.alerts_by_day_of_year(stream, stats, ["sensor"]), "r6", last)
+    return shown(out.select("sensor", "start", "n", "mu", "sd", "z"))
+
+
 @query
 def events_stream_streaks(spark, sf_dir):
     """Streaks of days on which a user had at least three events."""

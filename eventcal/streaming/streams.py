@@ -148,6 +148,35 @@ def alerts(days: DataFrame, stats: DataFrame, keys: list[str], z: float = 2.0) -
     return scored.filter((F.col("sd") > 1e-9) & (F.col("z") >= z))
 
 
+def day_statistics(days: DataFrame, keys: list[str], reach: int = 7, time: str = "start", value: str = "n") -> DataFrame:
+    """What ``alerts_by_day_of_year`` is held against: (keys, doy, year, days, sum, squares) of past days, a row for each year.
+
+    A day counts for the days of year up to ``reach`` around its own.
+    """
+    around = days.select(*keys, F.col(time).alias("_t"), F.col(value).cast("double").alias("_v")).withColumn(
+        "_off", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    doy = F.pmod(F.dayofyear("_t") - 1 + F.col("_off"), F.lit(S.DOY_BINS)) + 1
+    return around.groupBy(*keys, doy.alias("doy"), F.year("_t").alias("year")).agg(
+        F.count("*").alias("days"), F.sum("_v").alias("sum"), F.sum(F.col("_v") * F.col("_v")).alias("squares"))
+
+
+def alerts_by_day_of_year(days: DataFrame, stats: DataFrame, keys: list[str], z: float = 2.0, time: str = "start", value: str = "n") -> DataFrame:
+    """Finished days far above the days around the same day of other years, from stored ``day_statistics``.
+
+    The statistics are a static side of the stream: all years of a day of year in one row, from which a day takes those that are not
+    its own. Days with fewer than two others, or others without spread, raise no alert.
+    """
+    years = stats.groupBy(*keys, "doy").agg(F.collect_list(F.struct("year", "days", "sum", "squares")).alias("_years"))
+    joined = days.withColumn("doy", F.dayofyear(time)).join(years, [*keys, "doy"])
+    others = F.filter("_years", lambda y: y["year"] != F.year(time))
+    total = lambda c: F.aggregate(others, F.lit(0.0), lambda a, y: a + y[c])
+    joined = joined.withColumns({"_n": total("days"), "_s": total("sum"), "_q": total("squares")}).filter(F.col("_n") > 1)
+    mean = F.col("_s") / F.col("_n")
+    spread = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
+    scored = joined.withColumns({"mu": mean, "sd": spread}).withColumn("z", F.when(F.col("sd") > 1e-9, (F.col(value) - F.col("mu")) / F.col("sd")))
+    return scored.filter(F.col("z") >= z).drop("_years", "_n", "_s", "_q", "doy")
+
+
 # ------------------------------------------------------------------ streaks
 STREAK = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("start", T.DateType()), T.StructField("end", T.DateType()),

@@ -168,3 +168,17 @@ def test_a_record_without_its_store_of_keys_gets_it(spark, tmp_path):
     (src / "1.json").write_text('{"k": "b", "v": 7}\n{"k": "c", "v": 8}')
     ST.append_once(stream, out, str(tmp_path / "marks-a"), ["k"]).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 6), ("c", 8)]
+
+
+def test_alerts_are_held_against_the_same_season_of_other_years(spark):
+    day = lambda y, m, d: dt.datetime(y, m, d)
+    past = [("a", day(y, 6, d), 10 + (d % 3)) for y in (2020, 2021, 2022) for d in range(1, 20)] + [("a", day(2022, 6, 10), 500), ("a", day(2022, 12, 31), 7)]
+    frame = spark.createDataFrame(past, "k string, start timestamp, n long")
+    stats = ST.day_statistics(frame, ["k"])
+    new = spark.createDataFrame([("a", day(2022, 6, 10), 500), ("a", day(2023, 6, 12), 11), ("a", day(2023, 12, 31), 900), ("b", day(2023, 6, 10), 900)],
+                                "k string, start timestamp, n long")
+    got = {(r.k, r.start): r for r in ST.alerts_by_day_of_year(new, stats, ["k"]).collect()}
+    assert set(got) == {("a", day(2022, 6, 10))}             # its own 500 is left out of what it is held against
+    others = [n for k, t, n in past if t.year != 2022 and 3 <= t.day <= 17]
+    mean = sum(others) / len(others)
+    assert got[("a", day(2022, 6, 10))].mu == pytest.approx(mean)
