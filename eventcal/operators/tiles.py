@@ -155,4 +155,5 @@ def found_in_tiles(seen: DataFrame, eps: float, min_pts: int, groups: int) -> Da
         return solve(part, eps, min_pts)
 
     dealt = seen.withColumn("_group", F.pmod(F.xxhash64(*TILE), F.lit(groups))).select(*columns)
-    return dealt.groupBy("_group").applyInPandas(run, FOUND)
+    # Dealt by number: by size alone Spark would put a few small groups, each with much to compute, into one task.
+    return dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, FOUND)
